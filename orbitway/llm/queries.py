@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from orbitway.llm import mixing, pieces, simhash, token_files
+from orbitway.llm import html_text, mixing, pieces, simhash, token_files, topk, toxicity
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op5_token_files": token_files.op5_token_files,
+    "op6_html": html_text.op6_html,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
-ORACLE = {"op2_mixing": mixing.SQL}
+ORACLE = {"op1_topk": topk.SQL, "op2_mixing": mixing.SQL}
