@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitway.llm import html_text, mixing, ngram_scores, pieces, simhash, token_files, topk, toxicity
+from orbitway.llm import html_text, mixing, ngram_scores, pieces, repeats, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_html": html_text.op6_html,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_repeats": repeats.op9_repeats,
     "op10_ngram_scores": ngram_scores.op10_ngram_scores,
 }
 ORACLE = {"op1_topk": topk.SQL, "op2_mixing": mixing.SQL, "op10_ngram_scores": ngram_scores.SQL}
