@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbitway.llm import html_text, mixing, ngram_scores, pieces, repeats, simhash, token_files, topk, toxicity
+from orbitway.llm import html_text, media, mixing, ngram_scores, pieces, repeats, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_media": media.op4_media,
     "op5_token_files": token_files.op5_token_files,
     "op6_html": html_text.op6_html,
     "op7_sentencepiece": pieces.op7_sentencepiece,
