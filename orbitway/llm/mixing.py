@@ -44,6 +44,42 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", target.alias("target"), "slope")
 
 
+def _streams(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, slope and start: the words of its source's stream before each document."""
+    sizes = checkpointed(
+        documents.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        ).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    )
+    slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = slices.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0).cast("long")).alias("base"))
+    plan = bases.alias("b").join(source_targets(sizes).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope")
+    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).alias("d")
+    return placed.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.slice") == F.col("p.slice"))).select(
+        "d.doc_id", "d.source", "size", "source_size", "target", "slope", (F.col("base") + F.col("inner")).alias("start")
+    )
+
+
+def _words():
+    return F.round("target").cast("long")
+
+
+def _passes():
+    return F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
+
+
+def _position(word):
+    """When the training reaches a word of a source's stream: the inverse of t + slope * (t * t - t), its share of the demand up to t."""
+    x, slope = F.try_divide(word, F.round("target")), F.col("slope")
+    bent = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope)
+    return F.round(F.when(slope == 0, x).otherwise(bent), 6)
+
+
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document the mix takes, and at what point of the training.
 
@@ -61,36 +97,34 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     gives no rows. Runs agree, since nothing depends on partitions: rows that tie in id and size get
     the same numbers in either order.
     """
-    sizes = checkpointed(
-        documents.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
-        ).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    )
-    slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slices.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0).cast("long")).alias("base"))
-    plan = bases.alias("b").join(source_targets(sizes).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope")
-    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).alias("d")
-    joined = placed.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.slice") == F.col("p.slice"))).select(
-        "d.doc_id", "d.source", "size", "source_size", "target", "slope", (F.col("base") + F.col("inner")).alias("start")
-    )
-    words = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
-    left = words - passes * F.col("source_size")
+    joined = _streams(documents, id_col, text_col, source_col)
+    passes = _passes()
+    left = _words() - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("start")))
-    x = F.try_divide(F.col("start"), F.round("target"))
-    slope = F.col("slope")
-    bent = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope)
-    position = F.round(F.when(slope == 0, x).otherwise(bent), 6)
     out = joined.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), passes.alias("passes"),
-        F.when(taken > 0, position).alias("position"),
+        F.when(taken > 0, _position(F.col("start"))).alias("position"),
     )
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_first())
+    order = F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_first()
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def arrange(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: documents as often as their targets take them, in the order of the training.
+
+    Each pass over a source that reaches a document before its target is full gives the document once,
+    whole, at the position of that pass; documents that no pass reaches, and those without words, are
+    not in the mix. Columns come back as they were. Ids should name one row; rows that share an id are
+    each taken as often as all of them.
+    """
+    names = documents.columns
+    streams = _streams(documents, id_col, text_col, source_col).where("size > 0")
+    reached = streams.withColumn("times", _passes() + (F.col("start") < _words() - _passes() * F.col("source_size")).cast("long")).where("times > 0")
+    turns = reached.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    placed = turns.select(F.col("doc_id").alias("_id"), _position(F.col("start") + F.col("pass") * F.col("source_size")).alias("_position"))
+    out = documents.join(placed, documents[id_col].eqNullSafe(placed["_id"]))
+    order = F.col("_position"), F.col(id_col).asc_nulls_first()
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*(documents[c] for c in names))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
