@@ -20,7 +20,7 @@ TRAINING_ROWS = 20_000
 #: Rows whose crc32(id) mod 4 is HELD_OUT are never learnt from; of the others, CALIBRATE sets the calibration.
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
 #: The prior counts a token PRIOR_LEAST times and PRIOR_SHARE of its total on either side. A token's smallest |z| and count to get a weight of its own, and the largest weight.
-PRIOR_LEAST, PRIOR_SHARE, LEAST_Z, LEAST_COUNT, MOST = 0.5, 0.01, 5.0, 5, 8.0
+PRIOR_LEAST, PRIOR_SHARE, LEAST_Z, LEAST_COUNT, MOST = 0.5, 0.01, 3.0, 4, 8.0
 #: What each token costs a segment, so that segments of common words drift down.
 DRIFT = 0.7
 #: Words that share so many first letters also share a stem token, for forms that training hasn't shown.
