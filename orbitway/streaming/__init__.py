@@ -1,0 +1 @@
+"""The engine this one matches has no streaming operators; nothing is here on purpose."""
