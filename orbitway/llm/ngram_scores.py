@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import checkpointed, input_partitions, table
+from orbitway.llm.common import input_partitions, shared_folder, table
 
 #: Words of a block of documents, count-table partitions for each input partition, and the backoff factor.
 BLOCK_WORDS, SPLIT, ALPHA = 1 << 21, 4, 0.4
@@ -49,27 +50,17 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndar
     return out
 
 
-_BLOCKS = "kind int, block long, part long, gram int, a binary, b binary"
+_ANSWERS = "block long, part long, gram int, totals binary"
 
 
-def _blocks(documents: DataFrame, order: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: 0, a block's documents as sequences of word numbers; 1, the block's distinct n-grams of one part with their counts."""
+def _blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of documents: their ids and sizes, their words as numbers, and the hashes of the numbered words."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([*T._parse_datatype_string(_BLOCKS).fields, T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
     def block(number: int, names: list, sizes: list[int], ids: _Ids, words: list[int]) -> pd.DataFrame:
-        sequence = np.array(words, np.uint32)
         hashes = np.fromiter((xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-        out = [(0, number, 0, 0, sequence.tobytes(), hashes.tobytes() + np.array(sizes, "<u8").tobytes(), names)]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        for n, (h, good) in enumerate(_grams(hashes[sequence], doc, order), 1):
-            distinct, count = np.unique(h[good], return_counts=True)
-            part = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    out.append((1, number, p, n, _packed(np.diff(distinct[a:b], prepend=np.uint64(0))), _packed(count[a:b]), None))
-        return pd.DataFrame(out, columns=["kind", "block", "part", "gram", "a", "b", "doc_ids"])
+        return pd.DataFrame([(number, names, sizes, _packed(np.array(words, np.uint32)), hashes.tobytes())], columns=schema.names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -91,19 +82,46 @@ def _blocks(documents: DataFrame, order: int, parts: int, id_col: str, text_col:
     return rows.mapInPandas(run, schema)
 
 
+def _sequences(sizes, sequence: bytes, hashes: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each document of a block, the document of each word, and the block's n-grams."""
+    sizes = np.asarray(sizes, np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return sizes, doc, _grams(np.frombuffer(hashes, np.uint64)[_unpacked(sequence).astype(np.int64)], doc, order)
+
+
+def _counted(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """A block's distinct n-grams of each part of the count tables, with their counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for number, sizes, sequence, hashes in zip(b["block"], b["sizes"], b["sequence"], b["hashes"], strict=True):
+                out = []
+                for n, (h, good) in enumerate(_sequences(sizes, sequence, hashes, order)[2], 1):
+                    distinct, count = np.unique(h[good], return_counts=True)
+                    part = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    cuts = np.searchsorted(part, np.arange(parts + 1))
+                    for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if x < y:
+                            out.append((number, p, n, _packed(np.diff(distinct[x:y], prepend=np.uint64(0))), _packed(count[x:y])))
+                if out:
+                    yield pd.DataFrame(out, columns=["block", "part", "gram", "steps", "counts"])
+
+    return blocks.select("block", "sizes", "sequence", "hashes").mapInPandas(run, "block long, part long, gram int, steps binary, counts binary")
+
+
 def _totals(key, group: pd.DataFrame) -> pd.DataFrame:
     """A part of the count tables: sums the blocks' counts, and answers each block in the order of its own n-grams."""
     out = []
     for n, own in group.groupby("gram", sort=True):
-        hashes = [np.cumsum(_unpacked(a), dtype=np.uint64) for a in own["a"]]
+        hashes = [np.cumsum(_unpacked(a), dtype=np.uint64) for a in own["steps"]]
         distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, np.concatenate([_unpacked(b).astype(np.int64) for b in own["b"]]))
+        np.add.at(total, place, np.concatenate([_unpacked(b).astype(np.int64) for b in own["counts"]]))
         at = 0
         for number, h in zip(own["block"], hashes, strict=True):
-            out.append((2, number, key[0], n, _packed(total[place[at : at + len(h)]]), None))
+            out.append((number, key[0], n, _packed(total[place[at : at + len(h)]])))
             at += len(h)
-    return pd.DataFrame(out, columns=["kind", "block", "part", "gram", "a", "b"])
+    return pd.DataFrame(out, columns=["block", "part", "gram", "totals"])
 
 
 def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,26 +140,26 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
     no rows.
     """
     parts = SPLIT * max(1, input_partitions(documents))
-    blocks = checkpointed(_blocks(documents, order, parts, id_col, text_col))
-    totals = blocks.where("kind = 1").select("kind", "block", "part", "gram", "a", "b").groupBy("part").applyInPandas(_totals, _BLOCKS)
-    whole = blocks.where("kind = 0").agg(F.sum(F.octet_length("a") / 4).cast("long")).first()[0] or 0
+    spark = documents.sparkSession
+    path = f"{shared_folder(spark)}/ngram-blocks-{uuid.uuid4().hex}"
+    _blocks(documents, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    blocks = spark.read.parquet(path)
+    totals = _counted(blocks, order, parts).groupBy("part").applyInPandas(_totals, _ANSWERS)
+    whole = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     kind = blocks.schema["doc_ids"].dataType.elementType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType())])
 
-    def score(key, group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["kind"] == 0].iloc[0]
+    def score(key, block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        own = block.iloc[0]
         names = list(own["doc_ids"])
-        sizes = np.frombuffer(own["b"][-8 * len(names) :], "<u8").astype(np.int64)
-        hashes = np.frombuffer(own["b"][: -8 * len(names)], np.uint64)
-        words = hashes[np.frombuffer(own["a"], np.uint32)]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sizes, doc, grams = _sequences(own["sizes"], own["sequence"], own["hashes"], order)
         others = whole - sizes[doc]  # words of other documents
         value = np.where(others > 0, ALPHA / np.maximum(others, 1), 1.0)  # of a word that nothing else has
         value = value * ALPHA ** (order - 1)
         context = None
-        for n, (h, good) in enumerate(_grams(words, doc, order), 1):
-            answers = group[(group["kind"] == 2) & (group["gram"] == n)].sort_values("part")
-            total = np.concatenate([_unpacked(a) for a in answers["a"]] or [np.zeros(0, "<u8")]).astype(np.int64)
+        for n, (h, good) in enumerate(grams, 1):
+            answers = answer[answer["gram"] == n].sort_values("part")
+            total = np.concatenate([_unpacked(a) for a in answers["totals"]] or [np.zeros(0, "<u8")]).astype(np.int64)
             count = np.zeros(len(h), np.int64)
             _, place = np.unique(h[good], return_inverse=True)
             _, pair, mine = np.unique(place * len(sizes) + doc[good], return_inverse=True, return_counts=True)
@@ -155,9 +173,7 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
         logs = np.log10(value)
         return pd.DataFrame({"doc_id": pd.Series(names, dtype=object), "n_words": sizes, "log10_score": np.bincount(doc, logs, len(sizes)) if len(doc) else np.zeros(len(sizes))})
 
-    answers = totals.withColumn("doc_ids", F.lit(None).cast(T.ArrayType(kind)))
-    both = blocks.where("kind = 0").unionByName(answers)
-    scored = both.groupBy("block").applyInPandas(score, out)
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, out)
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
 
