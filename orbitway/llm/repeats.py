@@ -35,7 +35,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     first = np.zeros(n, np.int64)
     for k in range(min(7, n)):
         first[: n - k] |= text[k:].astype(np.int64) << (9 * (6 - k))
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     ordered = first[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
@@ -44,9 +44,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         both = rank * (n + 1)
         both[: n - step] += rank[step:] + 1
         # Only suffixes that still share a rank are ordered anew; their places are those of the rank.
-        shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-        places = np.flatnonzero(np.bincount(rank, minlength=n)[rank[order]] > 1)
-        order[places] = shared[np.argsort(both[shared], kind="stable")]
+        sorted_ = rank[order]
+        same = np.r_[False, sorted_[1:] == sorted_[:-1]]
+        places = np.flatnonzero(same | np.r_[same[1:], False])
+        shared = order[places]
+        order[places] = shared[np.argsort(both[shared])]
         ordered = both[order]
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
         step *= 2
@@ -68,6 +70,7 @@ def long_prefixes(order: np.ndarray, text: np.ndarray, length: int) -> np.ndarra
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
     fixed = np.zeros(n + 1, bool)
     fixed[[0, n]] = True
+    here, names, letters = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, text.dtype)
     place, interval = np.arange(n), np.zeros(n, np.int64)
     for value in range(length):
         symbol = bwt[place]
@@ -77,8 +80,15 @@ def long_prefixes(order: np.ndarray, text: np.ndarray, length: int) -> np.ndarra
         if not len(place):
             break
         at = back[place]
-        turn = np.argsort(at, kind="stable")
-        at, interval, symbol = at[turn], interval[turn], symbol[turn]
+        if len(at) > n // 16:  # the order by a pass over all places
+            here[at] = True
+            names[at], letters[at] = interval, symbol
+            at = np.flatnonzero(here)
+            here[at] = False
+            interval, symbol = names[at], letters[at]
+        else:
+            turn = np.argsort(at)
+            at, interval, symbol = at[turn], interval[turn], symbol[turn]
         starts = np.r_[True, (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1])]
         interval = np.cumsum(starts) - 1
         last = np.r_[starts[1:], True]
@@ -180,9 +190,15 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            found: list[tuple] = []
             for i, r, t in zip(b["id"], b["row"], b["text"], strict=True):
-                if t is not None and len(t) >= length and (found := key_runs(t, length, anchor)):
-                    yield pd.DataFrame(found, columns=["start", "windows", "key", "hash", "again"]).assign(id=i, row=r)[["id", "row", "start", "windows", "key", "hash", "again"]]
+                if t is not None and len(t) >= length:
+                    found += [(i, r, *x) for x in key_runs(t, length, anchor)]
+                if len(found) >= 1 << 16:
+                    yield pd.DataFrame(found, columns=["id", "row", "start", "windows", "key", "hash", "again"])
+                    found = []
+            if found:
+                yield pd.DataFrame(found, columns=["id", "row", "start", "windows", "key", "hash", "again"])
 
     path = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
     texts.mapInPandas(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
@@ -195,8 +211,15 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            found, size = [], 0
             for t, wanted in zip(b["text"], b["wanted"], strict=True):
-                yield pd.DataFrame([(w["key"], w["hash"], w["crowd"], t[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted], columns=["key", "hash", "crowd", "segment"])
+                found += [(w["key"], w["hash"], w["crowd"], t[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+                size += sum(len(x[3]) for x in found[len(found) - len(wanted) :])
+                if size >= TASK:
+                    yield pd.DataFrame(found, columns=["key", "hash", "crowd", "segment"])
+                    found, size = [], 0
+            if found:
+                yield pd.DataFrame(found, columns=["key", "hash", "crowd", "segment"])
 
     fetched = texts.join(to_fetch, ["id", "row"]).select("text", "wanted").mapInPandas(fetch, "key long, hash long, crowd long, segment binary")
     few, many, size = shared.where("open").agg(F.count(F.when(F.col("crowd") <= CROWD, 1)), F.count(F.when(F.col("crowd") > CROWD, 1)), F.sum(F.col("windows") + length)).first()
