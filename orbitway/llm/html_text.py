@@ -122,7 +122,7 @@ def _features(tree: Tree) -> list[tuple[str, ...]]:
         shown = [f"name={w}" for w in tree.names[i]]
         if tree.tags[i] not in ("#page", "html", "body"):  # these hold both kinds
             shown.append(f"tag={tree.tags[i]}")
-        if letters[i]:
+        if letters[i] and i:
             shown.append(f"letters={min(6, int(math.log(letters[i], 4)))}")
             shown.append(f"links={min(3, int(4 * linked[i] / max(letters[i], 1)))}")
         out.append(tuple(shown))
