@@ -15,7 +15,7 @@ from xxhash import xxh64_intdigest
 from orbitway.llm.common import input_partitions, shared_folder, table
 
 #: Words of a block of documents, count-table partitions for each input partition, and the backoff factor.
-BLOCK_WORDS, SPLIT, ALPHA = 1 << 21, 4, 0.4
+BLOCK_WORDS, SPLIT, ALPHA = 3 << 19, 4, 0.4
 
 
 class _Ids(dict):
@@ -95,16 +95,14 @@ def _counted(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for number, sizes, sequence, hashes in zip(b["block"], b["sizes"], b["sequence"], b["hashes"], strict=True):
-                out = []
                 for n, (h, good) in enumerate(_sequences(sizes, sequence, hashes, order)[2], 1):
                     distinct, count = np.unique(h[good], return_counts=True)
+                    del h, good
                     part = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                     cuts = np.searchsorted(part, np.arange(parts + 1))
-                    for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if x < y:
-                            out.append((number, p, n, _packed(np.diff(distinct[x:y], prepend=np.uint64(0))), _packed(count[x:y])))
-                if out:
-                    yield pd.DataFrame(out, columns=["block", "part", "gram", "steps", "counts"])
+                    own = [(number, p, n, _packed(np.diff(distinct[x:y], prepend=np.uint64(0))), _packed(count[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                    if own:
+                        yield pd.DataFrame(own, columns=["block", "part", "gram", "steps", "counts"])
 
     return blocks.select("block", "sizes", "sequence", "hashes").mapInPandas(run, "block long, part long, gram int, steps binary, counts binary")
 
