@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 #: Entries that a worker's table keeps, and the longest chunk that it keeps.
 ENTRIES, LONGEST = 400_000, 64
@@ -24,8 +25,8 @@ class ChunkTable(dict):
             return b"".join(map(self.__getitem__, chunks))
         except KeyError:
             pass
-        fresh = [c for c in set(chunks) if c not in self]
+        fresh = [*filterfalse(self.__contains__, set(chunks))]
         found = dict(zip(fresh, self.encode(fresh), strict=True))
         if len(self) < ENTRIES:
             self.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
-        return b"".join(found[c] if c in found else self[c] for c in chunks)
+        return b"".join(map(self.get, chunks, map(found.get, chunks)))

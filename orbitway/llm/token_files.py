@@ -24,6 +24,10 @@ END = 2
 SHARD_IDS = 1 << 20
 #: Keys a bucket of the perfect hash, on average.
 BUCKET = 4
+#: Parts chunks in one string, and their ids in one run of bytes; no id has the latter's value.
+CUT, CUT_BYTES = "\r", b"\xff" * 4
+#: White space other than the space.
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
 _M64 = (1 << 64) - 1
 
 
@@ -52,27 +56,31 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"(?:^|\s) (?:\s|$)", *map(regex.escape, added)]))
-        # GPT-2's split, here only for plain characters; others go through the tokenizer's own.
-        self.plain = regex.compile("[ !-~¡-¬®-ɏ\n]+")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A space between two other characters of white space, or at an end next to one.
+        self.whole = regex.compile(r"(?:^|\s) (?:\s|$)")
+        # GPT-2's split, here only for plain characters; others go through the tokenizer's own. CUT, which no
+        # plain chunk holds, parts chunks that are split in one go.
+        self.plain = regex.compile(f"[ !-~¡-¬®-ɏ\n{CUT}]+")
+        self.split = regex.compile(rf"{CUT}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|[^\S{CUT}]+(?!\S)|[^\S{CUT}]+")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.tokens = ChunkTable(self._token_ids)
-        self.first = ChunkTable(lambda chunks: map(self._chunk, chunks))
-        self.later = ChunkTable(lambda chunks: (self._chunk(f" {c}") for c in chunks))
+        self.tokens[CUT] = CUT_BYTES
+        self.first = ChunkTable(self._chunks)
+        self.later = ChunkTable(lambda chunks: self._chunks([f" {c}" for c in chunks]))
 
     def _token_ids(self, tokens: list[str]) -> Iterator[bytes]:
         model, letters = self.tokenizer.model, self.letters
         for t in tokens:
             yield np.array([x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self.plain.fullmatch(chunk):
-            return self.tokens.joined(self.split.findall(chunk))
-        return self._slow(chunk)
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        line = CUT.join(chunks)
+        if line.count(CUT) == len(chunks) - 1 and self.plain.fullmatch(line):
+            return self.tokens.joined(self.split.findall(line)).split(CUT_BYTES)
+        return [self.tokens.joined(self.split.findall(c)) if CUT not in c and self.plain.fullmatch(c) else self._slow(c) for c in chunks]
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,9 +88,14 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.whole.search(text):
+        if any(a in text for a in self.added):
             return self._slow(text)
         first, *later = text.split(" ")
+        # Without two spaces in a row, a space has white space on both sides only at an end of the text or
+        # where the piece before it ends in another such character.
+        if not first or not later or not later[-1] or "  " in text or any(f"{w} " in text for w in WHITE):
+            if self.whole.search(text):
+                return self._slow(text)
         return (self.first.joined([first]) if first else b"") + (self.later.joined(later) if later else b"")
 
 
