@@ -140,7 +140,7 @@ def test_chunk_tables_match_the_libraries():
     pick = random.Random(1)
     bpe, plain = token_files.encoder(token_files.default_vocabulary()), Tokenizer.from_file(token_files.default_vocabulary())
     words, model = pieces.codec(pieces.default_model()), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    parts = [" ", "  ", "\n", "a", "B", "'s", "1", "é", ".", "<|endoftext|>", "\t", "日本", "\xa0", "\x85", "\x1c", "½", "▁", "😀"]
+    parts = [" ", "  ", "\n", "\r", "a", "B", "'s", "1", "é", ".", "<|endoftext|>", "\t", "日本", "\xa0", "\x85", "\x1c", "½", "▁", "😀"]
     for _ in range(3000):
         x = "".join(pick.choice(parts) for _ in range(pick.randint(0, 12)))
         assert np.frombuffer(bpe.encode(x), "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids
