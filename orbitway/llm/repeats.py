@@ -29,8 +29,12 @@ _POWERS: list[np.ndarray] = []
 # --- one transform ------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling from seven symbols at once; symbols are below 512."""
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Order of all suffixes by their first `depth` symbols at least, by prefix doubling from seven at once; symbols are below 512.
+
+    Suffixes that share more stay in any order: that moves no bound of an interval of a string of up to
+    `depth` symbols.
+    """
     n = len(text)
     first = np.zeros(n, np.int64)
     for k in range(min(7, n)):
@@ -40,7 +44,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
     step = 7
-    while rank[order[-1]] < n - 1 and step < n:
+    while rank[order[-1]] < n - 1 and step < min(n, depth):
         both = rank * (n + 1)
         both[: n - step] += rank[step:] + 1
         # Only suffixes that still share a rank are ordered anew; their places are those of the rank.
@@ -109,7 +113,7 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     for s, a in zip(segments, begins, strict=True):
         text[a : a + len(s)] = np.frombuffer(s, np.uint8)
         text[a : a + len(s)] += 1
-    order = suffix_array(text)
+    order = suffix_array(text, length)
     like = long_prefixes(order, text, length)
     hit = np.zeros(len(text), bool)
     hit[order] = like | np.r_[like[1:], False]
@@ -147,25 +151,55 @@ def window_keys(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray,
     return h, np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def key_runs(text: bytes, length: int, anchor: int) -> list[tuple[int, int, int, int, bool]]:
-    """(start, windows, key, hash, again) of each run of windows with one key.
+def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """(text, begin, end) of the parts that are looked at in one go; a long text has more parts, which overlap by length - 1 bytes."""
+    found, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) - length + 1, PIECE):
+            found.append((i, at, min(len(t), at + PIECE + length - 1)))
+            size += found[-1][2] - at
+            if size >= PIECE:
+                yield found
+                found, size = [], 0
+    if found:
+        yield found
+
+
+def _again(h: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, more: int) -> np.ndarray:
+    """Whether the hash keys[i] comes more than once among the sizes[i] + more hashes from starts[i]."""
+    small = np.sort(h[h <= keys.max()])
+    twice = np.unique(small[1:][small[1:] == small[:-1]])
+    again = np.isin(keys, twice) if len(twice) else np.zeros(len(keys), bool)
+    for i in np.flatnonzero(again):
+        again[i] = np.count_nonzero(h[starts[i] : starts[i] + sizes[i] + more] == keys[i]) > 1
+    return again
+
+
+def key_runs(texts: list[bytes], length: int, anchor: int) -> Iterator[dict[str, np.ndarray]]:
+    """text, start, windows, key, hash, again of each run of windows with one key in any of the texts.
 
     The windows cover a segment of windows + length - 1 bytes, whose hash it is. Two windows of one run
-    can only be equal if the string that gives the key comes again in the segment.
+    can only be equal if the string that gives the key comes again in the segment. Parts of texts are
+    laid side by side; windows that cross from one to the next are left out.
     """
-    out = []
-    data = np.frombuffer(text, np.uint8)
-    for at in range(0, len(text) - length + 1, PIECE):
-        h, keys = window_keys(data[at : at + PIECE + length - 1], length, anchor)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts = np.r_[0, cuts]
-        sizes = np.diff(np.r_[starts, len(keys)])
-        named = keys[starts].view(np.int64)
-        for s, n, k in zip(starts.tolist(), sizes.tolist(), named.tolist(), strict=True):
-            again = np.count_nonzero(h[s : s + n + length - anchor] == keys[s]) > 1
-            s += at
-            out.append((s, n, k, xxh64_intdigest(text[s : s + n + length - 1]) - (1 << 63), again))
-    return out
+    for parts in _parts(texts, length):
+        line = b"".join(texts[i][a:b] for i, a, b in parts)
+        owner, first, end = np.array(parts, np.int64).T
+        begins = np.cumsum(end - first) - (end - first)
+        stops = begins + (end - first) - length + 1
+        h, keys = window_keys(np.frombuffer(line, np.uint8), length, anchor)
+        cut = np.r_[True, keys[1:] != keys[:-1], True]
+        cut[begins] = cut[stops] = True
+        cuts = np.flatnonzero(cut)
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        part = np.searchsorted(begins, starts, "right") - 1
+        inside = starts < stops[part]
+        starts, sizes, part = starts[inside], sizes[inside], part[inside]
+        hashes = [xxh64_intdigest(line[a:b]) for a, b in zip(starts.tolist(), (starts + sizes + length - 1).tolist(), strict=True)]
+        yield {
+            "text": owner[part], "start": (starts - begins[part] + first[part]).astype(np.int32), "windows": sizes.astype(np.int32), "key": keys[starts].view(np.int64),
+            "hash": np.array(hashes, np.uint64).view(np.int64), "again": _again(h, keys[starts], starts, sizes, length - anchor),
+        }
 
 
 def _next_anchor(anchor: int, length: int) -> int:
@@ -190,21 +224,20 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found: list[tuple] = []
-            for i, r, t in zip(b["id"], b["row"], b["text"], strict=True):
-                if t is not None and len(t) >= length:
-                    found += [(i, r, *x) for x in key_runs(t, length, anchor)]
-                if len(found) >= 1 << 16:
-                    yield pd.DataFrame(found, columns=["id", "row", "start", "windows", "key", "hash", "again"])
-                    found = []
-            if found:
-                yield pd.DataFrame(found, columns=["id", "row", "start", "windows", "key", "hash", "again"])
+            b = b[b["text"].notna()]
+            names = b["id"].to_numpy(object), b["row"].to_numpy(object)
+            for runs in key_runs(b["text"].tolist(), length, anchor):
+                of = runs.pop("text")
+                yield pd.DataFrame({"id": names[0][of], "row": names[1][of], **runs})
 
     path = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
     texts.mapInPandas(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
-    runs = spark.read.parquet(path)
+    # Most keys have one run, that cannot repeat anything: they go before anything wider than a key is aggregated.
+    found = spark.read.parquet(path)
+    live = found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key")
+    runs = checkpointed(found.join(live, "key"))
     segments = runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again"))
-    crowds = segments.groupBy("key").agg(F.count("*").alias("crowd"), F.sum("n").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key", "crowd")
+    crowds = segments.groupBy("key").agg(F.count("*").alias("crowd"))
     shared = checkpointed(segments.join(crowds, "key").select("key", "hash", "n", "crowd", ((F.col("crowd") > 1) | F.col("again") & (F.col("n") == 1)).alias("open"), "at.*"))
     last = anchor >= length
     to_fetch = shared.where("open").groupBy("id", "row").agg(F.collect_list(F.struct("key", "hash", "crowd", "start", "windows")).alias("wanted"))
