@@ -234,10 +234,11 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     texts.mapInPandas(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
     # Most keys have one run, that cannot repeat anything: they go before anything wider than a key is aggregated.
     found = spark.read.parquet(path)
-    live = found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key")
+    # Aggregates are checkpointed before they are joined by their keys: then a join is free to split a frequent key.
+    live = checkpointed(found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key"))
     runs = checkpointed(found.join(live, "key"))
-    segments = runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again"))
-    crowds = segments.groupBy("key").agg(F.count("*").alias("crowd"))
+    segments = checkpointed(runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again")))
+    crowds = checkpointed(segments.groupBy("key").agg(F.count("*").alias("crowd")))
     shared = checkpointed(segments.join(crowds, "key").select("key", "hash", "n", "crowd", ((F.col("crowd") > 1) | F.col("again") & (F.col("n") == 1)).alias("open"), "at.*"))
     last = anchor >= length
     to_fetch = shared.where("open").groupBy("id", "row").agg(F.collect_list(F.struct("key", "hash", "crowd", "start", "windows")).alias("wanted"))
@@ -293,7 +294,7 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
             parts = F.split("id", ":")
             marks = marks.unionByName(below.select(parts[0].cast("long").alias("key"), parts[1].cast("long").alias("hash"), F.col("starts").alias("within")))
     # A segment that is repeated throughout needs no other mark.
-    marks = marks.groupBy("key", "hash").agg(F.max(F.col("within").isNull()).alias("full"), F.flatten(F.collect_list("within")).alias("within"))
+    marks = checkpointed(marks.groupBy("key", "hash").agg(F.max(F.col("within").isNull()).alias("full"), F.flatten(F.collect_list("within")).alias("within")))
     marked = runs.join(marks, ["key", "hash"]).select(
         "id",
         F.when(F.col("full"), F.array("start", "windows")).otherwise(
