@@ -331,7 +331,7 @@ def _found(documents: DataFrame, id_col: str, text_col: str, length: int) -> Dat
     """documents with _bytes (the text as UTF-8; null: empty) and _starts."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.md5(data).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row"), data.alias("text"))
-    found = _repeats(texts, length, min(ANCHOR, length)).select(F.col("id").alias("_text_id"), F.col("starts").alias("_starts"))
+    found = checkpointed(_repeats(texts, length, min(ANCHOR, length)).select(F.col("id").alias("_text_id"), F.col("starts").alias("_starts")))
     named = documents.withColumns({"_bytes": data, "_md5": F.md5(data)})
     return named.join(found, named["_md5"] == found["_text_id"], "left").drop("_md5", "_text_id")
 
