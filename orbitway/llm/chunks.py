@@ -13,12 +13,12 @@ class ChunkTable(dict):
     """chunk -> its ids as little-endian bytes.
 
     encode gets a list of distinct chunks and returns their bytes in order. The table stops growing at
-    ENTRIES; further chunks are then encoded once a call instead of once a worker, with equal results.
+    `entries`; further chunks are then encoded once a call instead of once a worker, with equal results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], entries: int = ENTRIES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.entries = encode, entries
 
     def joined(self, chunks: list[str]) -> bytes:
         try:
@@ -27,6 +27,6 @@ class ChunkTable(dict):
             pass
         fresh = [*filterfalse(self.__contains__, set(chunks))]
         found = dict(zip(fresh, self.encode(fresh), strict=True))
-        if len(self) < ENTRIES:
+        if len(self) < self.entries:
             self.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
         return b"".join(map(self.get, chunks, map(found.get, chunks)))

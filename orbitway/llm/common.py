@@ -43,6 +43,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in Arrow batches of at most 1,000 rows and about 8 MB.
+
+    Both the JVM and the workers keep the memory of the largest batch that they had. It is a setting of
+    the session and stays; a smaller one that the session has is kept.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
+            spark.conf.set(key, str(most))
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions that a scan of df has: grows with the input, and no job runs."""
     return df.rdd.getNumPartitions()

@@ -16,6 +16,8 @@ from orbitway.llm.chunks import ChunkTable
 from orbitway.llm.common import table
 
 MARK = "▁"
+#: Marked words that a worker's table keeps; a reused worker holds on to them through later stages.
+WORDS = 100_000
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -44,7 +46,7 @@ class WordCodec:
         if self.model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("this model's normalizer changes more than spaces")
         self.first, self.last = (np.array([x], "<u4").tobytes() for x in (self.model.bos_id(), self.model.eos_id()))
-        self.words = ChunkTable(self._encode)
+        self.words = ChunkTable(self._encode, WORDS)
         self.words[""] = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()  # a marker with nothing after it
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:

@@ -21,7 +21,7 @@ ANCHOR = 128
 #: Different segments of a key that are compared together; keys with more go one level down.
 CROWD = 512
 #: Bytes of a transform, bytes of a task's segments, and window starts that are looked at in one go.
-BATCH, TASK, PIECE = 1 << 20, 8 << 20, 1 << 20
+BATCH, TASK, PIECE = 1 << 19, 8 << 20, 1 << 18
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
 
