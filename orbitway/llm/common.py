@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes 9 to 13 and 32 separate words.
@@ -59,3 +59,25 @@ def small_batches(spark: SparkSession) -> None:
 def input_partitions(df: DataFrame) -> int:
     """Partitions that a scan of df has: grows with the input, and no job runs."""
     return df.rdd.getNumPartitions()
+
+
+def text_key(text_col: str) -> Column:
+    """64 bits that stand for a text, whatever its row's id; a null text is as an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+
+
+def keep_one(documents: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of documents for each component of texts; all columns come back as they were.
+
+    roots: node (a text_key) and root of the texts that links reach; any other text is a component of
+    its own. The row that stays has the smallest id of its component, or a null one if all are null; of
+    several such rows it has the smallest text.
+    """
+    names = documents.columns
+    least = documents.groupBy(text_key(text_col).alias("_node")).agg(F.min(id_col).alias("_least"))
+    whole = least.join(roots, F.col("_node") == roots["node"], "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
+    named = whole.groupBy("_root").agg(F.min("_least").alias("_first"))
+    chosen = whole.join(named, "_root").where(F.col("_least").eqNullSafe(F.col("_first"))).select("_node", "_root", "_first")
+    kept = documents.withColumn("_key", text_key(text_col)).join(chosen, F.col("_key") == F.col("_node")).where(F.col(id_col).eqNullSafe(F.col("_first")))
+    turn = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(text_col)))
+    return kept.withColumn("_turn", turn).where("_turn = 1").select(*names)
