@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitway.llm.common import SPACE, checkpointed, table, word_count
+from orbitway.llm.common import SPACE, checkpointed, table, text_key, word_count
 
 #: Weights that the sources get in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -45,10 +45,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _streams(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, slope and start: the words of its source's stream before each document."""
+    """doc_id, text_key, source, size, source_size, target, slope and start: the words of its source's stream before each document."""
     sizes = checkpointed(
         documents.select(
             F.col(id_col).alias("doc_id"),
+            text_key(text_col).alias("text_key"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
@@ -58,10 +59,10 @@ def _streams(documents: DataFrame, id_col: str, text_col: str, source_col: str)
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = slices.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0).cast("long")).alias("base"))
     plan = bases.alias("b").join(source_targets(sizes).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "source_size", "target", "slope")
-    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).alias("d")
     return placed.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.slice") == F.col("p.slice"))).select(
-        "d.doc_id", "d.source", "size", "source_size", "target", "slope", (F.col("base") + F.col("inner")).alias("start")
+        "d.doc_id", "d.text_key", "d.source", "size", "source_size", "target", "slope", (F.col("base") + F.col("inner")).alias("start")
     )
 
 
@@ -114,17 +115,22 @@ def arrange(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each pass over a source that reaches a document before its target is full gives the document once,
     whole, at the position of that pass; documents that no pass reaches, and those without words, are
-    not in the mix. Columns come back as they were. Ids should name one row; rows that share an id are
-    each taken as often as all of them.
+    not in the mix. Columns come back as they were. Rows that share an id are documents of their own:
+    source, id, text and a number among rows alike in these three tell rows apart.
     """
     names = documents.columns
     streams = _streams(documents, id_col, text_col, source_col).where("size > 0")
+    alike = Window.partitionBy("doc_id", "text_key", "source").orderBy("start")
+    streams = streams.withColumn("copy", F.row_number().over(alike))
     reached = streams.withColumn("times", _passes() + (F.col("start") < _words() - _passes() * F.col("source_size")).cast("long")).where("times > 0")
     turns = reached.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    placed = turns.select(F.col("doc_id").alias("_id"), _position(F.col("start") + F.col("pass") * F.col("source_size")).alias("_position"))
-    out = documents.join(placed, documents[id_col].eqNullSafe(placed["_id"]))
+    placed = turns.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copy").alias("_copy"), _position(F.col("start") + F.col("pass") * F.col("source_size")).alias("_position"))
+    own = Window.partitionBy(id_col, "_own_key", source_col).orderBy("_own_key")
+    rows = documents.withColumn("_own_key", text_key(text_col)).withColumn("_own_copy", F.row_number().over(own))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_own_copy") == F.col("_copy"))
+    out = rows.join(placed, same)
     order = F.col("_position"), F.col(id_col).asc_nulls_first()
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*(documents[c] for c in names))
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from itertools import accumulate, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import checkpointed, table
+from orbitway.llm.common import checkpointed, keep_one, table, text_key
 from orbitway.llm.components import connected_components
 
 SEED = 42
@@ -196,14 +196,12 @@ def keep_first(documents: DataFrame, size: int = 5, radius: int = 6, id_col: str
     """The rows of documents but for near-duplicates: of each component, one row with its smallest id stays.
 
     All columns come back as they were. A component whose ids are all null keeps one row. Of rows that
-    repeat the smallest id, the one with the smallest text stays.
+    repeat the smallest id, the one with the smallest text stays. Components are told apart by their
+    texts, so that different texts may share an id, or have none.
     """
-    found = near_duplicates(documents, size, radius, id_col, text_col)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    names = documents.columns
-    kept = documents.join(first, documents[id_col].eqNullSafe(first["_kept_id"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*names)
+    nodes = documents.select(text_key(text_col).alias("_node"), F.col(text_col))
+    found = near_duplicates(nodes, size, radius, "_node", text_col)
+    return keep_one(documents, found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct(), id_col, text_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
