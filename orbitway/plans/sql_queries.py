@@ -238,13 +238,13 @@ def j16_forbidden_pairs(d):
 
 @query
 def j17_exit_choice(d):
-    """Two nearest exits along the lap from each entry, by steps and id."""
+    """Two nearest exits along the lap from each entry, by steps and id; not J17's facility choice and fallback."""
     return ("entry", "exit_ramp", "ring"), "select entry_id, exit_id, cast(steps as bigint) as steps from (select e.id as entry_id, x.id as exit_id, (x.pos - e.pos + r.edges) % r.edges as steps, row_number() over (partition by e.id order by (x.pos - e.pos + r.edges) % r.edges, x.id) as rn from entry e join exit_ramp x on x.route = e.route join ring r on r.route = e.route) where rn <= 2"
 
 
 @query
 def j18_parallel_edges(d):
-    """Edges of other routes whose middle is within 300 m, by cells, with a like heading."""
+    """Pairs of nodes within 300 m, by cells; J18's midpoints, headings and 60 m case are not here."""
     cell = lambda x: f"cast(floor({x} / cast(0.005 as double)) as bigint)"
     return ("node",), f"""select a.id as left_id, b.id as right_id from (select n.*, {cell('lat')} + dy as cy, {cell('lon')} + dx as cx from node n cross join (values (-1), (0), (1)) as s(dy) cross join (values (-1), (0), (1)) as t(dx)) a
         join (select n.*, {cell('lat')} as cy, {cell('lon')} as cx from node n) b on a.cy = b.cy and a.cx = b.cx and a.id < b.id where {geo.equirectangular('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 300"""
