@@ -13,20 +13,27 @@ class ChunkTable(dict):
     """chunk -> its ids as little-endian bytes.
 
     encode gets a list of distinct chunks and returns their bytes in order. The table stops growing at
-    `entries`; further chunks are then encoded once a call instead of once a worker, with equal results.
+    `entries`; further chunks are then encoded once a call (for all texts of a piece of an Arrow batch)
+    instead of once a worker, with equal results.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], entries: int = ENTRIES):
         super().__init__()
         self.encode, self.entries = encode, entries
 
+    def joined_all(self, lists: list[list[str]]) -> list[bytes]:
+        """The bytes of each list's chunks in turn; what the table lacks is encoded once for all lists."""
+        fresh = [*filterfalse(self.__contains__, set().union(*lists))]
+        if not fresh:
+            return [b"".join(map(self.__getitem__, own)) for own in lists]
+        room = self.entries - len(self)
+        self.update(zip(fresh, self.encode(fresh), strict=True))
+        out = [b"".join(map(self.__getitem__, own)) for own in lists]
+        stay = [c for c in fresh if len(c) <= LONGEST][: max(0, room)]
+        if len(stay) < len(fresh):
+            for c in set(fresh).difference(stay):
+                del self[c]
+        return out
+
     def joined(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
-        fresh = [*filterfalse(self.__contains__, set(chunks))]
-        found = dict(zip(fresh, self.encode(fresh), strict=True))
-        if len(self) < self.entries:
-            self.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
-        return b"".join(map(self.get, chunks, map(found.get, chunks)))
+        return self.joined_all([chunks])[0]

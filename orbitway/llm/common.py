@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes 9 to 13 and 32 separate words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,16 +23,25 @@ _lock = threading.Lock()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
 
-    Only where neither that setting nor an earlier call names one (tests, local runs) is a temporary
-    folder set.
+    Only where neither that setting nor an earlier call names one, and driver and executors are one
+    process (tests, local runs), is a temporary folder set; a cluster must name one.
     """
     context = spark.sparkContext
     with _lock:
         if not context.getCheckpointDir():
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orbitway-"))
+            named = context.getConf().get("spark.checkpoint.dir")
+            if not named and not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orbitway-"))
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables that nothing reads any more, wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -43,17 +57,46 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers in Arrow batches of at most 1,000 rows and about 8 MB.
+#: Rows and bytes of a piece of an Arrow batch that a Python worker turns into objects at once.
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut, without copying, into pieces of at most `rows` rows and (but for a single row) `size` bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+
 
-    Both the JVM and the workers keep the memory of the largest batch that they had. It is a setting of
-    the session and stays; a smaller one that the session has is kept.
+def appended(df: DataFrame, column: str, run: Callable[[list], Sequence[Sequence]], added: T.StructType, **limits: int) -> DataFrame:
+    """df without `column`, and with the columns that run makes of its values, piece by piece.
+
+    The other columns stay in Arrow, so that null and very large ids come back as they were.
     """
-    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key)
-        if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
-            spark.conf.set(key, str(most))
+    kept = [f for f in df.schema.fields if f.name != column]
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    at = df.columns.index(column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, **limits):
+            made = run(b.column(at).to_pylist())
+            own = [b.column(i) for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=[f.name for f in kept] + added.names)
+
+    return df.mapInArrow(work, T.StructType(kept + added.fields))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it differ from all columns of df (whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def input_partitions(df: DataFrame) -> int:
@@ -71,13 +114,27 @@ def keep_one(documents: DataFrame, roots: DataFrame, id_col: str, text_col: str)
 
     roots: node (a text_key) and root of the texts that links reach; any other text is a component of
     its own. The row that stays has the smallest id of its component, or a null one if all are null; of
-    several such rows it has the smallest text.
+    several such rows it has the smallest text. Which row that is, is settled on ids and text keys: copies
+    are pre-aggregated, and no component's texts meet in one task.
     """
-    names = documents.columns
-    least = documents.groupBy(text_key(text_col).alias("_node")).agg(F.min(id_col).alias("_least"))
-    whole = least.join(roots, F.col("_node") == roots["node"], "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
-    named = whole.groupBy("_root").agg(F.min("_least").alias("_first"))
-    chosen = whole.join(named, "_root").where(F.col("_least").eqNullSafe(F.col("_first"))).select("_node", "_root", "_first")
-    kept = documents.withColumn("_key", text_key(text_col)).join(chosen, F.col("_key") == F.col("_node")).where(F.col(id_col).eqNullSafe(F.col("_first")))
-    turn = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(text_col)))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*names)
+    key, node, first, turn = (free_name(documents, n) for n in ("_key", "_node", "_first", "_turn"))
+    texts = documents.select(text_key(text_col).alias("node"), F.col(id_col).alias("id"))
+    least = texts.groupBy("node").agg(F.min("id").alias("least"))
+    linked = roots.select(F.col("node").alias("linked"), "root")
+    whole = checkpointed(least.join(linked, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    # Aggregates are checkpointed before they are joined by their keys: then a join may split a large component.
+    named = checkpointed(whole.groupBy("root").agg(F.min("least").alias("first")))
+    chosen = checkpointed(whole.join(named, "root").where(F.col("least").eqNullSafe(F.col("first"))).select("node", "root", "first"))
+    # Mostly one text of a component has its smallest id; of several, min_by keeps one a partition before its shuffle.
+    several = checkpointed(chosen.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
+    final = chosen.join(several, "root", "left_anti").select(F.col("node").alias(node), F.col("first").alias(first))
+    keyed = documents.withColumn(key, text_key(text_col))
+    if not several.isEmpty():
+        tied = chosen.join(several, "root").select(F.col("node").alias(node), F.col("root").alias("root"), F.col("first").alias(first))
+        smallest = keyed.select(F.col(key), F.col(text_col).alias("text")).join(tied, F.col(key) == F.col(node)).groupBy("root").agg(F.min_by(F.struct(node, first), F.struct("text", key)).alias("best"))
+        final = final.unionByName(smallest.select("best.*"))
+    rows = keyed.join(final, F.col(key) == F.col(node)).where(F.col(id_col).eqNullSafe(F.col(first)))
+    # Copies of one text with one id: the row with the smallest hash of its plain columns.
+    plain = [F.col(f"`{f.name}`") for f in documents.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    placed = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*plain))))
+    return placed.where(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitway.llm.common import table
+from orbitway.llm.common import free_name, table
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -25,6 +25,8 @@ _SPACE = re.compile(r"\s+")
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style noscript template title textarea svg math iframe object canvas select".split())
+_UNCLOSED = frozenset("script style title textarea iframe".split())  # of those, what runs on to the end of the page if it isn't closed
+_WRAPPERS = frozenset("div section center".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -51,6 +53,7 @@ def parse(page: str | None) -> Tree:
     open_: list[int] = [0]
     text: list[str] = []
     linked = depth = at = 0
+    missing: set[str] = set()
 
     def flush() -> None:
         nonlocal text, linked
@@ -81,7 +84,12 @@ def parse(page: str | None) -> Tree:
             continue
         if tag in _RAW:
             # What these hold isn't text of the page; it ends at their own end tag, whatever it looks like.
+            if tag in ("svg", "math") and m[3].endswith("/") or tag in missing:
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if not end and tag not in _UNCLOSED:
+                missing.add(tag)  # nowhere further on either
+                continue
             at = end.end() if end else len(page)
             continue
         if tag == "a":
@@ -120,7 +128,7 @@ def _features(tree: Tree) -> list[tuple[str, ...]]:
     out = []
     for i in range(n):
         shown = [f"name={w}" for w in tree.names[i]]
-        if tree.tags[i] not in ("#page", "html", "body"):  # these hold both kinds
+        if tree.tags[i] not in ("#page", "html", "body") and (letters[i] or tree.names[i] or tree.tags[i] not in _WRAPPERS):  # these hold both kinds
             shown.append(f"tag={tree.tags[i]}")
         if letters[i] and i:
             shown.append(f"letters={min(6, int(math.log(letters[i], 4)))}")
@@ -129,6 +137,10 @@ def _features(tree: Tree) -> list[tuple[str, ...]]:
     return out
 
 
+#: Log-odds of a state that is taken as given.
+CERTAIN = 30.0
+
+
 @dataclass(frozen=True)
 class PageModel:
     """unary: feature -> log-odds of content; bias: of the root; stay: P(child has its parent's state) for boilerplate and content."""
@@ -137,23 +149,35 @@ class PageModel:
     bias: float
     stay: tuple[float, float]
 
-    def marginals(self, tree: Tree) -> list[float]:
-        """P(content) of each element, exactly: messages from the leaves to the root, then back."""
+    def stays(self, tree: Tree) -> list[tuple[float, float]]:
+        """P(element has its parent's state) by that state. Nameless wrappers around a single element have its state."""
+        n, parent = len(tree.tags), tree.parent
+        children, shows = [0] * n, [False] * n
+        for p in parent[1:]:
+            children[p] += 1
+        for i, _, _ in tree.runs:
+            shows[i] = True
+        wraps = [children[i] == 1 and not shows[i] and not tree.names[i] and tree.tags[i] in _WRAPPERS for i in range(n)]
+        return [self.stay, *((1.0, 1.0) if wraps[p] else self.stay for p in parent[1:])]
+
+    def marginals(self, tree: Tree, bias: float | None = None) -> list[float]:
+        """P(content) of each element, exactly: messages from the leaves to the root, then back. bias: of the root, if not the model's."""
         n, parent, get = len(tree.tags), tree.parent, self.unary.get
-        (b, c) = self.stay
+        stays = self.stays(tree)
         own = [1 / (1 + math.exp(-max(-20.0, min(20.0, sum(get(f, 0.0) for f in fs))))) for fs in _features(tree)]
         zero, one = [1 - x for x in own], own[:]  # products of own evidence and messages from children
         up0, up1 = [0.0] * n, [0.0] * n
         for i in range(n - 1, 0, -1):
             s = zero[i] + one[i]
             z, o = zero[i] / s, one[i] / s
+            b, c = stays[i]
             up0[i], up1[i] = b * z + (1 - b) * o, (1 - c) * z + c * o
             p = parent[i]
             zero[p] *= up0[i]
             one[p] *= up1[i]
             s = zero[p] + one[p]
             zero[p], one[p] = zero[p] / s, one[p] / s
-        first = 1 / (1 + math.exp(-self.bias))
+        first = 1 / (1 + math.exp(-(self.bias if bias is None else bias)))
         zero[0], one[0] = zero[0] * (1 - first), one[0] * first
         out = [0.0] * n
         out[0] = one[0] / (zero[0] + one[0])
@@ -163,6 +187,7 @@ class PageModel:
             z, o = (1 - out[p]) / max(up0[i], 1e-300), out[p] / max(up1[i], 1e-300)
             s = z + o
             z, o = z / s, o / s
+            b, c = stays[i]
             z, o = (b * z + (1 - c) * o) * zero[i], ((1 - b) * z + c * o) * one[i]
             out[i] = o / (z + o)
         return out
@@ -172,6 +197,9 @@ class PageModel:
         if not tree.runs:
             return ""
         p = self.marginals(tree)
+        if not any(p[i] >= 0.5 for i, _, _ in tree.runs):
+            # Nothing stands out, as on a page that is all article: its root is then content, and what speaks against that goes.
+            p = self.marginals(tree, CERTAIN)
         return "\n".join(t for i, t, _ in tree.runs if p[i] >= 0.5)
 
 
@@ -239,7 +267,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
         return block(0, "header", block(0, pick.choice(["h1", "div", "p"]), words(1, 6)), pick.choice(["", "site-header", "masthead"]))
 
     def piece() -> str:
-        kind = pick.randrange(14)
+        kind = pick.randrange(15)
         if kind < 9:
             return block(1, "p", words(*pick.choice([(2, 12), (10, 60), (40, 300)])) + (f' <a href="/y">{words(1, 4)}</a> {words(2, 20)}' if pick.random() < 0.2 else ""))
         if kind == 9:
@@ -250,6 +278,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
             return block(1, "blockquote", block(1, "p", words(5, 50)))
         if kind == 12:
             return block(1, "pre", words(3, 30))
+        if kind == 13:
+            return block(1, "dl", "".join(block(1, "dt", words(1, 4)) + block(1, "dd", words(2, 25)) for _ in range(pick.randint(1, 4))))
         return block(1, "table", "".join(block(1, "tr", "".join(block(1, "td", words(1, 8)) for _ in range(3))) for _ in range(3)))
 
     for _ in range(n):
@@ -271,15 +301,17 @@ def default_model() -> PageModel:
     return train((parse(p), y) for p, y in labelled_pages())
 
 
-def extract(pages: DataFrame, model: PageModel | None = None, html_col: str = "html") -> DataFrame:
-    """pages with column main_text: the text of all content elements of the whole page.
+def extract(pages: DataFrame, model: PageModel | None = None, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
+    """pages with column out_col: the text of all content elements of the whole page.
 
     The page's elements form a tree whose nodes are content or boilerplate. Evidence at each node and
     potentials between parent and child are learnt from labelled pages; sum-product messages up and
     down the tree give each node's marginal, and nodes of one half or more are content. Their text has
     character references decoded, white space inside a block made one space, and blocks joined by a
     line break in page order. Null, empty and text-free pages give an empty text; a page without
-    markup is one block. All rows and columns come back.
+    markup is one block; very long and deep pages are read whole, in time linear in their length. All
+    rows, repeated ones too, and all columns come back; where pages have such a column already,
+    underscores are put after the new one's name. An empty table gives no rows.
     """
     own = model or default_model()
 
@@ -287,9 +319,9 @@ def extract(pages: DataFrame, model: PageModel | None = None, html_col: str = "h
         for b in batches:
             yield pd.Series([own.text(p) for p in b], dtype=object)
 
-    return pages.withColumn("main_text", F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)))
+    return pages.withColumn(free_name(pages, out_col), F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
-    found = extract(table(spark, sf_dir, "pages"))
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitway.llm.common import SPACE, checkpointed, table, text_key, word_count
+from orbitway.llm.common import SPACE, checkpointed, free_name, table, text_key, word_count
 
 #: Weights that the sources get in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -124,13 +124,16 @@ def arrange(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     streams = streams.withColumn("copy", F.row_number().over(alike))
     reached = streams.withColumn("times", _passes() + (F.col("start") < _words() - _passes() * F.col("source_size")).cast("long")).where("times > 0")
     turns = reached.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    placed = turns.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copy").alias("_copy"), _position(F.col("start") + F.col("pass") * F.col("source_size")).alias("_position"))
-    own = Window.partitionBy(id_col, "_own_key", source_col).orderBy("_own_key")
-    rows = documents.withColumn("_own_key", text_key(text_col)).withColumn("_own_copy", F.row_number().over(own))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_own_copy") == F.col("_copy"))
+    placed = turns.select("doc_id", "text_key", "source", "copy", _position(F.col("start") + F.col("pass") * F.col("source_size")).alias("position"))
+    own = {n: free_name(documents, f"_mix_{n}") for n in ("doc_id", "text_key", "source", "copy", "position")}
+    placed = placed.select(*(F.col(n).alias(x) for n, x in own.items()))
+    key, copy = free_name(documents, "_own_key"), free_name(documents, "_own_copy")
+    turn = Window.partitionBy(id_col, key, source_col).orderBy(key)
+    rows = documents.withColumn(key, text_key(text_col)).withColumn(copy, F.row_number().over(turn))
+    same = F.col(id_col).eqNullSafe(F.col(own["doc_id"])) & (F.col(key) == F.col(own["text_key"])) & F.col(source_col).eqNullSafe(F.col(own["source"])) & (F.col(copy) == F.col(own["copy"]))
     out = rows.join(placed, same)
-    order = F.col("_position"), F.col(id_col).asc_nulls_first()
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)
+    order = F.col(own["position"]), F.col(id_col).asc_nulls_first()
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

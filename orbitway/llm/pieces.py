@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitway.llm.chunks import ChunkTable
-from orbitway.llm.common import table
+from orbitway.llm.common import appended, table
 
 MARK = "▁"
 #: Marked words that a worker's table keeps; a reused worker holds on to them through later stages.
@@ -27,6 +27,16 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _words(text: str | None) -> list[str]:
+    """What follows each marker of the marked text."""
+    if not text:
+        return []
+    text = text.replace(MARK, " ")
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in _RUNS.findall(f" {text}")]
+    return text.split(" ")
+
+
 class WordCodec:
     """Encodes and decodes exactly as a SentencePiece model does, one distinct marked word at a time.
 
@@ -52,16 +62,13 @@ class WordCodec:
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         return (np.array(x, "<u4").tobytes() for x in self.model.encode(words, num_threads=1))
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text with begin and end id as little-endian unsigned 32-bit integers; a word that is new to the table is segmented once for all texts."""
+        marked = [_words(t) for t in texts]
+        return [self.first + x + self.last for x in self.words.joined_all(marked)]
+
     def encode(self, text: str | None) -> bytes:
-        """Ids with begin and end id as little-endian unsigned 32-bit integers."""
-        if not text:
-            return self.first + self.last
-        text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w[1:] for w in _RUNS.findall(f" {text}")]
-        else:
-            words = text.split(" ")
-        return self.first + self.words.joined(words) + self.last
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return self.model.decode(np.frombuffer(ids, "<u4").tolist())
@@ -81,33 +88,26 @@ def encode(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> tuple:
         own = codec(model)
-        for b in batches:
-            ids = [own.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
+        ids = own.encode_all(texts)
+        return [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], [own.decode(x) for x in ids]
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, rows.select("doc_id", F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")).schema)
+    return appended(rows, "text", run, T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string"))
 
 
 def digests(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode()'s values without moving them out of the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> tuple:
         own = codec(model)
-        for b in batches:
-            ids = [own.encode(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids],
-            })
+        ids = own.encode_all(texts)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(own.decode(x).encode()) for x in ids]
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
-    return rows.mapInPandas(run, out.schema)
+    return appended(rows, "text", run, T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 
 def op7_sentencepiece(spark, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -7,19 +7,21 @@ from itertools import accumulate, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import checkpointed, keep_one, table, text_key
+from orbitway.llm.common import appended, checkpointed, keep_one, pieces, table, text_key
 from orbitway.llm.components import connected_components
 
 SEED = 42
 BITS = 64
 #: A fingerprint's population counts are taken over this many equal parts of its bits.
 PARTS = 4
-#: Rows that a tile compares at once, and rows of the home side of a tile task.
-BLOCK, HOME = 1024, 16384
+#: Rows that a tile compares at once, and rows of each side of a tile task, on average.
+BLOCK, SIDE = 1024, 4096
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -51,13 +53,8 @@ def fingerprint(text: bytes | None, size: int) -> int:
 
 def fingerprints(documents: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp of every row; texts are read whole, as bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, size) for t in b["text"]], np.int64)})
-
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return appended(rows, "text", lambda texts: ([fingerprint(t, size) for t in texts],), T.StructType().add("fp", "long"))
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -121,26 +118,24 @@ class Forest:
                 self.up = deeper
 
 
-def tile_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among home rows and between home rows and visitors.
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the left rows (right: None), or between left and right rows.
 
     Both sides are ordered by population count and cut into blocks; a pair of blocks whose counts lie
     further apart than the radius is skipped, others are compared whole by exclusive-or and bit count.
     """
     order = lambda x: x[np.argsort(np.bitwise_count(x), kind="stable")]
-    rows = np.concatenate([order(home), order(visitors)])
+    n = len(left)
+    rows = order(left) if right is None else np.concatenate([order(left), order(right)])
     ones = np.bitwise_count(rows).astype(np.int64)
     forest = Forest(len(rows))
-    cuts = [*range(0, len(home), BLOCK), *range(len(home), len(rows), BLOCK)]
-    blocks = [(a, min(a + BLOCK, len(home) if a < len(home) else len(rows))) for a in cuts]
-    for a0, a1 in blocks:
-        if a0 >= len(home):
-            break
-        for b0, b1 in blocks:
-            if b0 < a0 or ones[b0] - ones[a1 - 1] > radius or ones[a0] - ones[b1 - 1] > radius:
+    cut = lambda a, b: [(x, min(x + BLOCK, b)) for x in range(a, b, BLOCK)]
+    own = cut(0, n)
+    for a0, a1 in own:
+        for b0, b1 in cut(n, len(rows)) if right is not None else own:
+            if right is None and b0 < a0 or ones[b0] - ones[a1 - 1] > radius or ones[a0] - ones[b1 - 1] > radius:
                 continue
-            near = np.bitwise_count(rows[a0:a1, None] ^ rows[None, b0:b1]) <= radius
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(np.bitwise_count(rows[a0:a1, None] ^ rows[None, b0:b1]) <= radius)
             if len(i):
                 forest.link(i + a0, j + b0)
     child = np.nonzero(forest.up != np.arange(len(rows)))[0]
@@ -150,28 +145,35 @@ def tile_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """u, v: edges between distinct fingerprints (column fp, no repeats) that connect just those which links of at most radius bits connect.
 
-    Each tile is compared whole. A tile with many home rows is cut into home slices by a hash, and its
-    visitors, and the home rows of later slices, go to each slice: no task has more than about HOME rows
-    of the home side. The number of tiles has a fixed bound, so that their sizes may be broadcast.
+    Each tile is compared whole: its home rows with each other, and with its visitors. Both sides are cut
+    into slices of about SIDE rows by a hash, and each two slices meet in a task of their own, so that no
+    task has more than two slices, however dense the tile. The number of tiles has a fixed bound, so that
+    their sizes may be broadcast.
     """
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield _visits(b["fp"].to_numpy(np.int64).view(np.uint64), radius)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_pandas(_visits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius), preserve_index=False)
 
     def compare(key, group: pd.DataFrame) -> pd.DataFrame:
-        fp, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool)
-        u, v = tile_links(fp[home], fp[~home], radius) if home.any() else (fp[:0], fp[:0])
+        fp, home, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool), group["side"].to_numpy(np.int64)
+        _, a, visiting, b = (int(x) for x in key)
+        left, right = fp[home & (side == a)], fp[~home] if visiting else None if a == b else fp[home & (side == b)]
+        u, v = tile_links(left, right, radius) if len(left) and (right is None or len(right)) else (fp[:0], fp[:0])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    visits = prints.select("fp").mapInPandas(spread, "tile long, fp long, home boolean")
-    sizes = visits.where("home").groupBy("tile").agg(F.ceil(F.count("*") / F.lit(HOME)).cast("int").alias("slices"))
+    visits = prints.select("fp").mapInArrow(spread, "tile long, fp long, home boolean")
+    slices = lambda which: F.ceil(F.count(F.when(which, 1)) / F.lit(SIDE)).cast("int")
+    sizes = visits.groupBy("tile").agg(slices(F.col("home")).alias("homes"), slices(~F.col("home")).alias("visitors")).where("homes > 0")
     # A tile without home rows has no comparison to make; the inner join drops its visitors.
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-    cut = visits.join(F.broadcast(sizes), "tile").withColumn("own", own)
-    dealt = cut.withColumn("slice", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("own"))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
-    dealt = dealt.select("tile", "slice", "fp", (F.col("home") & (F.col("own") == F.col("slice"))).alias("home"))
-    return dealt.groupBy("tile", "slice").applyInPandas(compare, "u long, v long")
+    cut = visits.join(F.broadcast(sizes), "tile").withColumn("side", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visitors"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = lambda a, visiting, b: F.struct(a.alias("a"), F.lit(visiting).alias("visiting"), b.alias("b"))
+    home_pairs = F.transform(upto("homes"), lambda x: one(F.least(x, F.col("side")), 0, F.greatest(x, F.col("side"))))
+    home_visits = F.when(F.col("visitors") > 0, F.transform(upto("visitors"), lambda x: one(F.col("side"), 1, x))).otherwise(F.array())
+    meets = F.when(F.col("home"), F.concat(home_pairs, home_visits)).otherwise(F.transform(upto("homes"), lambda x: one(x, 1, F.col("side"))))
+    dealt = cut.select("tile", "fp", "home", "side", F.explode(meets).alias("meet")).select("tile", "meet.*", "fp", "home", "side")
+    return dealt.groupBy("tile", "a", "visiting", "b").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,8 +201,8 @@ def keep_first(documents: DataFrame, size: int = 5, radius: int = 6, id_col: str
     repeat the smallest id, the one with the smallest text stays. Components are told apart by their
     texts, so that different texts may share an id, or have none.
     """
-    nodes = documents.select(text_key(text_col).alias("_node"), F.col(text_col))
-    found = near_duplicates(nodes, size, radius, "_node", text_col)
+    nodes = documents.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
+    found = near_duplicates(nodes, size, radius, "node", "text")
     return keep_one(documents, found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct(), id_col, text_col)
 
 

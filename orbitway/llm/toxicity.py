@@ -12,8 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orbitway.llm.common import table
+from orbitway.llm.common import appended, free_name, table
 
 #: The model is fitted on at most this many labelled rows (those with the smallest md5 of their id).
 TRAINING_ROWS = 20_000
@@ -38,28 +39,34 @@ def tokens(text: str | None) -> list[str]:
 
 
 def segments(weights: list[float]) -> list[float]:
-    """Scores of all maximal scoring segments, by one linear scan (Ruzzo and Tompa).
+    """Scores of all maximal scoring segments."""
+    return [b - a for a, b, _, _ in placed_segments(weights)]
+
+
+def placed_segments(weights: list[float]) -> list[tuple[float, float, int, int]]:
+    """(sum before it, sum at its end, first, last) of all maximal scoring segments, by one linear scan (Ruzzo and Tompa).
 
     A candidate is (sum before it, sum at its end); a new one absorbs those back to the nearest whose
     start lies lower, as long as that one's end lies lower than its own.
     """
-    kept: list[list[float]] = []
+    # Of each candidate: sums, first and last weight, and the nearest candidate before it that starts lower.
+    kept: list[tuple[float, float, int, int, int]] = []
     total = 0.0
-    for w in weights:
+    for at, w in enumerate(weights):
         before, total = total, total + w
         if w <= 0:
             continue
-        left, right = before, total
+        left, first = before, at
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][0] >= left:
-                j -= 1
-            if j < 0 or kept[j][1] >= right:
-                kept.append([left, right])
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= total:
+                kept.append((left, total, first, at, j))
                 break
-            left = kept[j][0]
+            left, first = kept[j][0], kept[j][2]
             del kept[j:]
-    return [b - a for a, b in kept]
+    return [x[:4] for x in kept]
 
 
 @dataclass(frozen=True)
@@ -73,13 +80,13 @@ class Model:
     slope: float = 1.0
     base: float = -2.0
 
-    def scores(self, text: str | None) -> tuple[list[float], int]:
-        """Segment scores and the number of tokens. Runs of tokens that can't start a segment are summed first."""
+    def runs(self, found: list[str]) -> tuple[list[float], list[int]]:
+        """Weights and the token that each is of. Tokens that can't start a segment are summed up to the next that can."""
         words, stems = self.words, self.stems
-        found = tokens(text)
-        runs: list[float] = []
+        out: list[float] = []
+        places: list[int] = []
         down = 0.0
-        for t in found:
+        for i, t in enumerate(found):
             w = words.get(t)
             if w is None:
                 w = stems.get(t[:STEM])
@@ -90,10 +97,27 @@ class Model:
                 down += w
                 continue
             if down:
-                runs.append(down)
+                out.append(down)
+                places.append(i)
                 down = 0.0
-            runs.append(w)
-        return segments(runs), len(found)
+            out.append(w)
+            places.append(i)
+        return out, places
+
+    def scores(self, text: str | None) -> tuple[list[float], int]:
+        """Segment scores and the number of tokens."""
+        found = tokens(text)
+        return segments(self.runs(found)[0]), len(found)
+
+    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(begin, end, evidence) of the segments that count in evidence(), as code points of the text."""
+        lowered = (text or "").lower()
+        if len(lowered) != len(text or ""):  # a few letters have two in lower case: those stay as they are
+            lowered = "".join(x if len(x) == 1 else c for c in text or "" for x in [c.lower()])
+        spots = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(lowered)]
+        weights, places = self.runs([t for t, _, _ in spots])
+        floor = self.log_k + math.log(max(len(spots), 1))
+        return [(spots[places[i]][1], spots[places[j]][2], x) for a, b, i, j in placed_segments(weights) if (x := self.rate * (b - a) - floor) > 0]
 
     def evidence(self, text: str | None) -> float:
         """Sum over the segments that chance would show less than once in a text of this length (expected count K m exp(-rate S) < 1) of -ln of that count."""
@@ -141,13 +165,16 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Weights come from the folds other than CALIBRATE; the law of chance segments (a Gumbel law, by its
     moments over clean texts) and the logistic map from CALIBRATE. A row labelled more than once is
-    toxic if any of its labels is; null labels, ids and texts aren't learnt from. Without rows of both
+    toxic if any of its labels is; null labels, ids and texts aren't learnt from; of rows that share an
+    id, the smallest text is. Without rows of both
     classes the model knows no token and scores all texts alike.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != HELD_OUT))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_toxic"))
     chosen = chosen.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(TRAINING_ROWS)
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "_id").withColumn("fold", fold(F.col("_id")))
+    found = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "_id")
+    # One row an id, so that repeated rows don't pass the bound.
+    rows = found.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).withColumn("fold", fold(F.col("_id")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -193,21 +220,37 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return Model(fitted.words, fitted.stems, rate, log_k, slope, base)
 
 
-def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """documents with column toxicity (0 to 1); all rows, and all other columns, come back as they were.
+def score(documents: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """documents with column out_col (0 to 1); all rows, and all other columns, come back as they were.
 
-    The whole text is read in one linear scan. Null and empty texts get the score of no evidence.
+    The whole text, however long, is read in one linear scan. Null and empty texts get the score of no
+    evidence; repeated rows get the same score. Where documents have such a column already, underscores
+    are put after the new one's name. An empty table gives no rows.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series([model.score(t) for t in b], dtype=float)
 
-    return documents.withColumn("toxicity", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return documents.withColumn(free_name(documents, out_col), F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+
+
+def passages(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, begin, end, evidence of every significant toxic passage: code points [begin, end) of the text.
+
+    A passage is a maximal segment that chance would show less than once in a text of its length;
+    evidence is -ln of that expected count. Texts without one (null and empty texts too) give no row;
+    repeated rows give theirs each.
+    """
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = T.ArrayType(T.StructType().add("begin", "long").add("end", "long").add("evidence", "double"))
+    found = appended(rows, "text", lambda texts: ([model.passages(t) for t in texts],), T.StructType().add("found", kind))
+    return found.select("doc_id", F.explode("found").alias("one")).select("doc_id", "one.*")
 
 
 def clean_rows(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows that score below the threshold, with the columns that they had."""
-    return score(documents, model, text_col).where(F.col("toxicity") < threshold).select(*documents.columns)
+    name = free_name(documents, "toxicity")
+    return score(documents, model, text_col, name).where(F.col(name) < threshold).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
