@@ -8,16 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import checkpointed, shared_folder, table
+from orbitway.llm.common import appended, checkpointed, free_name, pieces, remove_folder, shared_folder, table
 
 #: Shortest repeat, in bytes.
 LENGTH = 400
-#: Bytes that windows must share to be compared at all, at the first level; later levels halve the rest to LENGTH.
-ANCHOR = 128
+#: Windows of n bytes must share a string of n // ANCHOR bytes to be compared at all, at the first level; later levels halve the rest.
+ANCHOR = 3
 #: Different segments of a key that are compared together; keys with more go one level down.
 CROWD = 512
 #: Bytes of a transform, bytes of a task's segments, and window starts that are looked at in one go.
@@ -222,40 +224,45 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     """
     spark = texts.sparkSession
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b[b["text"].notna()]
-            names = b["id"].to_numpy(object), b["row"].to_numpy(object)
-            for runs in key_runs(b["text"].tolist(), length, anchor):
-                of = runs.pop("text")
-                yield pd.DataFrame({"id": names[0][of], "row": names[1][of], **runs})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            for runs in key_runs(b.column(2).to_pylist(), length, anchor):
+                of = pa.array(runs.pop("text"))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *map(pa.array, runs.values())], names=["id", "row", *runs])
 
     path = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
-    texts.mapInPandas(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
+    texts.select("id", "row", "text").mapInArrow(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
     # Most keys have one run, that cannot repeat anything: they go before anything wider than a key is aggregated.
     found = spark.read.parquet(path)
     # Aggregates are checkpointed before they are joined by their keys: then a join is free to split a frequent key.
     live = checkpointed(found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key"))
     runs = checkpointed(found.join(live, "key"))
+    remove_folder(spark, path)
     segments = checkpointed(runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again")))
     crowds = checkpointed(segments.groupBy("key").agg(F.count("*").alias("crowd")))
     shared = checkpointed(segments.join(crowds, "key").select("key", "hash", "n", "crowd", ((F.col("crowd") > 1) | F.col("again") & (F.col("n") == 1)).alias("open"), "at.*"))
     last = anchor >= length
     to_fetch = shared.where("open").groupBy("id", "row").agg(F.collect_list(F.struct("key", "hash", "crowd", "start", "windows")).alias("wanted"))
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found, size = [], 0
-            for t, wanted in zip(b["text"], b["wanted"], strict=True):
-                found += [(w["key"], w["hash"], w["crowd"], t[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-                size += sum(len(x[3]) for x in found[len(found) - len(wanted) :])
-                if size >= TASK:
-                    yield pd.DataFrame(found, columns=["key", "hash", "crowd", "segment"])
-                    found, size = [], 0
-            if found:
-                yield pd.DataFrame(found, columns=["key", "hash", "crowd", "segment"])
-
-    fetched = texts.join(to_fetch, ["id", "row"]).select("text", "wanted").mapInPandas(fetch, "key long, hash long, crowd long, segment binary")
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 100):
+            wanted = b.column(1).flatten()
+            fields = {n: wanted.field(n) for n in ("key", "hash", "crowd", "start", "windows")}
+            owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            begins, windows, texts_ = fields["start"].to_numpy(), fields["windows"].to_numpy(), b.column(0)
+            ends = np.cumsum(windows.astype(np.int64) + length)
+            at = 0
+            while at < len(owner):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TASK, "right")))
+                segments, last, text = [], -1, b""
+                for o, x, w in zip(owner[at:to].tolist(), begins[at:to].tolist(), windows[at:to].tolist(), strict=True):
+                    if o != last:
+                        last, text = o, texts_[o].as_py()
+                    segments.append(text[x : x + w + length - 1])
+                yield pa.RecordBatch.from_arrays([*(fields[n].slice(at, to - at) for n in ("key", "hash", "crowd")), pa.array(segments, pa.binary())], names=["key", "hash", "crowd", "segment"])
+                at = to
+
+    fetched = texts.join(to_fetch, ["id", "row"]).select("text", "wanted").mapInArrow(fetch, "key long, hash long, crowd long, segment binary")
     few, many, size = shared.where("open").agg(F.count(F.when(F.col("crowd") <= CROWD, 1)), F.count(F.when(F.col("crowd") > CROWD, 1)), F.sum(F.col("windows") + length)).first()
     whole = shared.where("n > 1").select("key", "hash", F.lit(None).cast("array<int>").alias("within"))
     marks = whole
@@ -264,17 +271,18 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
         near = fetched if last else fetched.where(F.col("crowd") <= CROWD)
         dealt = near.repartition(max(1, -(-int(size) // TASK)), "key").sortWithinPartitions("key", "hash")
 
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def done(names: list, segments: list[bytes]) -> pd.DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def done(names: list, segments: list[bytes]) -> pa.RecordBatch:
                 starts = repeated_starts(segments, length)
                 rows = [(k, h, _pairs(s)) for (k, h), s in zip(names, starts, strict=True) if len(s)]
-                return pd.DataFrame(rows, columns=["key", "hash", "within"])
+                columns = zip(*rows, strict=True) if rows else ([], [], [])
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["key", "hash", "within"])
 
             names: list[tuple[int, int]] = []
             segments: list[bytes] = []
             size = 0
-            for b in batches:
-                for k, h, s in zip(b["key"], b["hash"], b["segment"], strict=True):
+            for b in pieces(batches):
+                for k, h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     if names and names[-1] == (k, h):
                         continue
                     if size >= BATCH and names[-1][0] != k:
@@ -286,7 +294,7 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
             if names:
                 yield done(names, segments)
 
-        marks = marks.unionByName(dealt.mapInPandas(compare, "key long, hash long, within array<int>"))
+        marks = marks.unionByName(dealt.select("key", "hash", "segment").mapInArrow(compare, "key long, hash long, within array<int>"))
         if many and not last:
             name = F.concat_ws(":", "key", "hash")
             crowded = fetched.where(F.col("crowd") > CROWD).select(name.alias("id"), F.lit("").alias("row"), F.col("segment").alias("text")).dropDuplicates(["id"])
@@ -327,51 +335,60 @@ def _kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _found(documents: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """documents with _bytes (the text as UTF-8; null: empty) and _starts."""
+def _found(documents: DataFrame, id_col: str, text_col: str, length: int, data_col: str, starts_col: str) -> DataFrame:
+    """documents with the text as UTF-8 (null: empty) and the (first, number) pairs of its repeated strings."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.md5(data).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row"), data.alias("text"))
-    found = checkpointed(_repeats(texts, length, min(ANCHOR, length)).select(F.col("id").alias("_text_id"), F.col("starts").alias("_starts")))
-    named = documents.withColumns({"_bytes": data, "_md5": F.md5(data)})
-    return named.join(found, named["_md5"] == found["_text_id"], "left").drop("_md5", "_text_id")
+    md5, text_id = free_name(documents, "_md5"), free_name(documents, "_text_id")
+    found = checkpointed(_repeats(texts, length, max(1, length // ANCHOR)).select(F.col("id").alias(text_id), F.col("starts").alias(starts_col)))
+    named = documents.withColumns({data_col: data, md5: F.md5(data)})
+    return named.join(found, F.col(md5) == F.col(text_id), "left").drop(md5, text_id)
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_enough(text: bytes, found: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The spans that hold at least `words` whole words."""
+    if not words:
+        return found
+    space = b" \t\n\v\f\r"
+    return [(a, b) for a, b in found if len(text[a:b].split()) - (a > 0 and text[a - 1] not in space and text[a] not in space) - (b < len(text) and text[b] not in space and text[b - 1] not in space) >= words]
+
+
+def without_repeats(documents: DataFrame, length: int = LENGTH, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with the repeated bytes of each text removed: every byte of a string of `length` bytes that also starts elsewhere.
 
-    Texts count as UTF-8, null as empty; matches don't cross texts, may overlap, and are judged on the
-    input. Equal rows are repeats of each other. Where a cut leaves part of a character, that part goes
-    too. All rows and other columns come back; column n_chars, if there is one, counts anew. An empty
-    table gives no rows.
+    With `words`, only runs of such bytes that hold so many whole words go. Texts count as UTF-8, null as
+    empty; matches don't cross texts, may overlap, and are judged on the input. Equal rows are repeats of
+    each other. Where a cut leaves part of a character, that part goes too. Very long texts are looked at
+    in overlapping parts, whole. All rows and other columns come back, whatever their names; column
+    n_chars, if there is one, counts anew. An empty table gives no rows.
     """
     names = documents.columns
-    found = _found(documents, id_col, text_col, length)
+    data_col, starts_col = free_name(documents, "_bytes"), free_name(documents, "_starts")
+    found = _found(documents, id_col, text_col, length, data_col, starts_col)
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for data, starts in batches:
-            yield pd.Series([_kept(t, spans(s, length)).decode("utf-8", "ignore") for t, s in zip(data, starts, strict=True)], dtype=object)
+            yield pd.Series([_kept(t, _long_enough(t, spans(s, length), words)).decode("utf-8", "ignore") for t, s in zip(data, starts, strict=True)], dtype=object)
 
     udf = F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR_ITER)
-    out = found.withColumn(text_col, F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(udf("_bytes", "_starts")))
+    same = F.col(starts_col).isNull()
+    out = found.withColumn(text_col, F.when(same, F.col(text_col)).otherwise(udf(F.when(~same, F.col(data_col)).otherwise(F.lit(b"")), F.col(starts_col))))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col)).cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length(text_col)).cast(documents.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in names))
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cut = [spans(s, LENGTH) for s in b["_starts"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "n_bytes": np.array([len(t) for t in b["_bytes"]], np.int64),
-                "n_removed": np.array([sum(y - x for x, y in c) for c in cut], np.int64),
-                "n_spans": np.array([len(c) for c in cut], np.int64),
-                "kept_sha256": [hashlib.sha256(_kept(t, c)).hexdigest() for t, c in zip(b["_bytes"], cut, strict=True)],
-            })
-
-    found = _found(documents, "doc_id", "text", LENGTH).select("doc_id", "_bytes", "_starts")
-    shape = found.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"))
-    return found.mapInPandas(run, shape.schema)
+    found = _found(documents, "doc_id", "text", LENGTH, "_bytes", "_starts").select("doc_id", F.struct("_bytes", "_starts").alias("found"))
+    long = T.LongType()
+    shape = T.StructType().add("n_bytes", long).add("n_removed", long).add("n_spans", long).add("kept_sha256", "string")
+
+    def run(rows: list[dict]) -> tuple:
+        cuts = [spans(r["_starts"], LENGTH) for r in rows]
+        return (
+            [len(r["_bytes"]) for r in rows], [sum(y - x for x, y in c) for c in cuts], [len(c) for c in cuts],
+            [hashlib.sha256(_kept(r["_bytes"], c)).hexdigest() for r, c in zip(rows, cuts, strict=True)],
+        )
+
+    return appended(found, "found", run, shape)
