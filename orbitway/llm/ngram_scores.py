@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import input_partitions, shared_folder, table
+from orbitway.llm.common import input_partitions, pieces, shared_folder, table
 
 #: Words of a block of documents, count-table partitions for each input partition, and the backoff factor.
-BLOCK_WORDS, SPLIT, ALPHA = 3 << 19, 4, 0.4
+BLOCK_WORDS, SPLIT, ALPHA = 1 << 20, 4, 0.4
 
 
 class _Ids(dict):
@@ -55,22 +57,26 @@ _ANSWERS = "block long, part long, gram int, totals binary"
 
 def _blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents: their ids and sizes, their words as numbers, and the hashes of the numbered words."""
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    # Ids go as text, so that null and very large ones come back as they were.
+    rows = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
-    def block(number: int, names: list, sizes: list[int], ids: _Ids, words: list[int]) -> pd.DataFrame:
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def block(number: int, names: list, sizes: list[int], ids: _Ids, words: list[int]) -> pa.RecordBatch:
         hashes = np.fromiter((xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-        return pd.DataFrame([(number, names, sizes, _packed(np.array(words, np.uint32)), hashes.tobytes())], columns=schema.names)
+        values = (number, names, sizes, _packed(np.array(words, np.uint32)), hashes.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=schema.names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at, seq = TaskContext.get().partitionId(), 0
         names, sizes, ids, words = [], [], _Ids(), []
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype(object), b["text"], strict=True):
+        for b in pieces(batches):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = (text or b"").lower().split()
-                names.append(None if pd.isna(doc_id) else doc_id)
+                names.append(doc_id)
                 sizes.append(len(found))
                 words.extend(map(ids.__getitem__, found))
                 if len(words) >= BLOCK_WORDS:
@@ -79,7 +85,7 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if names:
             yield block(at << 32 | seq, names, sizes, ids, words)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _sequences(sizes, sequence: bytes, hashes: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -130,9 +136,11 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
     the text and is seen elsewhere, times ALPHA for each order given up; a word seen nowhere else counts
     ALPHA of once. All counts leave out the document's own. Sums are of log10.
 
-    Count tables are partitioned by hash. Documents go through in blocks; a block sends each of its
-    distinct n-grams once to the part that counts it and gets its total back, so that an n-gram of all
-    documents is one row a block, and no task holds more than a part or a block. 64-bit hashes stand for
+    The count tables are partitioned by hash, and joined to the exploded n-grams of the documents in
+    nested rows: documents go through in blocks, and a row holds the distinct n-grams of a block that lie
+    in one part, with their counts, so that an n-gram of all documents is one entry a block, and no task
+    holds more than a part or a block. There are never more rows than a row for each distinct n-gram of
+    each block. 64-bit hashes stand for
     n-grams. Null and empty texts have no words, score 0 and a null mean; repeated rows count as
     documents of their own; null ids come back as they are; long texts are whole. An empty table gives
     no rows.
@@ -144,8 +152,7 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
     blocks = spark.read.parquet(path)
     totals = _counted(blocks, order, parts).groupBy("part").applyInPandas(_totals, _ANSWERS)
     whole = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
-    kind = blocks.schema["doc_ids"].dataType.elementType
-    out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType())])
+    out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType())])
 
     def score(key, block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         own = block.iloc[0]
@@ -172,6 +179,7 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
         return pd.DataFrame({"doc_id": pd.Series(names, dtype=object), "n_words": sizes, "log10_score": np.bincount(doc, logs, len(sizes)) if len(doc) else np.zeros(len(sizes))})
 
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, out)
+    scored = scored.withColumn("doc_id", F.col("doc_id").cast(documents.schema[id_col].dataType))
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
 
