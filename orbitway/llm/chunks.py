@@ -21,18 +21,17 @@ class ChunkTable(dict):
         super().__init__()
         self.encode, self.entries = encode, entries
 
-    def joined_all(self, lists: list[list[str]]) -> list[bytes]:
-        """The bytes of each list's chunks in turn; what the table lacks is encoded once for all lists."""
-        fresh = [*filterfalse(self.__contains__, set().union(*lists))]
+    def joined_all(self, lists: list[list[str]], distinct: set[str] | None = None) -> list[bytes]:
+        """The bytes of each list's chunks in turn; what the table lacks is encoded once for all lists. distinct: all their chunks, if known."""
+        fresh = [*filterfalse(self.__contains__, set().union(*lists) if distinct is None else distinct)]
         if not fresh:
             return [b"".join(map(self.__getitem__, own)) for own in lists]
         room = self.entries - len(self)
         self.update(zip(fresh, self.encode(fresh), strict=True))
         out = [b"".join(map(self.__getitem__, own)) for own in lists]
-        stay = [c for c in fresh if len(c) <= LONGEST][: max(0, room)]
-        if len(stay) < len(fresh):
-            for c in set(fresh).difference(stay):
-                del self[c]
+        drop = [c for c in fresh if len(c) > LONGEST] + [c for c in fresh if len(c) <= LONGEST][room:] if room > 0 else fresh
+        for c in drop:
+            del self[c]
         return out
 
     def joined(self, chunks: list[str]) -> bytes:
