@@ -106,8 +106,11 @@ def long_prefixes(order: np.ndarray, text: np.ndarray, length: int) -> np.ndarra
     return ~fixed[:n]
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, where strings of `length` bytes start that also start elsewhere in these segments."""
+def repeated_starts(segments: list[bytes], length: int, owners: list | None = None) -> list[np.ndarray]:
+    """For each segment, where strings of `length` bytes start that also start elsewhere in these segments.
+
+    With owners, only strings count that start in segments of two owners, or in one of several (None).
+    """
     sizes = np.array([len(s) for s in segments])
     text = np.zeros(int(sizes.sum()) + len(segments), np.int16)
     ends = np.cumsum(sizes + 1)
@@ -119,6 +122,13 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     like = long_prefixes(order, text, length)
     hit = np.zeros(len(text), bool)
     hit[order] = like | np.r_[like[1:], False]
+    if owners is not None:
+        names: dict = {}
+        number = np.array([-1 if o is None else names.setdefault(o, len(names)) for o in owners])
+        of = np.repeat(number, sizes + 1)[order]
+        firsts = np.flatnonzero(~like)
+        low, high = np.minimum.reduceat(of, firsts), np.maximum.reduceat(of, firsts)
+        hit[order] &= np.repeat((low != high) | (low < 0), np.diff(np.r_[firsts, len(of)]))
     return [np.flatnonzero(hit[a : a + max(0, n - length + 1)]) for a, n in zip(begins, sizes, strict=True)]
 
 
@@ -211,10 +221,11 @@ def _next_anchor(anchor: int, length: int) -> int:
 # --- all texts ----------------------------------------------------------------------------------
 
 
-def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+def _repeats(texts: DataFrame, length: int, anchor: int, across: bool = False) -> DataFrame:
     """id, starts: where strings of `length` bytes start in each text that also start elsewhere, as (first, number) pairs.
 
-    texts: id, row, text; rows of one id have the same text. Every window of a text belongs to one
+    With across, elsewhere is in a text of another owner. texts: id, row, text, owner (null: several);
+    rows of one id have the same text. Every window of a text belongs to one
     segment, and equal windows to segments of one key. Equal segments are counted before anything else;
     one that comes twice is repeated throughout. Different segments of one key (and one that may repeat
     itself) are compared by a
@@ -228,26 +239,29 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
         for b in pieces(batches):
             for runs in key_runs(b.column(2).to_pylist(), length, anchor):
                 of = pa.array(runs.pop("text"))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *map(pa.array, runs.values())], names=["id", "row", *runs])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in (0, 1, 3)), *map(pa.array, runs.values())], names=["id", "row", "owner", *runs])
 
     path = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
-    texts.select("id", "row", "text").mapInArrow(cut, "id string, row string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
+    texts.select("id", "row", "text", "owner").mapInArrow(cut, "id string, row string, owner string, start int, windows int, key long, hash long, again boolean").write.parquet(path)
     # Most keys have one run, that cannot repeat anything: they go before anything wider than a key is aggregated.
     found = spark.read.parquet(path)
     # Aggregates are checkpointed before they are joined by their keys: then a join is free to split a frequent key.
-    live = checkpointed(found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self")).where("all > 1 or self").select("key"))
+    alike = F.max(F.col("owner").isNull()) | (F.min("owner") < F.max("owner"))  # of two owners or several
+    may = F.expr("all > 1 and apart") if across else F.expr("all > 1 or self")
+    live = checkpointed(found.groupBy("key").agg(F.count("*").alias("all"), F.max("again").alias("self"), alike.alias("apart")).where(may).select("key"))
     runs = checkpointed(found.join(live, "key"))
     remove_folder(spark, path)
-    segments = checkpointed(runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again")))
+    segments = checkpointed(runs.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "windows")).alias("at"), F.max("again").alias("again"), F.when(~alike, F.min("owner")).alias("owner")))
     crowds = checkpointed(segments.groupBy("key").agg(F.count("*").alias("crowd")))
-    shared = checkpointed(segments.join(crowds, "key").select("key", "hash", "n", "crowd", ((F.col("crowd") > 1) | F.col("again") & (F.col("n") == 1)).alias("open"), "at.*"))
+    open_ = F.col("crowd") > 1 if across else (F.col("crowd") > 1) | F.col("again") & (F.col("n") == 1)
+    shared = checkpointed(segments.join(crowds, "key").select("key", "hash", "n", "crowd", "owner", open_.alias("open"), "at.*"))
     last = anchor >= length
-    to_fetch = shared.where("open").groupBy("id", "row").agg(F.collect_list(F.struct("key", "hash", "crowd", "start", "windows")).alias("wanted"))
+    to_fetch = shared.where("open").groupBy("id", "row").agg(F.collect_list(F.struct("key", "hash", "crowd", "owner", "start", "windows")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 100):
             wanted = b.column(1).flatten()
-            fields = {n: wanted.field(n) for n in ("key", "hash", "crowd", "start", "windows")}
+            fields = {n: wanted.field(n) for n in ("key", "hash", "crowd", "owner", "start", "windows")}
             owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
             begins, windows, texts_ = fields["start"].to_numpy(), fields["windows"].to_numpy(), b.column(0)
             ends = np.cumsum(windows.astype(np.int64) + length)
@@ -259,12 +273,12 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
                     if o != last:
                         last, text = o, texts_[o].as_py()
                     segments.append(text[x : x + w + length - 1])
-                yield pa.RecordBatch.from_arrays([*(fields[n].slice(at, to - at) for n in ("key", "hash", "crowd")), pa.array(segments, pa.binary())], names=["key", "hash", "crowd", "segment"])
+                yield pa.RecordBatch.from_arrays([*(fields[n].slice(at, to - at) for n in ("key", "hash", "crowd", "owner")), pa.array(segments, pa.binary())], names=["key", "hash", "crowd", "owner", "segment"])
                 at = to
 
-    fetched = texts.join(to_fetch, ["id", "row"]).select("text", "wanted").mapInArrow(fetch, "key long, hash long, crowd long, segment binary")
+    fetched = texts.select("id", "row", "text").join(to_fetch, ["id", "row"]).select("text", "wanted").mapInArrow(fetch, "key long, hash long, crowd long, owner string, segment binary")
     few, many, size = shared.where("open").agg(F.count(F.when(F.col("crowd") <= CROWD, 1)), F.count(F.when(F.col("crowd") > CROWD, 1)), F.sum(F.col("windows") + length)).first()
-    whole = shared.where("n > 1").select("key", "hash", F.lit(None).cast("array<int>").alias("within"))
+    whole = shared.where("owner is null" if across else "n > 1").select("key", "hash", F.lit(None).cast("array<int>").alias("within"))
     marks = whole
     if few or many:
         fetched = checkpointed(fetched)
@@ -272,33 +286,35 @@ def _repeats(texts: DataFrame, length: int, anchor: int) -> DataFrame:
         dealt = near.repartition(max(1, -(-int(size) // TASK)), "key").sortWithinPartitions("key", "hash")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def done(names: list, segments: list[bytes]) -> pa.RecordBatch:
-                starts = repeated_starts(segments, length)
+            def done(names: list, owners: list, segments: list[bytes]) -> pa.RecordBatch:
+                starts = repeated_starts(segments, length, owners if across else None)
                 rows = [(k, h, _pairs(s)) for (k, h), s in zip(names, starts, strict=True) if len(s)]
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["key", "hash", "within"])
 
             names: list[tuple[int, int]] = []
+            owners: list[str | None] = []
             segments: list[bytes] = []
             size = 0
             for b in pieces(batches):
-                for k, h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for k, h, o, s in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     if names and names[-1] == (k, h):
                         continue
                     if size >= BATCH and names[-1][0] != k:
-                        yield done(names, segments)
-                        names, segments, size = [], [], 0
+                        yield done(names, owners, segments)
+                        names, owners, segments, size = [], [], [], 0
                     names.append((k, h))
+                    owners.append(o)
                     segments.append(s)
                     size += len(s)
             if names:
-                yield done(names, segments)
+                yield done(names, owners, segments)
 
-        marks = marks.unionByName(dealt.select("key", "hash", "segment").mapInArrow(compare, "key long, hash long, within array<int>"))
+        marks = marks.unionByName(dealt.select("key", "hash", "owner", "segment").mapInArrow(compare, "key long, hash long, within array<int>"))
         if many and not last:
             name = F.concat_ws(":", "key", "hash")
-            crowded = fetched.where(F.col("crowd") > CROWD).select(name.alias("id"), F.lit("").alias("row"), F.col("segment").alias("text")).dropDuplicates(["id"])
-            below = _repeats(crowded, length, _next_anchor(anchor, length))
+            crowded = fetched.where(F.col("crowd") > CROWD).select(name.alias("id"), F.lit("").alias("row"), F.col("segment").alias("text"), "owner").dropDuplicates(["id"])
+            below = _repeats(crowded, length, _next_anchor(anchor, length), across)
             parts = F.split("id", ":")
             marks = marks.unionByName(below.select(parts[0].cast("long").alias("key"), parts[1].cast("long").alias("hash"), F.col("starts").alias("within")))
     # A segment that is repeated throughout needs no other mark.
@@ -335,12 +351,13 @@ def _kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _found(documents: DataFrame, id_col: str, text_col: str, length: int, data_col: str, starts_col: str) -> DataFrame:
+def _found(documents: DataFrame, id_col: str, text_col: str, length: int, data_col: str, starts_col: str, across: bool = False) -> DataFrame:
     """documents with the text as UTF-8 (null: empty) and the (first, number) pairs of its repeated strings."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.md5(data).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row"), data.alias("text"))
+    texts = texts.withColumn("owner", F.concat_ws(":", "id", "row"))
     md5, text_id = free_name(documents, "_md5"), free_name(documents, "_text_id")
-    found = checkpointed(_repeats(texts, length, max(1, length // ANCHOR)).select(F.col("id").alias(text_id), F.col("starts").alias(starts_col)))
+    found = checkpointed(_repeats(texts, length, max(1, length // ANCHOR), across).select(F.col("id").alias(text_id), F.col("starts").alias(starts_col)))
     named = documents.withColumns({data_col: data, md5: F.md5(data)})
     return named.join(found, F.col(md5) == F.col(text_id), "left").drop(md5, text_id)
 
@@ -353,10 +370,11 @@ def _long_enough(text: bytes, found: list[tuple[int, int]], words: int) -> list[
     return [(a, b) for a, b in found if len(text[a:b].split()) - (a > 0 and text[a - 1] not in space and text[a] not in space) - (b < len(text) and text[b] not in space and text[b - 1] not in space) >= words]
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, words: int = 0, across: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with the repeated bytes of each text removed: every byte of a string of `length` bytes that also starts elsewhere.
 
-    With `words`, only runs of such bytes that hold so many whole words go. Texts count as UTF-8, null as
+    With `words`, only runs of such bytes that hold so many whole words go; with `across`, only strings
+    count that also start in another row (rows alike in id and text are one). Texts count as UTF-8, null as
     empty; matches don't cross texts, may overlap, and are judged on the input. Equal rows are repeats of
     each other. Where a cut leaves part of a character, that part goes too. Very long texts are looked at
     in overlapping parts, whole. All rows and other columns come back, whatever their names; column
@@ -364,7 +382,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, words: int = 0,
     """
     names = documents.columns
     data_col, starts_col = free_name(documents, "_bytes"), free_name(documents, "_starts")
-    found = _found(documents, id_col, text_col, length, data_col, starts_col)
+    found = _found(documents, id_col, text_col, length, data_col, starts_col, across)
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for data, starts in batches:

@@ -105,3 +105,34 @@ def test_only_long_passages_go(spark):
     out = {r[0]: r[1] for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 200, 50).collect()}
     assert "word5" not in out[1] + out[2] and out[1].startswith("one") and out[2].endswith("fin")
     assert out[3] == rows[2][1] and out[4] == rows[3][1]
+
+
+def plain_across(texts, length):
+    starts = [{t[i : i + length] for i in range(len(t) - length + 1)} for t in texts]
+    out = []
+    for k, t in enumerate(texts):
+        others = set().union(*(s for j, s in enumerate(starts) if j != k))
+        cover = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in others:
+                cover[i : i + length] = b"\x01" * length
+        out.append(bytes(b for b, c in zip(t, cover, strict=True) if not c))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_repeats_across_rows(spark, monkeypatch, crowd):
+    import random
+
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    pick = random.Random(4)
+    passages = ["".join(pick.choice("abcde") for _ in range(40)) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = ["".join(pick.choice("abcde") for _ in range(pick.randint(0, 30))) for _ in range(4)]
+        own = "".join(pick.choice("xyz") for _ in range(30))
+        texts.append(own.join(parts) if pick.random() < 0.5 else pick.choice(passages).join(parts[:2]))
+    texts += ["que " * 40, "que " * 15 + "other", texts[0], texts[1] + texts[1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r[0]: r[1] for r in repeats.without_repeats(frame, 24, across=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [x.decode() for x in plain_across([t.encode() for t in texts], 24)]
