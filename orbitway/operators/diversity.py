@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diverse(candidates: DataFrame, key: str, k: int = 3) -> DataFrame:
-    """key and chosen (ids) of the first k candidates in rank order of which none shares four fifths of its metres with one chosen before.
+def alike_sets(sets: DataFrame) -> DataFrame:
+    """set_id, alike: the sets (itself included) that share four fifths of the metres that either has. sets: set_id, edge, meters.
 
-    candidates: key, rank, id, edges (array of (edge, meters)). Shares are of sets of edges; the
-    threshold is inclusive: shared * 5 >= union * 4 drops a candidate.
+    Sets meet by the edges that they share, once for all candidates; the threshold is inclusive.
     """
-    ranked = candidates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "id", "edges"))).alias("all"))
-    meters = lambda edges: F.aggregate(edges, F.lit(0).cast("long"), lambda s, e: s + e["meters"])
+    total = sets.groupBy("set_id").agg(F.sum("meters").alias("total"))
+    other = sets.select(F.col("set_id").alias("other"), "edge")
+    shared = sets.join(other, "edge").groupBy("set_id", "other").agg(F.sum("meters").alias("shared"))
+    both = shared.join(total, "set_id").join(total.select(F.col("set_id").alias("other"), F.col("total").alias("more")), "other")
+    return both.where("shared * 5 >= (total + more - shared) * 4").groupBy("set_id").agg(F.collect_set("other").alias("alike"))
+
+
+def diverse(candidates: DataFrame, alike: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """key and chosen (ids) of the first k candidates in rank order of which none is too like one chosen before.
+
+    candidates: key, rank, id, set_id; alike: see alike_sets.
+    """
+    found = candidates.join(alike, "set_id")
+    ranked = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "set_id", "alike"))).alias("all"))
 
     def step(chosen, c):
-        alike = lambda o: meters(F.array_intersect(o["edges"], c["edges"])) * 5 >= meters(F.array_union(o["edges"], c["edges"])) * 4
-        return F.when((F.size(chosen) < k) & ~F.exists(chosen, alike), F.concat(chosen, F.array(c))).otherwise(chosen)
+        differs = ~F.exists(chosen, lambda o: F.array_contains(c["alike"], o["set_id"]))
+        return F.when((F.size(chosen) < k) & differs, F.concat(chosen, F.array(c))).otherwise(chosen)
 
     empty = F.filter("all", lambda _: F.lit(False))
     return ranked.select(key, F.transform(F.aggregate("all", empty, step), lambda c: c["id"]).alias("chosen"))

@@ -1,47 +1,59 @@
-"""k nearest points, by a map over requests with a small table of points."""
+"""k nearest points by grid cells: an equality join that widens its rings until every request is answered."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitway.functions import geo
 from orbitway.functions.geo import RADIUS
 
-#: Points that may be sent to every task; more go through a grid join.
-MOST_POINTS = 1_000_000
-#: Side of a grid cell in degrees, for more points than that.
-CELL = 0.02
+#: Points that a cell holds, on average.
+CELL_POINTS = 8
 
 
-def nearest(requests: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def nearest(requests: DataFrame, points: DataFrame, k: int, key: str = "request_id") -> DataFrame:
     """request columns with entry_id, route, pos, meters and rank of the k nearest points; ties (to the millimetre) to the smaller id.
 
-    The road graph is small and requests are many: points up to MOST_POINTS go to every task as arrays,
-    and requests stay where they are, without a shuffle.
+    requests: key, lat, lon; points: id, lat, lon, route, pos. Points lie in square cells of so many
+    degrees that a cell has about CELL_POINTS of them. A request meets the cells within a ring of its
+    own; its answer is final if its k-th point is nearer than anything outside the ring can be. The
+    others meet a ring twice as wide, and so on; a ring as wide as all points holds everything. Requests
+    without a place get no row; fewer than k points are all given.
     """
-    n = points.count()
-    if n > MOST_POINTS:
-        raise ValueError(f"{n} points are too many to send to every task; deal them by cells of {CELL} degrees first")
-    table = points.select("id", "lat", "lon", "route", "pos").orderBy("id").toPandas()
-    ids, lat, lon, routes, pos = (table[c].to_numpy() for c in ("id", "lat", "lon", "route", "pos"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                y, x = part["lat"].to_numpy()[:, None], part["lon"].to_numpy()[:, None]
-                dx = np.radians(lon[None, :] - x) * np.cos(np.radians((y + lat[None, :]) * 0.5)) * RADIUS
-                dy = np.radians(lat[None, :] - y) * RADIUS
-                d = np.sqrt(dx * dx + dy * dy)
-                order = np.argsort(np.round(d, 3), axis=1, kind="stable")[:, :k]
-                m = order.shape[1]
-                out = part.loc[part.index.repeat(m)].reset_index(drop=True)
-                flat = order.reshape(-1)
-                yield out.assign(entry_id=ids[flat], route=routes[flat], pos=pos[flat], meters=np.take_along_axis(d, order, axis=1).reshape(-1), rank=np.tile(np.arange(1, m + 1), len(part)))
-
-    shape = requests.select("*", F.lit(0).cast("long").alias("entry_id"), F.lit("").alias("route"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("meters"), F.lit(0).alias("rank"))
-    return requests.mapInPandas(run, shape.schema)
+    bounds = points.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    shape = requests.columns
+    n, south, north, west, east = bounds
+    columns = [*(F.col(c) for c in shape), F.col("id").alias("entry_id"), "route", "pos", "meters", "rank"]
+    if not n:
+        empty = points.select("id", "route", "pos").where("false").withColumns({"meters": F.lit(0.0), "rank": F.lit(1)})
+        return requests.join(empty, F.lit(True)).select(columns)
+    side = max(math.sqrt(max(north - south, 1e-6) * max(east - west, 1e-6) * CELL_POINTS / n), 1e-6)
+    cell_of = lambda c, x0: F.floor((c - F.lit(x0)) / F.lit(side)).cast("long")
+    placed = points.select("id", F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"), "route", "pos", cell_of(F.col("lat"), south).alias("row"), cell_of(F.col("lon"), west).alias("column"))
+    steep = F.cos(F.radians(F.greatest(F.abs("lat"), F.lit(max(abs(south), abs(north))))))
+    whole = math.ceil(max(north - south, east - west) / side) + 1
+    out, left, ring = None, requests.where("lat is not null and lon is not null"), 1
+    inside = lambda c, low, high: F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high))
+    # Requests outside the points' box look from its edge: a point in the box is no farther from there, in latitude and in longitude.
+    left = left.withColumns({"_row": cell_of(inside("lat", south, north), south), "_column": cell_of(inside("lon", west, east), west)}).persist()
+    while True:
+        around = lambda c: F.explode(F.sequence(F.col(c) - ring, F.col(c) + ring))  # noqa: B023, E731
+        met = left.withColumn("row", around("_row")).withColumn("column", around("_column")).join(placed, ["row", "column"])
+        distance = F.expr(geo.equirectangular("lat", "lon", "point_lat", "point_lon"))
+        ranked = met.withColumn("meters", distance).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.round("meters", 3), "id"))).where(F.col("rank") <= k)
+        last = ring >= whole
+        # From a cell's inside to the outside of its ring are at least `ring` sides, in degrees of latitude or longitude.
+        safe = F.lit(math.radians(ring * side) * RADIUS) * steep - 0.001
+        final = ranked if last else ranked.withColumn("_sure", F.max(F.when((F.col("rank") == min(k, n)) & (F.col("meters") < safe), True)).over(Window.partitionBy(key))).where("_sure")
+        done = final.select(columns).persist()
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        answered = done.select(key).distinct()
+        left = left.join(answered, key, "left_anti").persist()
+        ring = min(2 * ring, whole)
+        if ring < whole and left.isEmpty():
+            return out

@@ -46,10 +46,14 @@ def p01_route_code(d):
 
 @query
 def p02_expressway(d):
-    named = " or ".join(f"contains(coalesce(operator, ''), '{x}')" for x in OPERATORS_EXACT)
-    lower = " or ".join(f"contains(lower(coalesce(operator, '')), '{x}')" for x in OPERATORS_LOWER)
-    names = " or ".join(f"contains(coalesce({c}, ''), '{x}')" for x in OPERATORS_EXACT for c in ("name", "ref"))
-    return ("way",), f"select w.id, coalesce(w.highway = 'motorway', false) and ({named} or {lower} or {names} or c.id is not null) as is_expressway from way w left join ({_IS_CODE.format(split=d['split']('upper(ref)'))}) c on c.id = w.id"
+    """A motorway that its operator, network, route code or name places in the network, each by its own spellings."""
+    has = lambda c, words: [f"contains(coalesce({c}, ''), '{x}')" for x in words]
+    low = lambda c, words: [f"contains(lower(coalesce({c}, '')), '{x}')" for x in words]
+    tests = " or ".join([
+        *has("operator", OPERATORS_EXACT), *low("operator", OPERATORS_LOWER), *has("network", OPERATORS_EXACT), *low("network", OPERATORS_LOWER[:1]),
+        *has("ref", OPERATORS_EXACT[1:]), *has("coalesce(name, name_ja)", OPERATORS_EXACT), "c.id is not null",
+    ])
+    return ("way",), f"select w.id, coalesce(w.highway = 'motorway', false) and ({tests}) as is_expressway from way w left join ({_IS_CODE.format(split=d['split']('upper(ref)'))}) c on c.id = w.id"
 
 
 @query
@@ -62,8 +66,8 @@ def p04_oneway(d):
     return ("way",), "select id, oneway, case when oneway in ('yes', '1', 'true') then 'forward' when oneway in ('-1', 'reverse') then 'reverse' else 'both' end as direction from way"
 
 
-_CONDITIONAL = f"case when {_norm('oneway')} in ('reversible', 'alternating') then 'conditional' when {_norm('reversible')} in ('yes', 'true', '1') then 'conditional' when reversible is not null and {_norm('reversible')} not in ('no', 'false', '0') then 'unrecognized' else 'none' end"
-_ACCESS = f"case when {_norm('coalesce(motorcar, motor_vehicle, access)')} in {_in(NO_ACCESS)} then 'denied' when coalesce(motorcar, motor_vehicle, access) is null or {_norm('coalesce(motorcar, motor_vehicle, access)')} in {_in(ACCESS)} then 'allowed' else 'unrecognized' end"
+_CONDITIONAL = f"case when conditional like '%:conditional' and conditional <> 'hgv:conditional' then 'conditional' when {_norm('oneway')} in ('reversible', 'alternating') then 'conditional' when {_norm('reversible')} in ('yes', 'true', '1') then 'conditional' when reversible is not null and {_norm('reversible')} not in ('no', 'false', '0') then 'unrecognized' else 'none' end"
+_ACCESS = f"case when {_norm('coalesce(motorcar, motor_vehicle, vehicle, access)')} in {_in(NO_ACCESS)} then 'denied' when coalesce(motorcar, motor_vehicle, vehicle, access) is null or {_norm('coalesce(motorcar, motor_vehicle, vehicle, access)')} in {_in(ACCESS)} then 'allowed' else 'unrecognized' end"
 _HIGHWAY = f"case when {_norm('area')} in ('yes', '1', 'true') then 'denied' when area is not null and {_norm('area')} not in ('no', '0', 'false') then 'unrecognized' when highway is null or {_norm('highway')} in {_in(NOT_SURFACE)} then 'denied' when {_norm('highway')} = 'service' then case when service is null then 'denied' when {_norm('service')} = 'alley' then 'allowed' when {_norm('service')} in {_in([*PRIVATE_SERVICE, 'unspecified', 'unknown'])} then 'denied' else 'unrecognized' end when {_norm('highway')} in {_in(SURFACE)} then 'allowed' else 'unrecognized' end"
 
 
@@ -97,16 +101,6 @@ def p11_role_inference(d):
         from (select *, case source % 4 when 0 then 'inner' when 1 then case when source % 5 = 0 then 'outer' else 'inner' end end as role from edge))"""
 
 
-@query
-def p18_product_eligible(d):
-    return ("request",), "select request_id, billed >= 1000 and max_minutes >= min_minutes and priced_at is not null as eligible from request"
-
-
-@query
-def p19_zero_cause(d):
-    return ("access", "ring"), "select request_id, case when count(*) = 0 then 'NO_CONNECTION' when min(r.secs) > 14400 then 'TOO_LONG' when max(r.meters) < 5000 then 'NO_LOOP' else 'HAS_LOOP' end as cause from access a join ring r on r.route = a.route group by request_id"
-
-
 # --- graph ----------------------------------------------------------------------------------------
 
 
@@ -203,21 +197,10 @@ def j06_access_cap(d):
     return ("access",), "select request_id, entry_id from access where meters <= 30000"
 
 
-@query
-def j07_price_at(d):
-    """The price whose half-open interval holds the instant; null bounds are open."""
-    return ("price", "request"), "select r.request_id, p.price_id, p.yen from request r join price p on p.pair_id = r.request_id and p.from_at <= timestamp '1998-06-01 00:00:00' and (p.to_at is null or timestamp '1998-06-01 00:00:00' < p.to_at)"
 
 
-@query
-def j08_assignment(d):
-    """Exactly one assignment gives its amount, none is unpriced, more are an error."""
-    return ("price", "request"), "select r.request_id, case when count(p.price_id) = 1 then 'priced' when count(p.price_id) = 0 then 'unpriced' else 'ambiguous' end as state, case when count(p.price_id) = 1 then min(p.yen) end as yen from request r left join price p on p.pair_id = r.request_id and p.price_id % 5 = 0 group by r.request_id"
 
 
-@query
-def j10_unique_ramp(d):
-    return ("access",), "select entry_id, min(request_id) as request_id from access where rank = 1 group by entry_id having count(*) = 1"
 
 
 @query
@@ -236,10 +219,6 @@ def j16_forbidden_pairs(d):
     return ("ring", "turn"), "select r.route from ring r where not exists (select 1 from turn t where t.route = r.route and t.via % 50 = 0)"
 
 
-@query
-def j17_exit_choice(d):
-    """Two nearest exits along the lap from each entry, by steps and id; not J17's facility choice and fallback."""
-    return ("entry", "exit_ramp", "ring"), "select entry_id, exit_id, cast(steps as bigint) as steps from (select e.id as entry_id, x.id as exit_id, (x.pos - e.pos + r.edges) % r.edges as steps, row_number() over (partition by e.id order by (x.pos - e.pos + r.edges) % r.edges, x.id) as rn from entry e join exit_ramp x on x.route = e.route join ring r on r.route = e.route) where rn <= 2"
 
 
 @query
@@ -258,16 +237,8 @@ def a01_path_sums(d):
     return ("edge",), "select route, cast(sum(secs) as bigint) as secs, cast(sum(meters) as bigint) as meters from edge group by route"
 
 
-@query
-def a02_min_plan(d):
-    """Least plan of a request's loops; null if anything was cut short."""
-    base = f"(r.secs + 2 * {geo.surface_seconds('a.meters')})"
-    return ("access", "ring"), f"select request_id, case when max(case when r.edges >= {64} then 1 else 0 end) = 1 then null else min({base} + {geo.buffer_seconds(base, d['div'])}) end as min_plan from access a join ring r on r.route = a.route group by request_id"
 
 
-@query
-def a03_flags(d):
-    return ("access", "ring"), "select request_id, bool_or(r.meters >= 5000) as found_loop, bool_and(r.secs <= 14400) as all_legal, bool_or(r.secs < 600) as rejected from access a join ring r on r.route = a.route group by request_id"
 
 
 @query
@@ -280,9 +251,6 @@ def a07_derivation_summary(d):
     return ("ring",), f"select cast(count(*) as bigint) as total, cast({d['count_if']('meters >= 5000')} as bigint) as eligible, cast({d['count_if']('meters < 5000')} as bigint) as held from ring"
 
 
-@query
-def a09_filter_counters(d):
-    return ("entry",), f"select cast(count(*) as bigint) as total, cast({d['count_if']('id % 3 = 0')} as bigint) as selectable, cast({d['count_if'](chr(39).join(['contains(route, ', '1', ')']))} as bigint) as matched from entry"
 
 
 @query
@@ -302,9 +270,6 @@ def a13_transferred(d):
     return ("trial",), "select pattern, cast(case when sum(transfer) > 0 then sum(transfer) else sum(encoded) end as bigint) as n_bytes from trial group by pattern"
 
 
-@query
-def a14_verdicts(d):
-    return ("trial",), "select pattern, case when count(*) = 0 then 'unknown' when percentile_disc(0.95) within group (order by ms) <= 2000 then 'pass' else 'fail' end as verdict from trial where timeout = 0 group by pattern"
 
 
 @query
@@ -398,24 +363,12 @@ def f09_edges_hash(d):
     return ("edge",), f"select route, {d['sha'](f'concat({chr(39)}[{chr(39)}, {listed}, {chr(39)}]{chr(39)})')} as edges_sha256 from edge group by route"
 
 
-@query
-def f11_candidate_id(d):
-    return ("access",), f"select request_id, entry_id, concat(cast({d['bytes'](f'cast(request_id as {{string}})')} as {{string}}), ':', cast(request_id as {{string}}), cast({d['bytes']('route')} as {{string}}), ':', route) as candidate_id from access where rank = 1"
 
 
-@query
-def f14_timestamps(d):
-    return ("request",), f"select request_id, {d['minutes']('priced_at', 'cast(request_id % 1000 as int)')} as arrives_at from request"
 
 
-@query
-def f18_edge_way_id(d):
-    return ("edge",), "select edge_id, cast(substring(edge_id, 3) as bigint) as way_id from edge"
 
 
-@query
-def t02_time_rank(d):
-    return ("access", "ring"), f"select request_id, entry_id, cast(row_number() over (partition by request_id order by r.secs desc, {geo.surface_seconds('round(a.meters, 3)')}, entry_id) as int) as time_rank from access a join ring r on r.route = a.route"
 
 
 @query
@@ -424,36 +377,17 @@ def t07_pair_order(d):
     return ("access", "exit_ramp"), "select request_id, exit_id, cut from (select a.request_id, x.id as exit_id, row_number() over (partition by a.request_id order by round(a.meters, 3), a.entry_id, x.id) as rn, count(*) over (partition by a.request_id) > 10 as cut from access a join exit_ramp x on x.route = a.route) where rn <= 10"
 
 
-@query
-def u02_set_difference(d):
-    return ("edge", "entry"), "select source as id from edge where source % 7 = 0 except select id from entry where id % 2 = 0"
 
 
-@query
-def u06_matrix(d):
-    """Expected pairs of two and two kinds that the trials lack."""
-    return ("trial",), "select p.pattern, c.cache from (select distinct pattern from trial) p cross join (values ('cold'), ('warm'), ('offline')) as c(cache) except select pattern, cache from trial"
 
 
 # --- loops, search, reports -----------------------------------------------------------------------
 
 
-@query
-def r01_distances(d):
-    """Driving time along the ring from each entry to every exit of its route."""
-    return ("entry", "edge", "ring", "exit_ramp"), "select n.id as entry_id, x.id as exit_id, cast((b.before - a.before + r.secs) % r.secs as bigint) as secs from entry n join exit_ramp x on x.route = n.route join ring r on r.route = n.route join (select route, pos, sum(secs) over (partition by route order by pos rows between unbounded preceding and current row) - secs as before from edge) a on a.route = n.route and a.pos = n.pos join (select route, pos, sum(secs) over (partition by route order by pos rows between unbounded preceding and current row) - secs as before from edge) b on b.route = x.route and b.pos = x.pos"
 
 
-@query
-def r03_bounded_reach(d):
-    """Nodes within 300 seconds of each entry."""
-    return ("entry", "edge", "ring"), "select n.id as entry_id, cast(count(*) as bigint) as reached from entry n join ring r on r.route = n.route join (select route, pos, sum(secs) over (partition by route order by pos rows between unbounded preceding and current row) - secs as before from edge) a on a.route = n.route and a.pos = n.pos join (select route, pos, sum(secs) over (partition by route order by pos rows between unbounded preceding and current row) - secs as before from edge) b on b.route = n.route where (b.before - a.before + r.secs) % r.secs <= 300 group by n.id"
 
 
-@query
-def r05_components(d):
-    """Strongly connected components: on rings, those whose lap closes."""
-    return ("edge",), "select route, min(source) as component, cast(count(*) as bigint) as nodes, count(distinct source) = count(distinct target) as cyclic from edge group by route"
 
 
 @query
@@ -461,28 +395,10 @@ def r27_first_exit(d):
     return ("entry", "exit_ramp", "ring"), "select entry_id, exit_id from (select e.id as entry_id, x.id as exit_id, row_number() over (partition by e.id order by (x.pos - e.pos + r.edges) % r.edges, x.id) as rn from entry e join exit_ramp x on x.route = e.route join ring r on r.route = e.route) where rn = 1"
 
 
-@query
-def q02_ranked_search(d):
-    """Each request's loops from its three nearest entries: plan, toll at the date, window, then time per yen."""
-    leg = geo.surface_seconds("round(a.meters, 3)")
-    base = f"(r.secs + 2 * {leg})"
-    fare = geo.fare_yen("q.billed", "u", d["div"])
-    return ("access", "ring", "rule", "request"), f"""select request_id, entry_id, base_seconds, plan_seconds, yen, rule_id from (
-        select *, row_number() over (partition by request_id order by cast(secs as double) / cast(yen as double) desc, secs desc, leg, entry_id) as rn from (
-        select a.request_id, a.entry_id, r.secs, {leg} as leg, {base} as base_seconds, {base} + {geo.buffer_seconds(base, d['div'])} as plan_seconds, {fare} as yen, u.rule_id, a.min_minutes, a.max_minutes
-        from access a join ring r on r.route = a.route join request q on q.request_id = a.request_id join rule u on u.from_at <= a.priced_at and (u.to_at is null or a.priced_at < u.to_at)
-        where a.meters <= 30000 and r.meters >= 5000) where base_seconds >= min_minutes * 60 and plan_seconds <= max_minutes * 60) where rn = 1"""
 
 
-@query
-def q10_device_gate(d):
-    """The first blocker of each pattern's trials, or none."""
-    return ("trial",), "select pattern, case when count(*) < 4 then 'MISSING' when max(timeout) = 1 then 'FAILED' when count(distinct cache) < 2 then 'INCOMPLETE' else 'OK' end as gate from trial group by pattern"
 
 
-@query
-def q11_bench(d):
-    return ("trial",), "select cache, cast(count(*) as bigint) as n, cast(percentile_disc(0.5) within group (order by ms) as bigint) as p50, cast(percentile_disc(0.95) within group (order by ms) as bigint) as p95, cast(max(transfer) as bigint) as most_bytes, cast(sum(timeout) as bigint) * 1000 {div} count(*) as timeouts_per_mille from trial group by cache"
 
 
 # --- validators: rule, entity, message; no rows where all is well ----------------------------------
@@ -493,9 +409,6 @@ def v01_graph(d):
     return ("node", "edge"), "select 'weight' as rule, edge_id as entity from edge where secs not between 1 and 86400 or meters not between 1 and 10000000 union all select 'coordinates', cast(id as {string}) from node where lat not between -90 and 90 or lon not between -180 and 180 union all select 'endpoint', e.edge_id from edge e where not exists (select 1 from node n where n.id = e.target)"
 
 
-@query
-def v02_request(d):
-    return ("request",), "select 'window' as rule, request_id from request where not (1 <= min_minutes and min_minutes <= max_minutes and max_minutes <= 150) union all select 'quantum', request_id from request where billed % 100 <> 0"
 
 
 @query
@@ -508,6 +421,3 @@ def v10_memberships(d):
     return ("edge", "ring"), "select 'contiguous' as rule, route from ring r where exists (select 1 from edge e where e.route = r.route and e.pos >= r.edges) union all select 'short', route from ring where edges < 32"
 
 
-@query
-def v20_envelope(d):
-    return ("trial",), "select 'latency' as rule, event_id from trial where ms < 0 or ms > 8000 union all select 'transfer', event_id from trial where transfer > 4900"

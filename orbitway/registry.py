@@ -2,62 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitway.functions.dialect import DUCK, SPARK
-from orbitway.operators.diversity import diverse
+from orbitway.operators.diversity import alike_sets, diverse
 from orbitway.operators.nearest import nearest
+from orbitway.plans import documents_queries, network_queries, rules
 from orbitway.plans.sql_queries import QUERIES as SHARED
+from orbitway.sources.networks import BASE, over, road
 from orbitway.sources.road import with_tables
 
-BASE = ("part", "customer", "orders", "events")
 
-
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for name in BASE:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
-def _needs_access(names: tuple[str, ...]) -> bool:
-    return "access" in names
-
-
-def access(spark: SparkSession, k: int = 3) -> DataFrame:
-    """The three nearest entries of each request, by a map instead of a join of all with all."""
-    return nearest(spark.sql(with_tables(("request",), "select * from request", SPARK)), spark.sql(with_tables(("entry",), "select * from entry", SPARK)), k)
+def access(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The k nearest entries of each request."""
+    return nearest(*road(spark, sf_dir, "request", "entry"), k)
 
 
 def _spark(make) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
         names, sql = make(SPARK)
-        if not _needs_access(names):
-            return spark.sql(with_tables(names, sql, SPARK))
-        access(spark).createOrReplaceTempView("access")
-        return spark.sql(with_tables(names, sql, SPARK, given=("access",)))
+        if "access" not in names:
+            return over(spark, sf_dir, with_tables(names, sql, SPARK))
+        return over(spark, sf_dir, with_tables(names, re.sub(r"(from|join) access\b", r"\1 {access}", sql), SPARK, given=("access",)), access=access(spark, sf_dir))
 
     run.__name__, run.__doc__ = make.__name__, make.__doc__
     return run
 
 
 def j03_knn_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
-    return access(spark).select("request_id", "entry_id", F.col("rank").cast("int").alias("rank"))
+    return access(spark, sf_dir).select("request_id", "entry_id", F.col("rank").cast("int").alias("rank"))
 
 
 def t06_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a request are the laps of its nearest entries; laps of one route are alike."""
-    views(spark, sf_dir)
-    laps = spark.sql(with_tables(("edge",), "select route, collect_list(struct(edge_id as edge, meters)) as edges from edge group by route", SPARK))
-    found = access(spark).join(laps, "route").select("request_id", "rank", F.col("entry_id").alias("id"), "edges")
-    return diverse(found, "request_id").select("request_id", F.array_join("chosen", ",").alias("chosen"))
+    edge, = road(spark, sf_dir, "edge")
+    laps = alike_sets(edge.select(F.col("route").alias("set_id"), F.col("edge_id").alias("edge"), "meters"))
+    found = access(spark, sf_dir).select("request_id", "rank", F.col("entry_id").alias("id"), F.col("route").alias("set_id"))
+    return diverse(found, laps, "request_id").select("request_id", F.array_join(F.col("chosen").cast("array<string>"), ",").alias("chosen"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _spark(make) for name, make in SHARED.items()}
-QUERIES |= {"j03_knn_access": j03_knn_access, "t06_diversity": t06_diversity}
+QUERIES |= {"j03_knn_access": j03_knn_access, "t06_diversity": t06_diversity} | rules.QUERIES | network_queries.QUERIES | documents_queries.QUERIES
 ORACLE: dict[str, str] = {name: with_tables(*make(DUCK), DUCK) for name, make in SHARED.items()}
 ORACLE["j03_knn_access"] = with_tables(("access",), "select request_id, entry_id, cast(rank as int) as rank from access", DUCK)
 ORACLE["t06_diversity"] = with_tables(("access",), "select request_id, string_agg(cast(entry_id as varchar), ',' order by rank) as chosen from (select *, row_number() over (partition by request_id, route order by rank) as rn from access) where rn = 1 group by request_id", DUCK)
+ORACLE |= rules.ORACLE | network_queries.ORACLE | documents_queries.ORACLE

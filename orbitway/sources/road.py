@@ -46,10 +46,45 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         case p_partkey % 23 when 0 then 'yes' when 1 then 'unsure' end as reversible,
         case p_partkey % 9 when 0 then 'C1' when 1 then 'E1;c2' when 2 then 'K7 ; E83' when 3 then 'E20' when 4 then '首都高速1号' end as ref,
         case p_partkey % 8 when 0 then 'Metropolitan Expressway Co.' when 1 then '首都高速道路' when 2 then 'SHUTO EXPRESSWAY' when 3 then 'Other' end as operator,
-        case p_partkey % 29 when 0 then '首都高速都心環状線' end as name from part"""),
+        case p_partkey % 29 when 0 then '首都高速都心環状線' end as name,
+        case p_partkey % 31 when 0 then '首都高速' when 1 then 'METROPOLITAN EXPRESSWAY' when 2 then 'JP:E' end as network,
+        case p_partkey % 37 when 0 then '首都高湾岸線' when 1 then '湾岸道路' end as name_ja,
+        case p_partkey % 14 when 0 then 'no' when 1 then ' Yes' end as vehicle,
+        case p_partkey % 41 when 0 then 'maxspeed:conditional' when 1 then 'hgv:conditional' when 2 then 'access:conditional' end as conditional from part"""),
+    # Nodes of a way, with one that comes twice in some, and members of route relations with roles of all spellings.
+    "waynode": ((), """select p_partkey as way, i as pos, (p_partkey * 3 + case when p_partkey % 6 = 0 and i = 4 then 1 else i end) as node, p_partkey * 3 + 1 as at_node,
+        case p_partkey % 8 when 0 then 'yes' when 1 then '-1' when 2 then ' Reverse' when 3 then 'no' when 4 then 'reversible' when 5 then 'sometimes' when 6 then '1' end as oneway,
+        case when p_partkey % 2 = 0 then 'exit' else 'entry' end as flow from part, (values (0), (1), (2), (3), (4)) as v(i)"""),
+    "member": ((), """select p_brand as relation, row_number() over (partition by p_brand order by p_partkey) as pos, p_partkey as way, case when p_partkey % 11 = 0 then 'node' else 'way' end as kind,
+        case when p_brand like '%1' then 'C1' when p_brand like '%2' then '2' else 'B' end as route_id,
+        case p_partkey % 13 when 0 then 'Inner_Loop' when 1 then 'outer' when 2 then 'BACKWARD' when 3 then ' forward ' when 4 then 'east' when 5 then 'stop' when 6 then 'reverse_lane' when 7 then 'northbound' when 8 then 'south' else '' end as role,
+        case when p_brand like '%3' or p_brand like '%12' then 'Forward; backward' when p_brand like '%4' then ',' end as declared,
+        case p_partkey % 4 when 0 then 'yes' when 1 then '-1' when 2 then 'TRUE' else '1' end as oneway from part"""),
+    # Candidates of a search, ramps, records of device checks, tariff assignments.
+    "candidate": ((), """select o_orderkey as id, o_custkey as request_id, case o_orderkey % 5 when 0 then 'topologyOnly' when 1 then 'radialReturn' when 2 then 'radialReturn' else 'legacyRing' end as pair_kind,
+        case when o_orderkey % 3 = 0 then 'unverified' else 'verified_one_section_ahead' end as eligibility, case when o_orderkey % 7 = 0 then 'unvalidated' else 'declared_route_validated' end as loop_validation,
+        cast(600 + 300 * (o_orderkey % 12) as bigint) as secs, case when o_orderkey % 9 = 0 then null else cast(300 + 150 * (o_orderkey % 12) as bigint) end as yen,
+        cast(60 * (o_orderkey % 4) as bigint) as access_secs, cast(30 * (o_orderkey % 3) as bigint) as return_secs, cast(o_orderkey % 6 as bigint) as tier, cast(1000 * (o_orderkey % 6) as bigint) as tier_meters from orders"""),
+    "ramp": ((), """select p_partkey as id, concat('r:', cast(p_partkey as {string})) as ramp_id, p_partkey {div} 4 as facility, case when p_partkey % 3 = 0 then p_partkey * 1000 else p_partkey {div} 2 end as edge, concat('Ramp ', cast(p_partkey % 50 as {string})) as name,
+        case p_partkey % 5 when 0 then 'C1' when 1 then 'B' when 2 then 'K1' when 3 then 'S5' else 'X9' end as route, case p_partkey % 3 when 0 then 'inner' when 1 then 'outer' else 'inbound' end as direction,
+        case p_partkey % 4 when 0 then 'general_entry' when 1 then 'general_exit' when 2 then 'general_entry' else case when p_partkey % 8 = 3 then 'boundary_in' else 'general_exit' end end as kind,
+        case when p_partkey % 10 = 0 then 'closed' else 'active' end as status, case p_partkey % 6 when 0 then 'structural_no_loop' when 1 then 'unsupported' when 2 then 'unknown' else 'routable' end as capability from part"""),
+    "device": ((), """select c_custkey as plan, os, client, case when os = 'ios' and client = 'app' and c_custkey % 10 = 0 then 'missing' when os = 'android' and client = 'web' and c_custkey % 10 = 1 then 'failed' when c_custkey % 10 = 2 and os = 'ios' then 'expired' else 'passed' end as result,
+        case when c_custkey % 10 = 3 then timestamp '2026-10-02 00:00:00' else timestamp '2026-09-01 00:00:00' end as verified_at, case when c_custkey % 10 = 4 and client = 'web' then timestamp '2026-10-01 00:00:00' else timestamp '2027-01-01 00:00:00' end as expires_at,
+        c_custkey % 10 = 5 and os = 'ios' as extra from customer, (values ('ios', 'app'), ('ios', 'web'), ('android', 'app'), ('android', 'web')) as m(os, client) where not (c_custkey % 10 = 6 and os = 'ios' and client = 'web')"""),
+    "assignment": ((), """select o_orderkey as assignment_id, concat('p:', cast(o_custkey as {string})) as pair_id, concat('in:', cast(o_custkey % 50 as {string})) as entry, concat('out:', cast(o_custkey % 40 as {string})) as exit,
+        case when o_orderkey % 4 = 0 then 'unpriced' else 'priced' end as status, cast(100 * (35 + o_orderkey % 200) as bigint) as billed, case when o_orderkey % 3 = 0 then '2022-04' else '2026-10' end as rule_id from orders"""),
     "turn": (("edge",), "select a.source as from_node, a.edge_id as in_edge, b.edge_id as out_edge, a.target as via, a.route, a.secs as in_secs, b.secs as out_secs from edge a join edge b on a.target = b.source and a.route = b.route"),
     "trial": ((), """select event_id, concat(event_type, '') as pattern, case when event_id % 2 = 0 then 'cold' else 'warm' end as cache, cast(round(value * 100) as bigint) as ms,
         case when event_id % 40 = 0 then 1 else 0 end as timeout, cast((event_id * 37) % 5000 as bigint) as transfer, cast((event_id * 53) % 7000 as bigint) as encoded from events"""),
+    # Networks for search: a ring a route, with chords over three edges, a pair at its first node, and sequences that may not be driven.
+    "net": (("edge",), """select r.route as net, r.id, r.pos, r.secs, r.meters, r.n, r.anchor, r.anchor % 4 <> 0 as closed, r.next_id, r.far_id,
+        case when r.id % 31 = 0 and r.far_id is not null then 2 * r.secs + 1 end as chord_secs, r.id % 97 = 0 and r.next_id is not null as barred from (
+        select route, source as id, pos, secs, meters, count(*) over (partition by route) as n, min(source) over (partition by route) as anchor,
+            lead(source) over (partition by route order by pos) as next_id, lead(source, 3) over (partition by route order by pos) as far_id from edge) r"""),
+    "question": (("request", "net"), """select r.request_id, r.lat, r.lon, r.min_minutes, r.max_minutes, k.net, k.anchor, r.request_id % 2 = 0 as by_node,
+        case when r.request_id % 3 = 0 then '2026-10-01T00:00:00Z' else '2026-09-30T23:59:59Z' end as priced_at from request r
+        join (select net, anchor, row_number() over (order by net) - 1 as k, count(*) over () as nets from (select distinct net, anchor from net)) k on r.request_id % k.nets = k.k"""),
     "access": (("request", "entry"), f"""select * from (select r.*, e.id as entry_id, e.route, e.pos, {geo.equirectangular('r.lat', 'r.lon', 'e.lat', 'e.lon')} as meters,
         row_number() over (partition by r.request_id order by round({geo.equirectangular('r.lat', 'r.lon', 'e.lat', 'e.lon')}, 3), e.id) as rank from request r cross join entry e) where rank <= 3"""),
 }
