@@ -28,7 +28,8 @@ def rule(*tables: str, sql: str):  # noqa: ANN202
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
-        ORACLE[f.__name__] = with_tables(tables, sql, DUCK)
+        text = with_tables(tables, "--", DUCK)[:-2].rstrip()
+        ORACLE[f.__name__] = f"{text}, {sql[5:]}" if sql.startswith("with ") else f"{text} {sql}"
         return f
 
     return add
@@ -731,3 +732,81 @@ def j02_adjacency(edge):
     out = edge.groupBy(F.col("source").alias("target")).agg(F.array_sort(F.collect_list("edge_id")).alias("ids"))
     joined = edge.select("edge_id", "target").join(out, "target", "left")
     return joined.select("edge_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("onward"), F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("ids"))
+
+
+# --- turn restrictions ----------------------------------------------------------------------------
+
+
+_OUTCOME_SQL = """case when value is null then case when conditional then 'skipped_conditional' else 'skipped_missing_elements' end when value not in ('no_left_turn', 'no_right_turn', 'no_u_turn', 'no_straight_on', 'only_left_turn', 'only_right_turn', 'only_straight_on', 'only_u_turn') then 'skipped_unrecognized'
+  when from_way is null or to_way is null then 'skipped_missing_elements' when via_node is null and via_way is null then 'skipped_no_via' when via_node is not null then case when not exists (select 1 from netway f where f.net = r.net and f.way = r.from_way and f.to_node = r.via_node)
+    or not exists (select 1 from netway t where t.net = r.net and t.way = r.to_way and t.from_node = r.via_node) then 'skipped_missing_elements' when value like 'no%' then 'no_turn_via_node' else 'only_turn_via_node' end
+  when not exists (select 1 from netway f where f.net = r.net and f.way = r.from_way) or not exists (select 1 from netway t where t.net = r.net and t.way = r.to_way) then 'skipped_missing_elements' when value like 'only%' then 'skipped_only_via_way' else 'via_way' end"""
+
+
+def _outcomes(restriction: DataFrame, netway: DataFrame) -> DataFrame:
+    """restriction with its outcome: the first thing that keeps it from being applied, or how it is."""
+    ways = netway.groupBy(F.col("net"), F.col("way")).agg(F.collect_set("to_node").alias("ends"), F.collect_set("from_node").alias("starts"))
+    into = ways.select("net", F.col("way").alias("from_way"), F.col("ends").alias("into"))
+    out = ways.select("net", F.col("way").alias("to_way"), F.col("starts").alias("out"))
+    both = restriction.join(into, ["net", "from_way"], "left").join(out, ["net", "to_way"], "left")
+    kinds = [f"{a}_{b}" for a in ("no", "only") for b in ("left_turn", "right_turn", "u_turn", "straight_on")]
+    value, absent = F.col("value"), F.col("into").isNull() | F.col("out").isNull()
+    apart = F.coalesce(absent | ~F.array_contains("into", F.col("via_node")) | ~F.array_contains("out", F.col("via_node")), F.lit(True))
+    no = value.startswith("no_")
+    outcome = (
+        F.when(value.isNull(), F.when(F.col("conditional"), "skipped_conditional").otherwise("skipped_missing_elements")).when(~value.isin(kinds), "skipped_unrecognized")
+        .when(F.col("from_way").isNull() | F.col("to_way").isNull(), "skipped_missing_elements").when(F.col("via_node").isNull() & F.col("via_way").isNull(), "skipped_no_via")
+        .when(F.col("via_node").isNotNull(), F.when(apart, "skipped_missing_elements").when(no, "no_turn_via_node").otherwise("only_turn_via_node"))
+        .when(absent, "skipped_missing_elements").when(no, "via_way").otherwise("skipped_only_via_way")
+    )
+    return both.withColumn("outcome", outcome)
+
+
+@rule("restriction", "netway", sql=f"select outcome, count(*) as relations, (select count(*) from restriction) as total from (select {_OUTCOME_SQL} as outcome from restriction r) group by outcome")
+def g15_restriction_accounting(restriction, netway):
+    """How many relations came to each outcome; the outcomes add up to all relations."""
+    counts = _outcomes(restriction, netway).groupBy("outcome").agg(F.count("*").alias("relations"))
+    return counts.withColumn("total", F.sum("relations").over(Window.partitionBy()))
+
+
+@rule("restriction", "netway", sql=f"""select distinct f.edge_id as in_edge, t.edge_id as out_edge from (select *, {_OUTCOME_SQL} as outcome from restriction r) r join netway f on f.net = r.net and f.way = r.from_way and f.to_node = r.via_node join netway t on t.net = r.net and t.way = r.to_way and t.from_node = r.via_node where outcome = 'no_turn_via_node'""")
+def g12_no_turns(restriction, netway):
+    """Pairs of edges over a node that a no-turn forbids: each edge of the way in with each of the way out."""
+    found = _outcomes(restriction, netway).where("outcome = 'no_turn_via_node'").select("net", "from_way", "to_way", "via_node")
+    into = netway.select("net", F.col("way").alias("from_way"), F.col("to_node").alias("via_node"), F.col("edge_id").alias("in_edge"))
+    out = netway.select("net", F.col("way").alias("to_way"), F.col("from_node").alias("via_node"), F.col("edge_id").alias("out_edge"))
+    return found.join(into, ["net", "from_way", "via_node"]).join(out, ["net", "to_way", "via_node"]).select("in_edge", "out_edge").distinct()
+
+
+@rule("restriction", "netway", sql=f"""select distinct f.edge_id as in_edge, o.edge_id as out_edge from (select *, {_OUTCOME_SQL} as outcome from restriction r) r join netway f on f.net = r.net and f.way = r.from_way and f.to_node = r.via_node join netway o on o.net = r.net and o.from_node = r.via_node where outcome = 'only_turn_via_node' and o.way <> r.to_way""")
+def g13_only_turns(restriction, netway):
+    """Pairs of edges that an only-turn forbids: the way in with all edges that leave the node but those of the way out; each once."""
+    found = _outcomes(restriction, netway).where("outcome = 'only_turn_via_node'").select("net", "from_way", "to_way", "via_node")
+    into = netway.select("net", F.col("way").alias("from_way"), F.col("to_node").alias("via_node"), F.col("edge_id").alias("in_edge"))
+    leaving = netway.select("net", F.col("from_node").alias("via_node"), F.col("way").alias("out_way"), F.col("edge_id").alias("out_edge"))
+    turns = found.join(into, ["net", "from_way", "via_node"]).join(leaving, ["net", "via_node"])
+    return turns.where("out_way <> to_way").select("in_edge", "out_edge").distinct()
+
+
+@rule("edge", "node", sql="""with flat as (select e.edge_id, e.route, (a.y + b.y) / 2 as y, (a.x + b.x) / 2 as x, (b.x - a.x) / l as dx, (b.y - a.y) / l as dy from (select e.*, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as l from edge e join p a on a.id = e.source join p b on b.id = e.target) e join p a on a.id = e.source join p b on b.id = e.target where l > 0)
+select f.edge_id, g.edge_id as other, case when f.dx * g.dx + f.dy * g.dy < 0 then 'opposite' else 'same' end as heading from flat f join flat g on g.edge_id <> f.edge_id and g.route <> f.route and abs(f.x - g.x) <= 400 and abs(f.y - g.y) <= 400
+where (f.dx * g.dx + f.dy * g.dy <= -0.95 and sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)) <= 60) or (f.dx * g.dx + f.dy * g.dy >= 0.99 and sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)) <= 300)""".replace("with flat as", "with p as (select id, lat * 111320 as y, lon * 111320 * cos(radians(lat)) as x from node), flat as"))
+def j18_parallel_edges(edge, node):
+    """Edges of other routes beside an edge: the opposite way (cosine -0.95 or less) within 60 m of its middle, or the same way (0.99 or more) within 300 m.
+
+    Middles lie in cells of 300 m; each meets those of the nine cells around it.
+    """
+    flat = node.select("id", (F.col("lon") * 111320 * F.cos(F.radians("lat"))).alias("x"), (F.col("lat") * 111320).alias("y"))
+    a, b = (flat.select(F.col("id").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in ("source", "target"))
+    dx, dy = F.col("x_target") - F.col("x_source"), F.col("y_target") - F.col("y_source")
+    length = F.sqrt(dx * dx + dy * dy)
+    middles = edge.join(a, "source").join(b, "target").where(length > 0).select("edge_id", "route", ((F.col("x_source") + F.col("x_target")) / 2).alias("x"), ((F.col("y_source") + F.col("y_target")) / 2).alias("y"), (dx / length).alias("dx"), (dy / length).alias("dy"))
+    celled = middles.withColumns({"row": F.floor(F.col("y") / 300), "column": F.floor(F.col("x") / 300)})
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = celled.withColumn("step", F.explode(near)).withColumns({"row": F.col("row") + F.col("step.i"), "column": F.col("column") + F.col("step.j")})
+    other = celled.select("row", "column", *(F.col(c).alias(f"other_{c}") for c in ("edge_id", "route", "x", "y", "dx", "dy")))
+    cosine = F.col("dx") * F.col("other_dx") + F.col("dy") * F.col("other_dy")
+    away = F.sqrt(F.pow(F.col("x") - F.col("other_x"), 2) + F.pow(F.col("y") - F.col("other_y"), 2))
+    met = around.join(other, ["row", "column"]).where((F.col("edge_id") != F.col("other_edge_id")) & (F.col("route") != F.col("other_route")))
+    beside = met.where((cosine <= -0.95) & (away <= 60) | (cosine >= 0.99) & (away <= 300))
+    return beside.select("edge_id", F.col("other_edge_id").alias("other"), F.when(cosine < 0, "opposite").otherwise("same").alias("heading"))

@@ -161,21 +161,10 @@ def g10_active_nodes(d):
     return ("node", "edge"), "select id from node where exists (select 1 from edge where source = id or target = id)".replace("source = id or target = id", "source = node.id") + " or exists (select 1 from edge where target = node.id)"
 
 
-@query
-def g12_no_turns(d):
-    """Forbidden pairs of a no-turn at every node divisible by 10: each way in with each way out."""
-    return ("edge",), "select i.edge_id as first_edge, o.edge_id as second_edge from edge i join edge o on i.target = o.source where i.target % 10 = 0"
 
 
-@query
-def g13_only_turns(d):
-    """Forbidden pairs of an only-turn: ways out other than the one that is allowed."""
-    return ("edge",), "select distinct i.edge_id as first_edge, o.edge_id as second_edge from edge i join edge o on i.route = o.route and o.pos in (i.pos + 1, i.pos + 2) where i.target % 10 = 5 and o.source <> i.target"
 
 
-@query
-def g15_restriction_accounting(d):
-    return ("edge",), "select case when target % 10 = 0 then 'no' when target % 10 = 5 then 'only' when target % 10 = 7 then 'conditional' else 'none' end as outcome, cast(count(*) as bigint) as n from edge group by 1"
 
 
 # --- joins ----------------------------------------------------------------------------------------
@@ -221,12 +210,6 @@ def j16_forbidden_pairs(d):
 
 
 
-@query
-def j18_parallel_edges(d):
-    """Pairs of nodes within 300 m, by cells; J18's midpoints, headings and 60 m case are not here."""
-    cell = lambda x: f"cast(floor({x} / cast(0.005 as double)) as bigint)"
-    return ("node",), f"""select a.id as left_id, b.id as right_id from (select n.*, {cell('lat')} + dy as cy, {cell('lon')} + dx as cx from node n cross join (values (-1), (0), (1)) as s(dy) cross join (values (-1), (0), (1)) as t(dx)) a
-        join (select n.*, {cell('lat')} as cy, {cell('lon')} as cx from node n) b on a.cy = b.cy and a.cx = b.cx and a.id < b.id where {geo.equirectangular('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 300"""
 
 
 # --- aggregates and windows -----------------------------------------------------------------------
@@ -404,16 +387,10 @@ def r27_first_exit(d):
 # --- validators: rule, entity, message; no rows where all is well ----------------------------------
 
 
-@query
-def v01_graph(d):
-    return ("node", "edge"), "select 'weight' as rule, edge_id as entity from edge where secs not between 1 and 86400 or meters not between 1 and 10000000 union all select 'coordinates', cast(id as {string}) from node where lat not between -90 and 90 or lon not between -180 and 180 union all select 'endpoint', e.edge_id from edge e where not exists (select 1 from node n where n.id = e.target)"
 
 
 
 
-@query
-def v08_tariff(d):
-    return ("price", "rule"), "select 'least' as rule, price_id from price where yen < 300 union all select 'most', price_id from price where yen > 1950 union all select 'empty', price_id from price where to_at <= from_at"
 
 
 @query

@@ -52,6 +52,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         case p_partkey % 14 when 0 then 'no' when 1 then ' Yes' end as vehicle,
         case p_partkey % 41 when 0 then 'maxspeed:conditional' when 1 then 'hgv:conditional' when 2 then 'access:conditional' end as conditional from part"""),
     # Nodes of a way, with one that comes twice in some, and members of route relations with roles of all spellings.
+    # Turn restrictions: from the way that leads to `via`, to one of those that leave it; some lack a part or name a way that isn't there.
+    "restriction": (("net",), """select id as relation, net, case when id % 9 = 0 then null when id % 9 = 1 then 'no_entry' when id % 2 = 0 then 'no_left_turn' else 'only_straight_on' end as value, id % 18 = 0 as conditional,
+        case when id % 13 <> 0 then case when id % 17 = 0 then -id else id end end as from_way, case when id % 11 <> 0 then case when id % 19 = 0 then id else next_id end end as via_node, case when id % 23 = 0 then id end as via_way,
+        case when id % 5 = 0 then next_id + 1000000 else next_id end as to_way from net where next_id is not null"""),
+    "netway": (("net",), """select net, id as way, concat('e:', cast(id as {string})) as edge_id, id as from_node, coalesce(next_id, anchor) as to_node from net where next_id is not null or closed
+        union all select net, id + 1000000, concat('c:', cast(id as {string})), id, far_id from net where chord_secs is not null"""),
     "waynode": ((), """select p_partkey as way, i as pos, (p_partkey * 3 + case when p_partkey % 6 = 0 and i = 4 then 1 else i end) as node, p_partkey * 3 + 1 as at_node,
         case p_partkey % 8 when 0 then 'yes' when 1 then '-1' when 2 then ' Reverse' when 3 then 'no' when 4 then 'reversible' when 5 then 'sometimes' when 6 then '1' end as oneway,
         case when p_partkey % 2 = 0 then 'exit' else 'entry' end as flow from part, (values (0), (1), (2), (3), (4)) as v(i)"""),
