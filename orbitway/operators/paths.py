@@ -260,33 +260,6 @@ class Network:
                     queue.append((e.target, state[1:]))
         return False
 
-    def first_exits(self, anchor: str, most: int = 200_000) -> tuple[list[tuple[int, str]], bool]:
-        """(seconds, exit edge) that mainline paths from the anchor meet first, cheapest path each, and whether the search ran out of states.
-
-        A path passes an exit by going on along the mainline from the node where the exit leaves; it is
-        then no longer the first. So each path ends at the first node that has an exit.
-        """
-        longest = max((len(s) for s in self.forbidden), default=1)
-        best: dict[str, int] = {}
-        queue: list[tuple[int, str, tuple[str, ...]]] = [(0, anchor, ())]
-        done: set[tuple[str, tuple[str, ...]]] = set()
-        while queue:
-            cost, node, tail = heapq.heappop(queue)
-            if (node, tail) in done:
-                continue
-            if len(done) >= most:
-                return sorted((c, x) for x, c in best.items()), True
-            done.add((node, tail))
-            legal = [e for e in self.out.get(node, ()) if not any((*tail, e.id)[-len(s) :] == s for s in self.forbidden)]
-            exits = [e for e in legal if e.kind == "exit"]
-            for e in exits:
-                best[e.id] = min(cost, best.get(e.id, cost))
-            if not exits:
-                for e in legal:
-                    if e.kind == MAINLINE:
-                        heapq.heappush(queue, (cost + e.seconds, e.target, (*tail, e.id)[-(longest - 1) :] if longest > 1 else ()))
-        return sorted((c, x) for x, c in best.items()), False
-
 
 def seconds(path: list[Edge]) -> int:
     return sum(e.seconds for e in path)

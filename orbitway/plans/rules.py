@@ -489,6 +489,15 @@ def f16_edition_overlap(assignment, rule_):
     return both.select("edition", "rule_id", F.coalesce(overlap, F.lit(False)).alias("overlaps"))
 
 
+@rule("assignment", "candidate", sql="""select c.id, c.pair, a.amount from (select id, concat('p:', cast(request_id as varchar)) as pair from candidate) c join (select pair_id, max(billed) filter (where status = 'priced') as amount from (
+  select unnest([pair_id, concat('p:', cast(assignment_id % 150 + 1 as varchar))]) as pair_id, billed, status from assignment where assignment_id % 3 = 0) group by pair_id) a on a.pair_id = c.pair""")
+def j13_override_pairs(assignment, candidate):
+    """Tariffs that name several pairs, at each of them; of several for a pair, the highest priced."""
+    named = assignment.where("assignment_id % 3 = 0").withColumn("pair_ids", F.array("pair_id", F.concat(F.lit("p:"), (F.col("assignment_id") % 150 + 1).cast("string"))))
+    each = named.select(F.explode("pair_ids").alias("pair"), "billed", "status").groupBy("pair").agg(F.max(F.when(F.col("status") == "priced", F.col("billed"))).alias("amount"))
+    return candidate.select("id", F.concat(F.lit("p:"), F.col("request_id").cast("string")).alias("pair")).join(each, "pair").select("id", "pair", "amount")
+
+
 # --- device checks and benchmark ------------------------------------------------------------------
 
 
@@ -810,3 +819,154 @@ def j18_parallel_edges(edge, node):
     met = around.join(other, ["row", "column"]).where((F.col("edge_id") != F.col("other_edge_id")) & (F.col("route") != F.col("other_route")))
     beside = met.where((cosine <= -0.95) & (away <= 60) | (cosine >= 0.99) & (away <= 300))
     return beside.select("edge_id", F.col("other_edge_id").alias("other"), F.when(cosine < 0, "opposite").otherwise("same").alias("heading"))
+
+
+# --- bindings, streets, components ----------------------------------------------------------------
+
+
+@rule("binding", sql="""select b.ramp, case when count(o.ramp) = 1 then min(o.ramp) * 10 end as edge, case when count(o.ramp) = 0 then 'missing' when count(o.ramp) = 1 then 'bound' else 'ambiguous' end as state
+from binding b left join (select * from binding where ramp % 6 <> 0) o on o.way = b.way and o.kind = b.kind and o.from_node = b.from_node and o.to_node = b.to_node group by b.ramp""")
+def j09_bind_ramps(binding):
+    """A ramp's edge: the one with its way, kind and both nodes; none, or several, is an error. Edges are here those of most ramps."""
+    keys = ["way", "kind", "from_node", "to_node"]
+    edges = binding.where("ramp % 6 <> 0").groupBy(*keys).agg(F.count("*").alias("n"), (F.min("ramp") * 10).alias("edge"))
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "bound").otherwise("ambiguous")
+    return binding.join(edges, keys, "left").select("ramp", F.when(F.col("n") == 1, F.col("edge")).alias("edge"), state.alias("state"))
+
+
+@rule("ramp", sql="""select e.id, case when count(x.id) = 1 then min(x.id) when count(x.id) filter (where x.direction = e.direction) = 1 then min(x.id) filter (where x.direction = e.direction) end as exit_ramp
+from (select id, direction, id // 4 as pad from ramp where kind = 'general_entry') e left join (select id, direction, id // 4 as pad from ramp where kind <> 'general_entry') x on x.pad = e.pad group by e.id, e.direction""")
+def j11_shared_exit(ramp):
+    """The exit of a place if there is one; of several, the only one in the entry's direction; else unresolved."""
+    entries = ramp.where("kind = 'general_entry'").select("id", "direction", F.expr("id div 4").alias("pad"))
+    exits = ramp.where("kind <> 'general_entry'").select(F.expr("id div 4").alias("pad"), F.col("id").alias("exit"), F.col("direction").alias("way"))
+    met = entries.join(exits, "pad", "left").withColumn("same", F.when(F.col("way") == F.col("direction"), F.col("exit")))
+    found = met.groupBy("id").agg(F.count("exit").alias("n"), F.min("exit").alias("one"), F.count("same").alias("m"), F.min("same").alias("own"))
+    return found.select("id", F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("own")).alias("exit_ramp"))
+
+
+_FLAT_SQL = "sqrt(pow(radians(s.lon - n.lon) * cos(radians((s.lat + n.lat) * 0.5)) * 6371000, 2) + pow(radians(s.lat - n.lat) * 6371000, 2))"
+
+
+def _streets(node: DataFrame, street: DataFrame, limit: float, cell: float) -> DataFrame:
+    """Each node's streets within the limit, by cells of so many degrees; a node meets as many cells around it as the limit may reach."""
+    reach = F.ceil(F.lit(limit / 111195.0 / cell)).cast("int")
+    wide = F.ceil(F.lit(limit / 111195.0 / cell) / F.cos(F.radians(F.abs("lat") + 0.01))).cast("int")
+    at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
+    held = street.select(F.col("id").alias("street"), F.col("lat").alias("street_lat"), F.col("lon").alias("street_lon"), at("lat").alias("row"), at("lon").alias("column"))
+    around = node.select("id", "lat", "lon", F.explode(F.sequence(at("lat") - reach, at("lat") + reach)).alias("row")).withColumn("column", F.explode(F.sequence(at("lon") - wide, at("lon") + wide)))
+    met = around.join(held, ["row", "column"])
+    from orbitway.functions import geo
+
+    return met.withColumn("away", F.expr(geo.equirectangular("lat", "lon", "street_lat", "street_lon"))).where(F.col("away") <= limit)
+
+
+@rule("node", "street", sql=f"select id, street, meters from (select n.id, s.id as street, round({_FLAT_SQL}, 3) as meters, row_number() over (partition by n.id order by round({_FLAT_SQL}, 3), s.id) as turn from node n join street s on abs(s.lat - n.lat) < 0.003 and abs(s.lon - n.lon) < 0.003 where {_FLAT_SQL} <= 150) where turn = 1")
+def j05_nearest_street(node, street):
+    """The nearest street within 150 m; ties (to the millimetre) to the smaller id."""
+    near = _streets(node, street, 150.0, 0.0005).withColumn("meters", F.round("away", 3))
+    return near.groupBy("id").agg(F.min(F.struct("meters", "street")).alias("best")).select("id", "best.street", "best.meters")
+
+
+@rule("node", "street", "waynode", sql=f"select n.id, case when exists (select 1 from waynode w where w.node = n.id and w.way % 4 = 0) then 'shared_node' when exists (select 1 from street s where abs(s.lat - n.lat) < 0.003 and abs(s.lon - n.lon) < 0.003 and {_FLAT_SQL} <= 100) then 'no_shared_node' else 'unavailable' end as evidence from node n")
+def g07_surface_evidence(node, street, waynode):
+    """What shows whether a ramp's end is at street level: a node that a street shares; none, though a street lies within 100 m; or nothing, where no street is mapped so near."""
+    shared = waynode.where("way % 4 = 0").select(F.col("node").alias("id")).distinct().withColumn("shared", F.lit(True))
+    mapped = _streets(node, street, 100.0, 0.0005).select("id").distinct().withColumn("mapped", F.lit(True))
+    both = node.join(shared, "id", "left").join(mapped, "id", "left")
+    return both.select("id", F.when(F.col("shared"), "shared_node").when(F.col("mapped"), "no_shared_node").otherwise("unavailable").alias("evidence"))
+
+
+@rule("node", "street", sql="""select n.id, greatest(cast(round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(s.lat - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - n.lon) / 2), 2))))) as bigint), 1) > 5000 as too_far from node n join (select id - id % 5 as id, lat, lon from street where id % 5 = 1) s on s.id = n.id""")
+def j20_far_bindings(node, street):
+    """Whether a bound node lies more than 5 km from its inventory point."""
+    from orbitway.functions import geo
+
+    points = street.where("id % 5 = 1").select((F.col("id") - F.col("id") % 5).alias("id"), F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"))
+    return node.join(points, "id").select("id", (F.expr(geo.haversine("lat", "lon", "point_lat", "point_lon")) > 5000).alias("too_far"))
+
+
+@rule("waynode", sql="select way, min(pos) as first, max(pos) as last, count(*) as nodes, count(distinct node) as places from waynode group by way")
+def g02_way_nodes(waynode):
+    """Places that a way's nodes have in the index: first, last, all, and different ones."""
+    return waynode.groupBy("way").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("nodes"), F.count_distinct("node").alias("places"))
+
+
+@rule("edge", sql="select edge_id, row_number() over (order by edge_id) as turn from edge")
+def g11_stable_order(edge):
+    """Edges in the binary order of their ids, by range partitions: places are offsets of partitions and places in them."""
+    ranged = edge.select("edge_id").withColumn("part", F.substring("edge_id", 1, 3))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("edge_id"))
+    return ranged.withColumn("inside", inside).join(before, "part").select("edge_id", (F.col("before") + F.col("inside")).alias("turn"))
+
+
+@rule("net", "ramp", sql="""select net, count(*) as nodes, case when max(closed::int) = 1 then sum(meters) + sum(case when chord_secs is not null then meters else 0 end) else 0 end::bigint as inside, bool_or(closed) as cyclic,
+  case when bool_or(closed) and sum(meters) + sum(case when chord_secs is not null then meters else 0 end) >= 5000 then 'routable' else 'structural_no_loop' end as capability from net group by net""")
+def r13_capability(net, ramp):
+    """Whether a network's ramps can be used: they reach a component with a cycle and at least 5 km of edges inside.
+
+    On these networks each node reaches every other if the ring closes, and none lies on a cycle if it doesn't.
+    """
+    last = F.col("next_id").isNull()
+    own = F.when(~last | F.col("closed"), F.col("meters")).otherwise(0) + F.when(F.col("chord_secs").isNotNull(), F.col("meters")).otherwise(0)
+    sums = net.groupBy("net").agg(F.count("*").alias("nodes"), F.bool_or("closed").alias("cyclic"), F.sum(own).alias("all"))
+    inside = F.when(F.col("cyclic"), F.col("all")).otherwise(0).cast("long")
+    return sums.select("net", "nodes", inside.alias("inside"), "cyclic", F.when(F.col("cyclic") & (inside >= 5000), "routable").otherwise("structural_no_loop").alias("capability"))
+
+
+@rule("candidate", sql="select request_id, id, row_number() over (partition by request_id order by secs desc, access_secs + return_secs, id) as turn from candidate")
+def t02_time_rank(candidate):
+    """Rank by mainline seconds; then less surface time, then smaller id."""
+    return _ranked(candidate, by_time)
+
+
+@rule("candidate", sql="select id, concat(cast(floor(secs / 60.0 + 0.5) as int), ' min') as minutes, concat(printf('%.1f', (secs * 17) / 1000.0), ' km') as distance, case when yen is null then '料金額: 未算出' when yen >= 1000 then concat('料金額: ', cast(yen // 1000 as varchar), ',', lpad(cast(yen % 1000 as varchar), 3, '0'), ' 円') else concat('料金額: ', cast(yen as varchar), ' 円') end as toll from candidate where (secs * 17) % 100 <> 50")
+def q13_cards(candidate):
+    """What a card shows: whole minutes, kilometres with one decimal, and the toll with a comma at thousands."""
+    shown = candidate.where("(secs * 17) % 100 <> 50")
+    toll = F.when(F.col("yen").isNull(), "料金額: 未算出").otherwise(F.concat(F.lit("料金額: "), F.format_number("yen", 0), F.lit(" 円")))
+    return shown.select("id", F.concat(F.expr("(secs + 30) div 60").cast("string"), F.lit(" min")).alias("minutes"), F.concat(F.format_string("%.1f", F.col("secs") * 17 / 1000), F.lit(" km")).alias("distance"), toll.alias("toll"))
+
+
+@rule("edge", sql="select route, sha256(text) as sha256, strlen(text) as bytes from (select route, concat('[\n', string_agg(concat('  \"', edge_id, '\"'), ',\n' order by edge_id), '\n]\n') as text from edge group by route)")
+def s17_manifest(edge):
+    """A release's manifest: the hash and the bytes of each artifact's text."""
+    from orbitway.sources.graph_files import canonical_list
+
+    texts = edge.groupBy("route").agg(canonical_list(F.array_sort(F.collect_list("edge_id"))).alias("text"))
+    return texts.select("route", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@rule("edge", sql="select route, case when anchor % 5 = 0 then 'hash' when anchor % 5 = 1 then 'length' when anchor % 5 = 2 then 'absent' end as violation from (select route, min(source) as anchor from edge group by route) where anchor % 5 < 3")
+def v19_release(edge):
+    """Artifacts that don't agree with their manifest: another hash, another length, or none. Three of five are made wrong."""
+    from orbitway.sources.graph_files import canonical_list
+
+    texts = edge.groupBy("route").agg(F.min("source").alias("anchor"), canonical_list(F.array_sort(F.collect_list("edge_id"))).alias("text"))
+    kind = F.col("anchor") % 5
+    manifest = texts.select("route", F.when(kind == 0, F.sha2(F.concat("text", F.lit(" ")), 256)).otherwise(F.sha2("text", 256)).alias("sha256"), (F.octet_length("text") + F.when(kind == 1, 1).otherwise(0)).alias("bytes"))
+    held = texts.where(kind != 2).select("route", F.sha2("text", 256).alias("own"), F.octet_length("text").alias("size"))
+    wrong = F.when(F.col("own").isNull(), "absent").when(F.col("size") != F.col("bytes"), "length").when(F.col("own") != F.col("sha256"), "hash")
+    return manifest.join(held, "route", "left").select("route", wrong.alias("violation")).where("violation is not null")
+
+
+@rule("ramp", sql="select 'count' as rule, null::bigint as id, (select count(*) from ramp where id % 9 <> 0) as found from ramp where id = 1 and exists (select 1 from ramp where id % 9 = 0) union all select 'absent', id, null from ramp where id % 9 = 0 union all select 'kind', id, null from ramp where id % 9 <> 0 and id % 25 = 3")
+def v21_ramps(ramp):
+    """A list of ramps against its manifest: their number, each id, and a known kind. Every ninth is left out, some have another kind."""
+    listed = ramp.where("id % 9 <> 0").withColumn("kind", F.when(F.col("id") % 25 == 3, "gate").otherwise(F.col("kind")))
+    expected = ramp.agg(F.count("*").alias("expected"))
+    counts = listed.agg(F.count("*").alias("found")).join(expected, F.lit(True)).where("found <> expected").select(F.lit("count").alias("rule"), F.lit(None).cast("long").alias("id"), "found")
+    none = F.lit(None).cast("long").alias("found")
+    absent = ramp.join(listed, "id", "left_anti").select(F.lit("absent").alias("rule"), "id", none)
+    kinds = listed.where(~F.col("kind").isin("general_entry", "general_exit", "boundary_in", "boundary_out")).select(F.lit("kind").alias("rule"), "id", none)
+    return counts.unionByName(absent).unionByName(kinds)
+
+
+@rule("edge", sql="""select route, sum(secs) as secs, sum(meters) as meters, 'total' as rule from edge group by route having min(source) % 3 = 0""")
+def v14_candidate_totals(edge):
+    """Candidates whose stated seconds aren't the sum of their edges', with the true sums. Every third is made wrong."""
+    sums = edge.groupBy("route").agg(F.sum("secs").alias("secs"), F.sum("meters").alias("meters"), F.min("source").alias("anchor"))
+    stated = sums.select("route", (F.col("secs") + F.when(F.col("anchor") % 3 == 0, 1).otherwise(0)).alias("stated"))
+    return sums.join(stated, "route").where("stated <> secs").select("route", "secs", "meters", F.lit("total").alias("rule"))

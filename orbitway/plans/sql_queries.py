@@ -126,9 +126,6 @@ def s15_snap_index(d):
     return ("entry",), "select distinct id, cast(round(lat * 1000000) as bigint) as lat_e6, cast(round(lon * 1000000) as bigint) as lon_e6 from entry"
 
 
-@query
-def s17_manifest_hashes(d):
-    return ("edge",), f"select route, {d['sha'](d['joined']('edge_id', 'pos'))} as sha256, cast({d['bytes'](d['joined']('edge_id', 'pos'))} as bigint) as n_bytes from edge group by route"
 
 
 @query

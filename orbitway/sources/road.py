@@ -56,6 +56,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "restriction": (("net",), """select id as relation, net, case when id % 9 = 0 then null when id % 9 = 1 then 'no_entry' when id % 2 = 0 then 'no_left_turn' else 'only_straight_on' end as value, id % 18 = 0 as conditional,
         case when id % 13 <> 0 then case when id % 17 = 0 then -id else id end end as from_way, case when id % 11 <> 0 then case when id % 19 = 0 then id else next_id end end as via_node, case when id % 23 = 0 then id end as via_way,
         case when id % 5 = 0 then next_id + 1000000 else next_id end as to_way from net where next_id is not null"""),
+    # Bindings of ramps to map ways, exits that two directions share, artifacts of a release.
+    "binding": ((), """select p_partkey as ramp, p_partkey % 40 as way, case when p_partkey % 2 = 0 then 'entry' else 'exit' end as kind, p_partkey % 7 as from_node, p_partkey % 5 as to_node from part"""),
+    "street": ((), """select p_partkey as id, cast(35.5 as double) + cast((p_partkey * 6151) % 10000 as double) / cast(25000 as double) + cast(p_partkey % 40 as double) / cast(40000 as double) as lat,
+        cast(139.5 as double) + cast((p_partkey * 7919) % 10000 as double) / cast(20000 as double) as lon from part where p_partkey % 3 <> 0"""),
     "netway": (("net",), """select net, id as way, concat('e:', cast(id as {string})) as edge_id, id as from_node, coalesce(next_id, anchor) as to_node from net where next_id is not null or closed
         union all select net, id + 1000000, concat('c:', cast(id as {string})), id, far_id from net where chord_secs is not null"""),
     "waynode": ((), """select p_partkey as way, i as pos, (p_partkey * 3 + case when p_partkey % 6 = 0 and i = 4 then 1 else i end) as node, p_partkey * 3 + 1 as at_node,
