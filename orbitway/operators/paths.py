@@ -70,6 +70,9 @@ class Network:
         self.starts: dict[str, list[tuple[str, ...]]] = {}
         for s in self.forbidden:
             self.starts.setdefault(s[0], []).append(tuple(s))
+        self.ends: dict[str, list[tuple[str, ...]]] = {}
+        for s in self.forbidden:
+            self.ends.setdefault(s[-1], []).append(tuple(s))
         self._catalogues: dict[str, tuple[list[list[Edge]], int]] = {}
         self._reached: dict[tuple[str, int], set[str]] = {}
         self._loops: dict[tuple[str, int, Limits], tuple[list[list[Edge]], int, bool]] = {}
@@ -83,6 +86,10 @@ class Network:
         ids = [e.id for e in path]
         return not any(tuple(ids[i : i + len(s)]) == s for i, x in enumerate(ids) for s in self.starts.get(x, ()))
 
+    def closes(self, ids: list[str], last: str) -> bool:
+        """Whether an edge after a legal path completes a forbidden sequence."""
+        return any(tuple(ids[len(ids) + 1 - len(s) :]) == s[:-1] for s in self.ends.get(last, ()) if len(s) <= len(ids) + 1)
+
     # --- trees ---
 
     def tree(self, root: str, backward: bool = False, within: set[str] | None = None, most: int | None = None) -> tuple[dict[str, int], dict[str, Edge], int]:
@@ -219,7 +226,7 @@ class Network:
                         continue
                     if not budget.take():
                         return found
-                    if e.target not in near or spent + e.seconds > most or not self.legal([*path, e]):
+                    if e.target not in near or spent + e.seconds > most or self.closes(ids, e.id):
                         continue
                     if e.target == anchor:
                         if meters(path) + e.meters < limits.loop_meters:
