@@ -355,7 +355,8 @@ def _found(documents: DataFrame, id_col: str, text_col: str, length: int, data_c
     """documents with the text as UTF-8 (null: empty) and the (first, number) pairs of its repeated strings."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.md5(data).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row"), data.alias("text"))
-    texts = texts.withColumn("owner", F.concat_ws(":", "id", "row"))
+    # 64 bits stand for a row; owners are told apart only where matches must lie across rows.
+    texts = texts.withColumn("owner", (F.xxhash64("id", "row") if across else F.lit(None)).cast("string"))
     md5, text_id = free_name(documents, "_md5"), free_name(documents, "_text_id")
     found = checkpointed(_repeats(texts, length, max(1, length // ANCHOR), across).select(F.col("id").alias(text_id), F.col("starts").alias(starts_col)))
     named = documents.withColumns({data_col: data, md5: F.md5(data)})
