@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitway.llm import html_text, media, mixing, ngram_scores, pieces, repeats, simhash, token_files, topk, toxicity
+from orbitway.llm import html_text, lattice_links, media, mixing, ngram_scores, pieces, repeats, simhash, token_files, topk, toxicity, whitening, word_runs
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_repeats": repeats.op9_repeats,
     "op10_ngram_scores": ngram_scores.op10_ngram_scores,
+    "op11_lattice_links": lattice_links.op11_lattice_links,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_word_runs": word_runs.op13_word_runs,
 }
 ORACLE = {"op1_topk": topk.SQL, "op2_mixing": mixing.SQL, "op10_ngram_scores": ngram_scores.SQL}
