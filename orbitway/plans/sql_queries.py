@@ -142,12 +142,6 @@ def g05_degrees(d):
     return ("edge",), "select id, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from (select source as id, 1 as o, 0 as i from edge union all select target, 0, 1 from edge) group by id"
 
 
-@query
-def g08_ramp_kind(d):
-    """Entry, exit or mainline of each edge; a conflict of the two signs counts as the first, none as mainline."""
-    return ("edge",), "select edge_id, case when source % 7 = 0 and source % 21 = 0 then 'entry:conflict' when source % 7 = 0 then 'entry' when source % 7 = 3 then 'exit' else 'mainline' end as kind from edge"
-
-
 @query
 def g09_speed_model(d):
     return ("edge",), "select edge_id, greatest(cast(round(cast(meters as double) / (cast(case when source % 7 = 0 then 40 when source % 7 = 3 then 30 else 60 end as double) / cast(3.6 as double))) as bigint), 1) as secs from edge"

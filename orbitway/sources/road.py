@@ -97,6 +97,45 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         join (select net, anchor, row_number() over (order by net) - 1 as k, count(*) over () as nets from (select distinct net, anchor from net)) k on r.request_id % k.nets = k.k"""),
     "access": (("request", "entry"), f"""select * from (select r.*, e.id as entry_id, e.route, e.pos, {geo.equirectangular('r.lat', 'r.lon', 'e.lat', 'e.lon')} as meters,
         row_number() over (partition by r.request_id order by round({geo.equirectangular('r.lat', 'r.lon', 'e.lat', 'e.lon')}, 3), e.id) as rank from request r cross join entry e) where rank <= 3"""),
+    # One large network of links and mainline: chains of a customer's orders, with branches to another customer's first order. Ends have evidence of streets and tags.
+    "segment": ((), """select concat('l:', cast(o_orderkey as {string})) as edge_id, o_orderkey as source, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as target, case when o_orderkey % 4 = 0 then 'mainline' else 'link' end as kind from orders
+        union all select concat('b:', cast(o.o_orderkey as {string})), o.o_orderkey, f.first, 'link' from orders o join (select o_custkey, min(o_orderkey) as first from orders group by o_custkey) f on f.o_custkey = o.o_custkey + 3 where o.o_orderkey % 7 = 0"""),
+    "endpoint": ((), """select o_orderkey as node, case o_orderkey % 5 when 0 then 'shared_node' when 1 then 'no_shared_node' when 2 then 'shared_node' else 'unavailable' end as evidence, case o_orderkey % 4 when 0 then 'traffic_signals' when 1 then 'motorway_junction' when 2 then 'crossing' end as tag from orders"""),
+    # Ways of three edges, some of them with two lanes, and restrictions over one or two ways.
+    "wayedge": (("net",), """select net, concat('e:', cast(id as {string})) as edge_id, pos {div} 3 as way, id as source, coalesce(next_id, anchor) as target, meters from net where next_id is not null or closed
+        union all select net, concat('p:', cast(id as {string})), pos {div} 3, id, coalesce(next_id, anchor), meters + 7 from net where id % 5 = 0 and (next_id is not null or closed)
+        union all select net, concat('c:', cast(id as {string})), 1000 + pos, id, far_id, meters from net where chord_secs is not null"""),
+    "wayturn": (("net",), """select net, id as relation, case when id % 7 = 0 then 'only_straight_on' else 'no_left_turn' end as value, pos {div} 3 as from_way, case when id % 17 = 0 then 500 else pos {div} 3 + 1 end as via_first, case when id % 3 = 0 then pos {div} 3 + 2 else pos {div} 3 + 1 end as via_last,
+        pos {div} 3 + case when id % 3 = 0 then 3 else 2 end + case when id % 11 = 0 then 2 else 0 end as to_way from net where pos % 3 = 0"""),
+    # Short connections along one way, as somebody wrote them down.
+    "connector": (("net",), """select net, id as connector, case when id % 23 = 0 then 0 else pos {div} 3 end as way, case when id % 11 = 0 then last_id else id end as from_node, case when id % 11 = 0 then id else last_id end as to_node, case when id % 11 = 0 then last_id else id end as expected_from,
+        case when id % 13 = 0 then next_id when id % 11 = 0 then id else last_id end as expected_to, case when id % 19 = 0 then 0 else 3 end as edge_count, length + case when id % 6 = 0 then 1 else 0 end as meters from (
+        select net, id, pos, next_id, lead(id, 3) over (partition by net order by pos) as last_id, sum(meters) over (partition by net order by pos rows between current row and 2 following) as length from net) x where pos % 3 = 0 and pos > 0 and last_id is not null"""),
+    # Ramps in several ways, and where their bindings begin and should end.
+    "rampedge": (("net",), """select net, concat('e:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, case when pos % 7 < 3 then 'entry' when pos % 7 < 6 then 'exit' else 'shutoko' end as kind from net where next_id is not null or closed"""),
+    "rampbinding": (("net",), """select net, id as ramp, case when id % 2 = 0 then 'entry' else 'exit' end as kind, id as start, case id % 4 when 0 then next_id when 1 then lead(id, 2) over (partition by net order by pos) when 2 then lead(id, 3) over (partition by net order by pos) else id end as goal from net"""),
+    # Entries and exits in two pieces, whose first piece (ground first, or mainline first) shows the carriageway; some lie too far away.
+    "rampway": (("net",), """select net, concat('e:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, meters, true as mainline from net where next_id is not null or closed
+        union all select net, concat('c:', cast(id as {string})), id, far_id, 3 * meters, true from net where chord_secs is not null
+        union all select net, concat('in:', cast(id as {string})), -2 * id - 1, id, case when id % 49 = 0 then 3001 else 100 + id % 50 end, false from net where id % 7 = 0
+        union all select net, concat('out:', cast(id as {string})), id, -2 * id - 1, 100 + id % 50, false from net where id % 7 = 3"""),
+    "seedramp": (("net",), """select net, id as ramp, id % 7 = 3 as leaves, case when id % 3 = 0 then 'outer' else 'inner' end as direction, -2 * id - 1 as start from net where id % 7 = 0 or id % 7 = 3"""),
+    # Two carriageways of a ring, which share a node here and there, with some labels, not all of them right.
+    "carriage": (("net",), """select net, concat('f:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, meters, pos, case when id % 29 = 0 then 'outer' when id % 4 = 0 then 'inner' end as label from net where next_id is not null or closed
+        union all select net, concat('b:', cast(id as {string})), case when ahead % 10 = 0 then ahead else -ahead end, case when id % 10 = 0 then id else -id end, meters + 3, pos, case when id % 31 = 0 then 'inner' when id % 4 = 1 then 'outer' end
+        from (select *, coalesce(next_id, anchor) as ahead from net where next_id is not null or closed) b where id % 9 <> 0"""),
+    "lane": (("net",), """select net, pos, concat('e:', cast(id as {string})) as edge_id, case when id % 23 = 0 then null when pos < anchor % 5 then 'radial' when pos < 2 + anchor % 7 then 'outer' when pos >= n - anchor % 4 then 'outer' when pos >= n - 2 - anchor % 6 then 'radial' when id % 37 = 0 then 'outer' else 'inner' end as label from net"""),
+    # Members of route relations with the ends of their ways, in an order of their own.
+    "memberedge": (("net",), """select net as relation, row_number() over (partition by net order by id % 3, pos) as member, id as way, source, target, kind, anchor % 3 as style from (
+        select net, id, pos, id as source, coalesce(next_id, anchor) as target, 'main' as kind, anchor from net where (next_id is not null or closed) and id % 41 <> 0
+        union all select net, id + 1000000, pos, id, far_id, case when id % 2 = 0 then 'link' else 'main' end, anchor from net where chord_secs is not null) m"""),
+    "outside": (("net",), "select net as relation, concat('e:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target from net where next_id is not null or closed"),
+    # Exits of a ring, and sequences of two or three edges that may not be driven.
+    "exitedge": (("net",), """select net, concat('e:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, meters, 'shutoko' as kind, anchor from net where next_id is not null or closed
+        union all select net, concat('c:', cast(id as {string})), id, far_id, 3 * meters - 40, 'shutoko', anchor from net where chord_secs is not null
+        union all select net, concat('x:', cast(id as {string})), id, -id, 100 + 10 * (id % 9), 'exit', anchor from net where id % 7 = 3"""),
+    "barred": (("net",), """select net, concat('e:', cast(id as {string})) as first, concat('e:', cast(next_id as {string})) as second, cast(null as {string}) as third from net where next_id is not null and id % 19 = 0
+        union all select net, concat('e:', cast(id as {string})), concat('e:', cast(next_id as {string})), concat('x:', cast(after as {string})) from (select net, id, next_id, lead(id, 2) over (partition by net order by pos) as after from net) x where after % 7 = 3 and id % 2 = 0"""),
 }
 
 
