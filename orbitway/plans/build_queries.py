@@ -20,22 +20,27 @@ SEED_METERS, VIA_MORE, CONNECTOR_EDGES, BINDING_EDGES = 3000, 10, 10_000, 20_000
 SHORT_RUN = 3
 
 
-def rule(*tables: str, sql: str | None = None):  # noqa: ANN202
-    """Registers a query over road tables, with its SQL: steps before a select, or a select."""
+def registering(queries: dict, oracle: dict):  # noqa: ANN202
+    """A decorator that registers a query over road tables, with its SQL: steps before a select, or a select."""
 
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*road(spark, sf_dir, *tables))
+    def rule(*tables: str, sql: str | None = None):  # noqa: ANN202
+        def add(f):
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(*road(spark, sf_dir, *tables))
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            text = with_tables(tables, "--", DUCK)[:-2].removeprefix("with ").strip()
-            ORACLE[f.__name__] = f"with recursive {text}{' ' if sql.startswith('select') else ', '}{sql}"
-        return f
+            run.__name__, run.__doc__ = f.__name__, f.__doc__
+            queries[f.__name__] = run
+            if sql:
+                text = with_tables(tables, "--", DUCK)[:-2].removeprefix("with ").strip()
+                oracle[f.__name__] = f"with recursive {text}{' ' if sql.startswith('select') else ', '}{sql}"
+            return f
 
-    return add
+        return add
 
+    return rule
+
+
+rule = registering(QUERIES, ORACLE)
 
 # --- links and ramps ------------------------------------------------------------------------------
 

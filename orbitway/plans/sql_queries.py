@@ -256,11 +256,6 @@ def a17_bounds(d):
     return ("node",), "select cast(round(min(lat) * 1000000) as bigint) as south, cast(round(max(lat) * 1000000) as bigint) as north, cast(round(min(lon) * 1000000) as bigint) as west, cast(round(max(lon) * 1000000) as bigint) as east from node where lat between -90 and 90"
 
 
-@query
-def a18_label_share(d):
-    return ("edge",), f"select route, cast({d['count_if']('source % 4 = 0')} as bigint) as minority, cast(count(*) as bigint) as edges, {d['count_if']('source % 4 = 0')} * 20 <= count(*) as is_minor from edge group by route"
-
-
 @query
 def w01_continuity(d):
     """Edges whose start isn't the end of the edge before them on the route; none in a sound graph."""

@@ -121,9 +121,16 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         union all select net, concat('out:', cast(id as {string})), id, -2 * id - 1, 100 + id % 50, false from net where id % 7 = 3"""),
     "seedramp": (("net",), """select net, id as ramp, id % 7 = 3 as leaves, case when id % 3 = 0 then 'outer' else 'inner' end as direction, -2 * id - 1 as start from net where id % 7 = 0 or id % 7 = 3"""),
     # Two carriageways of a ring, which share a node here and there, with some labels, not all of them right.
-    "carriage": (("net",), """select net, concat('f:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, meters, pos, case when id % 29 = 0 then 'outer' when id % 4 = 0 then 'inner' end as label from net where next_id is not null or closed
-        union all select net, concat('b:', cast(id as {string})), case when ahead % 10 = 0 then ahead else -ahead end, case when id % 10 = 0 then id else -id end, meters + 3, pos, case when id % 31 = 0 then 'inner' when id % 4 = 1 then 'outer' end
-        from (select *, coalesce(next_id, anchor) as ahead from net where next_id is not null or closed) b where id % 9 <> 0"""),
+    "carriage": (("net",), """select net, concat('f:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, anchor) as target, meters, concat('f', cast(pos {div} 16 as {string})) as segment, pos as turn, case when id % 29 = 0 then 'outer' when id % 4 = 0 then 'inner' end as label from net where next_id is not null or closed
+        union all select net, concat('b:', cast(id as {string})), case when ahead % 10 = 0 then ahead else -ahead end, case when id % 10 = 0 then id else -id end, meters + 3, concat('b', cast(pos {div} 16 as {string})), -pos, case when id % 31 = 0 then 'inner' when id % 4 = 1 then 'outer' end
+        from (select *, coalesce(next_id, anchor) as ahead from net where next_id is not null or closed) b where id % 63 <> 0
+        union all select net, concat('s:', cast(id as {string})), id, coalesce(next_id, anchor), meters + 50, 's', pos, cast(null as {string}) from net where id % 33 = 0 and (next_id is not null or closed)"""),
+    # Middles and headings of their edges in metres; nodes of the second one lie 15 metres away from the first one's.
+    "lanegeo": (("carriage", "node"), """select net, edge_id, source, target, (y1 + y2) / 2 as y, (x1 + x2) / 2 as x, (y2 - y1) / l as dy, (x2 - x1) / l as dx from (select *, sqrt((y2 - y1) * (y2 - y1) + (x2 - x1) * (x2 - x1)) as l from (
+        select c.net, c.edge_id, c.source, c.target, a.lat * 111320 + case when c.source < 0 then 15 else 0 end as y1, a.lon * 111320 * cos(radians(a.lat)) as x1, b.lat * 111320 + case when c.target < 0 then 15 else 0 end as y2, b.lon * 111320 * cos(radians(b.lat)) as x2
+        from carriage c join node a on a.id = abs(c.source) join node b on b.id = abs(c.target)) p) q where l > 0"""),
+    # Ramps at the first carriageway, and where exits leave each one.
+    "exitnode": (("carriage",), "select net, target as node, case when target < 0 then 'outer' else 'inner' end as direction from carriage where abs(target) % 13 = 0"),
     "lane": (("net",), """select net, pos, concat('e:', cast(id as {string})) as edge_id, case when id % 23 = 0 then null when pos < anchor % 5 then 'radial' when pos < 2 + anchor % 7 then 'outer' when pos >= n - anchor % 4 then 'outer' when pos >= n - 2 - anchor % 6 then 'radial' when id % 37 = 0 then 'outer' else 'inner' end as label from net"""),
     # Members of route relations with the ends of their ways, in an order of their own.
     "memberedge": (("net",), """select net as relation, row_number() over (partition by net order by id % 3, pos) as member, id as way, source, target, kind, anchor % 3 as style from (
