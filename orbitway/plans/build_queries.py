@@ -55,9 +55,13 @@ def link_reach(segment: DataFrame) -> DataFrame:
     """The links with ahead (their end leads to the mainline over links) and behind (the mainline leads to their start)."""
     sound = segment.where("target is not null")
     links, main = sound.where("kind = 'link'"), sound.where("kind = 'mainline'")
-    ends = main.select(F.explode(F.array("source", "target")).alias("node"))
-    ahead = reach(links, ends, backward=True).select(F.col("node").alias("target"), F.lit(True).alias("ahead"))
-    behind = reach(links, ends).select(F.col("node").alias("source"), F.lit(True).alias("behind"))
+    # Both searches share their rounds: a node comes once for the search back and once for the one forth.
+    place = lambda way, c: F.struct(F.lit(way).alias("way"), F.col(c).alias("node"))
+    steps = links.select(place("ahead", "target").alias("source"), place("ahead", "source").alias("target")).unionByName(links.select(place("behind", "source").alias("source"), place("behind", "target").alias("target")))
+    ends = main.select(F.explode(F.array("source", "target")).alias("end"))
+    found = reach(steps, ends.select(F.explode(F.array(place("ahead", "end"), place("behind", "end"))).alias("node"))).select("node.*")
+    ahead = found.where("way = 'ahead'").select(F.col("node").alias("target"), F.lit(True).alias("ahead"))
+    behind = found.where("way = 'behind'").select(F.col("node").alias("source"), F.lit(True).alias("behind"))
     both = links.join(ahead, "target", "left").join(behind, "source", "left")
     return both.select("edge_id", "source", "target", F.coalesce("ahead", F.lit(False)).alias("ahead"), F.coalesce("behind", F.lit(False)).alias("behind"))
 

@@ -86,12 +86,6 @@ def p07_highway_type(d):
     return ("way",), f"select id, {_HIGHWAY} as highway_state from way"
 
 
-@query
-def p08_surface_way(d):
-    """First failing test decides: conditional, access, highway type."""
-    return ("way",), f"select id, case when {_CONDITIONAL} <> 'none' then concat('conditional:', {_CONDITIONAL}) when {_ACCESS} <> 'allowed' then concat('access:', {_ACCESS}) when {_HIGHWAY} <> 'allowed' then concat('highway:', {_HIGHWAY}) else 'ok' end as outcome from way"
-
-
 @query
 def p11_role_inference(d):
     """A blank role takes the direction of its nearest typed neighbours in the route if both sides agree."""

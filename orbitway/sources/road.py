@@ -143,6 +143,18 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         union all select net, concat('x:', cast(id as {string})), id, -id, 100 + 10 * (id % 9), 'exit', anchor from net where id % 7 = 3"""),
     "barred": (("net",), """select net, concat('e:', cast(id as {string})) as first, concat('e:', cast(next_id as {string})) as second, cast(null as {string}) as third from net where next_id is not null and id % 19 = 0
         union all select net, concat('e:', cast(id as {string})), concat('e:', cast(next_id as {string})), concat('x:', cast(after as {string})) from (select net, id, next_id, lead(id, 2) over (partition by net order by pos) as after from net) x where after % 7 = 3 and id % 2 = 0"""),
+    # Chains of ramp nodes, with the ways that touch them: ramp ways 0 to 2 and 7, streets 5 and 6 (by the last digit); nodes likewise.
+    "groundway": ((), """select 10 * p_partkey + v as way, case when v in (5, 6) then case when v = 6 then 'tertiary' when p_partkey % 4 = 0 then 'residential' when p_partkey % 4 = 1 then ' Primary ' when p_partkey % 4 = 2 then 'service' else 'unclassified' end else 'motorway_link' end as highway,
+        case when v = 5 and p_partkey % 12 = 2 then 'alley' when v = 5 and p_partkey % 12 = 6 then 'driveway' when v = 5 and p_partkey % 36 = 10 then 'strange' when v = 5 then 'Alley ' end as service,
+        case when v in (5, 6) then case p_partkey % 6 when 0 then 'yes' when 1 then 'no' when 2 then '-1' when 3 then case when p_partkey % 21 = 0 then 'reversible' end end when p_partkey % 11 = 5 and v = 1 then 'sideways' when p_partkey % 13 = 0 then ' Reverse' else 'yes' end as oneway,
+        cast(null as {string}) as motorcar, case when p_partkey % 11 = 10 and v = 5 then 'odd' end as motor_vehicle, cast(null as {string}) as vehicle, case when p_partkey % 11 = 8 and v = 5 then 'private' when v = 6 then 'yes' end as access,
+        case when p_partkey % 19 = 0 and v = 5 then 'no' when p_partkey % 23 = 0 and v = 5 then 'maybe' end as area, case when p_partkey % 17 = 0 and v = 5 then 'unsure' end as reversible,
+        case when p_partkey % 11 = 1 and v = 1 or p_partkey % 11 = 9 and v = 5 then 'access:conditional' when p_partkey % 11 = 2 then 'hgv:conditional' end as conditional
+        from part, (values (0), (1), (2), (5), (6), (7)) as k(v) where not (p_partkey % 11 = 2 and v = 1 or p_partkey % 11 = 7 and v = 5 or p_partkey % 11 <> 6 and v = 6 or p_partkey % 11 <> 3 and v = 7)"""),
+    "groundplace": (("groundway",), """select way, case when way % 10 < 3 and way {div} 10 % 13 = 0 then 1 - i else i end as pos, way - way % 10 + case when i = 0 then case when way % 10 = 5 then 3 when way % 10 in (6, 7) then 1 else way % 10 end
+        when way % 10 = 5 then 8 when way % 10 = 6 then 6 when way % 10 = 7 or way % 10 = 1 and way {div} 10 % 11 = 4 then 9 else way % 10 + 1 end as node from groundway, (values (0), (1)) as k(i)"""),
+    "groundchain": ((), """select p_partkey as chain, i as pos, 10 * p_partkey + i as node, case when p_partkey % 3 = 0 then 'entry' else 'exit' end as flow, case p_partkey % 5 when 0 then 10 * p_partkey + 5 when 1 then 10 * p_partkey + 4 end as expected_way,
+        10 * p_partkey + case when p_partkey % 9 = 0 then 2 else 3 end as declared_node from part, (values (0), (1), (2), (3)) as k(i)"""),
 }
 
 
