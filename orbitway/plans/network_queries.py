@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orbitway.functions import geo
 from orbitway.functions.dialect import DUCK
-from orbitway.operators.paths import Budget, loop_order, meters, seconds
+from orbitway.operators.paths import EXHAUSTIVE_EDGES, Budget, loop_order, meters, seconds
 from orbitway.operators.search import PRODUCT_MINUTES, Prepared, per_network, search
-from orbitway.sources.networks import graphs, questions
+from orbitway.operators.tiers import search_ramps
+from orbitway.sources.networks import graphs, large_graphs, questions, ramp_questions
 from orbitway.sources.road import with_tables
 
 QUERIES, ORACLE = {}, {}
@@ -170,3 +171,51 @@ def q02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(graphs(spark, sf_dir), questions(spark, sf_dir))
     best = F.try_element_at("candidates", F.lit(1))
     return found.select("request_id", "status", "reason", "ranking_mode", "min_plan_seconds", *(best[c].alias(c) for c in ("shutoko_seconds", "plan_seconds", "distance_meters", "amount_yen")))
+
+
+# --- large networks -------------------------------------------------------------------------------
+
+
+@query("""around as (select net, slab, pos, place, whole, id, n, 2 * secs + 1 as skip_secs, meters, sum(secs) over w as secs_60, sum(meters) over w as meters_60, sum(secs) over v as secs_50, sum(meters) over v as meters_50 from slab
+  window w as (partition by slab order by pos rows between current row and 59 following), v as (partition by slab order by pos rows between 10 following and 59 following)),
+sized as (select slab, count(*) - 1 + 3 * (count(*) // 64) + count(*) // 64 + count(*) filter (where whole and place = 40 and block % 3 = 0) as edges from slab group by slab),
+round_ as (select net, slab, id, secs_60 + 40 as seconds, meters_60 + 200 as meters, 61 as edges_ from around where whole and place = 3 union all select net, slab, id, skip_secs + secs_50 + 40, meters + meters_50 + 200, 52 from around where whole and place = 3)
+select b.net as release_id, concat('n:', b.id) as anchor, z.edges > 5000 as large, b.seconds::bigint as seconds, b.meters::bigint as meters, b.edges_::bigint as edges from round_ b join sized z on z.slab = b.slab where seconds <= 14400 and meters >= 5000
+  and not exists (select 1 from slab x where x.slab = b.slab and x.block % 5 = 2 and x.place = 30 and x.whole and x.pos between (select pos from slab y where y.id = b.id) and (select pos from slab y where y.id = b.id) + 59)""", ("slab",))
+def r08_large_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops at the verified anchors and all others that entries lead to, on networks above and below the size from which the catalogue gives them."""
+
+    def run(p: Prepared):
+        large = len(p.network.edges) > EXHAUSTIVE_EDGES
+        for node in sorted({e.target for e in p.network.edges.values() if e.kind == "entry"}):
+            for x in p.network.loops(node, PRODUCT_MINUTES * 60, p.limits, Budget(p.limits.states)):
+                yield node, large, seconds(x), meters(x), len(x)
+
+    return per_network(large_graphs(spark, sf_dir), "anchor string, large boolean, seconds long, meters long, edges long", run)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = F.try_element_at("candidates", F.lit(1))
+    chosen = ("pair_kind", "entry_ramp", "exit_ramp", "pair_id", "shutoko_seconds", "plan_seconds", "distance_meters", "amount_yen", "toll_source")
+    return found.select("request_id", "status", "reason", "ranking_mode", "min_plan_seconds", F.size("candidates").alias("candidates"), *(best[c].alias(c) for c in chosen))
+
+
+def q04_explicit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that name their entry and exit, on large networks: the answer's state and its candidate."""
+    return _best(search_ramps(large_graphs(spark, sf_dir), ramp_questions(spark, sf_dir, True)))
+
+
+def q05_entry_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests at a place on large networks: the answer of the first tier of entries that has one, with or without verified pairs."""
+    return _best(search_ramps(large_graphs(spark, sf_dir), ramp_questions(spark, sf_dir, False)))
+
+
+def q02_truncated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests at a place on large networks, with more verified pairs than a search takes: what the nearest ones give, cut short."""
+    asked = ramp_questions(spark, sf_dir, False).where("get_json_object(request, '$.entryRampId') is null and get_json_object(request, '$.exitRampId') is null")
+    found = search(large_graphs(spark, sf_dir), asked)
+    best = F.try_element_at("candidates", F.lit(1))
+    return found.select("request_id", "status", "reason", "ranking_mode", "min_plan_seconds", F.size("candidates").alias("candidates"), *(best[c].alias(c) for c in ("pair_id", "shutoko_seconds", "plan_seconds", "amount_yen")))
+
+
+QUERIES |= {f.__name__: f for f in (q04_explicit_pairs, q05_entry_tiers, q02_truncated_search)}

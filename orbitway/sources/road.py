@@ -155,6 +155,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         when way % 10 = 5 then 8 when way % 10 = 6 then 6 when way % 10 = 7 or way % 10 = 1 and way {div} 10 % 11 = 4 then 9 else way % 10 + 1 end as node from groundway, (values (0), (1)) as k(i)"""),
     "groundchain": ((), """select p_partkey as chain, i as pos, 10 * p_partkey + i as node, case when p_partkey % 3 = 0 then 'entry' else 'exit' end as flow, case p_partkey % 5 when 0 then 10 * p_partkey + 5 when 1 then 10 * p_partkey + 4 end as expected_way,
         10 * p_partkey + case when p_partkey % 9 = 0 then 2 else 3 end as declared_node from part, (values (0), (1), (2), (3)) as k(i)"""),
+    # Large networks: chains of thousands of orders in which every 64 are a block with loops, an entry, an exit or two, and verified pairs in every other one.
+    "slab": ((), """select slab, concat('slab:', cast(slab as {string})) as net, pos, n, pos {div} 64 as block, pos % 64 as place, id, secs, meters, lat, lon, lead(id) over (partition by slab order by pos) as next_id, lag(id, 60) over (partition by slab order by pos) as back_id, lead(id, 10) over (partition by slab order by pos) as skip_id,
+        n - n % 64 > pos as whole from (select slab, row_number() over (partition by slab order by id) - 1 as pos, count(*) over (partition by slab) as n, id, secs, meters, lat, lon from (
+        select o_orderkey {div} 5600 as slab, o_orderkey as id, cast(1 + o_custkey % 50 as bigint) as secs, cast(900 + o_orderkey % 100 as bigint) as meters, cast(35.5 as double) + cast((o_orderkey * 6151) % 10000 as double) / cast(25000 as double) as lat,
+        cast(139.5 as double) + cast((o_orderkey * 7919) % 10000 as double) / cast(20000 as double) as lon from orders) a) b"""),
 }
 
 
