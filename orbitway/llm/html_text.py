@@ -137,17 +137,18 @@ def _features(tree: Tree) -> list[tuple[str, ...]]:
     return out
 
 
-#: Log-odds of a state that is taken as given.
-CERTAIN = 30.0
+#: Log-odds of a state that is taken as given, and the weight of all pairs of elements beside those of two tags.
+CERTAIN, PRIOR = 30.0, 8.0
 
 
 @dataclass(frozen=True)
 class PageModel:
-    """unary: feature -> log-odds of content; bias: of the root; stay: P(child has its parent's state) for boilerplate and content."""
+    """unary: feature -> log-odds of content; bias: of the root; stay: P(child has its parent's state) for boilerplate and content; pairs: the same for the tags of parent and child."""
 
     unary: dict[str, float]
     bias: float
     stay: tuple[float, float]
+    pairs: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
 
     def stays(self, tree: Tree) -> list[tuple[float, float]]:
         """P(element has its parent's state) by that state. Nameless wrappers around a single element have its state."""
@@ -158,13 +159,15 @@ class PageModel:
         for i, _, _ in tree.runs:
             shows[i] = True
         wraps = [children[i] == 1 and not shows[i] and not tree.names[i] and tree.tags[i] in _WRAPPERS for i in range(n)]
-        return [self.stay, *((1.0, 1.0) if wraps[p] else self.stay for p in parent[1:])]
+        return [self.stay, *((1.0, 1.0) if wraps[p] else self.pairs.get((tree.tags[p], tree.tags[i]), self.stay) for i, p in enumerate(parent[1:], 1))]
 
-    def marginals(self, tree: Tree, bias: float | None = None) -> list[float]:
-        """P(content) of each element, exactly: messages from the leaves to the root, then back. bias: of the root, if not the model's."""
+    def marginals(self, tree: Tree, bias: float | None = None, given: int | None = None) -> list[float]:
+        """P(content) of each element, exactly: messages from the leaves to the root, then back. bias: of the root, if not the model's; given: an element that is content."""
         n, parent, get = len(tree.tags), tree.parent, self.unary.get
         stays = self.stays(tree)
         own = [1 / (1 + math.exp(-max(-20.0, min(20.0, sum(get(f, 0.0) for f in fs))))) for fs in _features(tree)]
+        if given is not None:
+            own[given] = 1 / (1 + math.exp(-CERTAIN))
         zero, one = [1 - x for x in own], own[:]  # products of own evidence and messages from children
         up0, up1 = [0.0] * n, [0.0] * n
         for i in range(n - 1, 0, -1):
@@ -198,8 +201,16 @@ class PageModel:
             return ""
         p = self.marginals(tree)
         if not any(p[i] >= 0.5 for i, _, _ in tree.runs):
-            # Nothing stands out, as on a page that is all article: its root is then content, and what speaks against that goes.
-            p = self.marginals(tree, CERTAIN)
+            # Nothing stands out. The element that is content likeliest, of those with text in or under them, is taken as given;
+            # where it has no text of its own that follows, as on a page that is all article, so is the root.
+            holds = {i for i, _, _ in tree.runs}
+            for i in range(len(tree.tags) - 1, 0, -1):
+                if i in holds:
+                    holds.add(tree.parent[i])
+            best = max(sorted(holds), key=lambda i: p[i])
+            p = self.marginals(tree, given=best)
+            if not any(p[i] >= 0.5 for i, _, _ in tree.runs):
+                p = self.marginals(tree, CERTAIN)
         return "\n".join(t for i, t, _ in tree.runs if p[i] >= 0.5)
 
 
@@ -207,6 +218,7 @@ def train(labelled: Iterator[tuple[Tree, list[bool]]]) -> PageModel:
     """Fit by counting: naive Bayes evidence of each feature, and how often a child has its parent's state (add one half)."""
     seen = defaultdict(lambda: [0.5, 0.5])
     state, stays, moves = [0.5, 0.5], [0.5, 0.5], [0.5, 0.5]
+    kinds = defaultdict(lambda: [[0, 0], [0, 0]])
     for tree, content in labelled:
         for i, fs in enumerate(_features(tree)):
             y = int(content[i])
@@ -218,9 +230,12 @@ def train(labelled: Iterator[tuple[Tree, list[bool]]]) -> PageModel:
             if i:
                 up = int(content[tree.parent[i]])
                 (stays if up == y else moves)[up] += 1
+                kinds[tree.tags[tree.parent[i]], tree.tags[i]][up][up != y] += 1
     unary = {f: math.log(c[1] / state[1]) - math.log(c[0] / state[0]) for f, c in seen.items()}
     stay = tuple(stays[k] / (stays[k] + moves[k]) for k in (0, 1))
-    return PageModel(unary, 0.0, stay)
+    # Pairs of tags that were seen rarely have about what all pairs have.
+    pairs = {k: tuple((v[u][0] + PRIOR * stay[u]) / (sum(v[u]) + PRIOR) for u in (0, 1)) for k, v in kinds.items()}
+    return PageModel(unary, 0.0, stay, pairs)
 
 
 # --- labelled pages -----------------------------------------------------------------------------
@@ -269,7 +284,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
     def piece() -> str:
         kind = pick.randrange(15)
         if kind < 9:
-            return block(1, "p", words(*pick.choice([(2, 12), (10, 60), (40, 300)])) + (f' <a href="/y">{words(1, 4)}</a> {words(2, 20)}' if pick.random() < 0.2 else ""))
+            return block(1, "p", words(*pick.choice([(1, 4), (2, 12), (10, 60), (40, 300)])) + (f' <a href="/y">{words(1, 4)}</a> {words(2, 20)}' if pick.random() < 0.2 else ""))
         if kind == 9:
             return block(1, pick.choice(["h2", "h3", "h4"]), words(1, 8))
         if kind == 10:
@@ -283,10 +298,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
         return block(1, "table", "".join(block(1, "tr", "".join(block(1, "td", words(1, 8)) for _ in range(3))) for _ in range(3)))
 
     for _ in range(n):
-        inside = [piece() for _ in range(pick.randint(1, 10))]
+        inside = [piece() for _ in range(pick.choice([1, 1, 2, 3, pick.randint(1, 10), pick.randint(1, 10)]))]
         for _ in range(pick.choice([0, 0, 0, 1, 2])):
             inside.insert(pick.randint(0, len(inside)), noise())
-        body = block(1, "h1", words(2, 14)) * (pick.random() < 0.8) + "".join(inside)
+        body = block(1, "h1", words(1, 14)) * (pick.random() < 0.8) + "".join(inside)
         outer = pick.choice(["article", "article", "main", "div", "section"])
         article = block(1, outer, body, pick.choice(["content", "post", "article", "entry-content", "main", "story", "article-body", "post-content", "text"]) if outer in ("div", "section") or pick.random() < 0.3 else "")
         if pick.random() < 0.4:

@@ -179,13 +179,33 @@ def test_html_messages_are_exact():
         for i in range(n):
             w *= own[i] if y[i] else 1 - own[i]
             if i:
-                stay = model.stay[y[tree.parent[i]]]
+                stay = model.pairs.get((tree.tags[tree.parent[i]], tree.tags[i]), model.stay)[y[tree.parent[i]]]
                 w *= stay if y[i] == y[tree.parent[i]] else 1 - stay
         total += w
         ones += w * np.array(y)
     assert np.allclose(model.marginals(tree), ones / total)
 
 
+def test_html_articles(spark):
+    """The text of each page is that of its article: elements under the first article tag, on pages whose articles are short, too."""
+    sf = "/root/testdata/sf0.1"
+    texts = {r["page_id"]: r["text"] for r in html_text.op6_html(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(texts) == len(pages) == 2500
+    for r in pages:
+        tree = html_text.parse(r["html"])
+        first, under = tree.tags.index("article"), [False] * len(tree.tags)
+        for i, p in enumerate(tree.parent):
+            under[i] = i == first or i > 0 and under[p]
+        assert texts[r["page_id"]] == "\n".join(t for i, t, _ in tree.runs if under[i]), r["page_id"]
+
+
+def test_html_where_nothing_stands_out():
+    model = html_text.default_model()
+    assert model.text("<nav><a href=x>menu</a></nav><article><h1>Oh.</h1><p><b>Oh.<br></article><footer>about us</footer>") == "Oh.\nOh."
+    assert model.text("<div class=ad>buy</div><article><p>a</article>") == "a"
+
+
 def test_html_rows(spark):
     frame = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "plain &amp; text", 3), (4, "<article><p>a  b<p>c", 4), (4, "<article><p>a  b<p>c", 4)], "page_id long, html string, text int")
     assert [r[0] for r in html_text.extract(frame).select("main_text").collect()][:3] == ["", "", "plain & text"]
