@@ -160,6 +160,16 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         n - n % 64 > pos as whole from (select slab, row_number() over (partition by slab order by id) - 1 as pos, count(*) over (partition by slab) as n, id, secs, meters, lat, lon from (
         select o_orderkey {div} 5600 as slab, o_orderkey as id, cast(1 + o_custkey % 50 as bigint) as secs, cast(900 + o_orderkey % 100 as bigint) as meters, cast(35.5 as double) + cast((o_orderkey * 6151) % 10000 as double) / cast(25000 as double) as lat,
         cast(139.5 as double) + cast((o_orderkey * 7919) % 10000 as double) / cast(20000 as double) as lon from orders) a) b"""),
+    # Edges of rings by the ids of their ways, with entries and exits, and seeds of pairs: an entry, an anchor two nodes on, the next exit after it; some of them wrong.
+    "pairedge": (("net",), """select net, concat('e:w', cast(id as {string}), ':0') as edge_id, id as source, coalesce(next_id, anchor) as target, 'shutoko' as kind, secs, meters from net where next_id is not null or closed
+        union all select net, concat('e:w', cast(id + 1000000 as {string}), ':0'), id, far_id, 'shutoko', chord_secs, 3 * meters from net where chord_secs is not null
+        union all select net, concat('e:w', cast(id + 2000000 as {string}), ':0'), -id, id, 'entry', 30, 200 from net where id % 7 = 0
+        union all select net, concat('e:w', cast(id + 3000000 as {string}), ':0'), id, -id - 5000000, 'exit', 30, 200 + id % 40 from net where id % 7 = 3"""),
+    "pairseed": (("net",), """select s.net, s.id as seed, s.k, s.id + 2000000 + case when s.k % 13 = 5 then 1 else 0 end as entry_way, x.id + 3000000 + case when s.k % 13 = 6 then 1 else 0 end as exit_way, case when s.k % 13 = 7 then 0 else s.anchor_id end as anchor_node, case when s.k % 5 = 0 then 'unverified' else 'verified' end as status, s.k % 13 <> 8 as one_ahead,
+        case when s.k % 13 = 9 then 'https://nodots' else 'https://a.example/x' end as address, case when s.k % 13 = 10 then '2026-02-30' else '2026-02-03' end as day, s.k % 13 = 11 as late_price from (
+        select net, id, pos, id {div} 7 as k, case when id % 3 = 0 then next_id else id end as anchor_id, case when id % 2 = 0 then min(case when id % 7 = 3 then pos end) over (partition by net order by pos rows between 1 following and unbounded following)
+            else max(case when id % 7 = 3 then pos end) over (partition by net order by pos rows between 1 following and unbounded following) end as exit_pos from net) s join net x on x.net = s.net and x.pos = s.exit_pos where s.id % 7 = 0 and s.anchor_id is not null"""),
+    "pairbar": (("net",), "select net, concat('e:w', cast(id as {string}), ':0') as first, concat('e:w', cast(next_id as {string}), ':0') as second from net where next_id is not null and id % 97 = 0"),
 }
 
 
