@@ -23,10 +23,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node links to the node's smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Both minima are checkpointed before they join what they were taken of: then a join may split a node that many link to.
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: the node and its smaller neighbours link to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         after = checkpointed(small.distinct())
         # A star graph has no node that is both a child and a parent, and one parent for each child.
