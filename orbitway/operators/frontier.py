@@ -1,7 +1,7 @@
 """Searches of one graph that no task holds: each round joins the frontier, a table, with the edges.
 
-Edges have source and target, whatever their types; rounds end when nothing new is found. Each round's
-table is checkpointed, and only whether it is empty reaches the driver.
+Edges have source and target, whatever their types; rounds end when nothing new is found. The edges
+and each round's table are checkpointed, and only whether a table is empty reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def reach(edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFr
     One search from all starts at once, level by level, instead of one for each node that asks.
     """
     here, there = ("target", "source") if backward else ("source", "target")
-    steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next"))
+    steps = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("next")))
     level = cut(starts.select("node").where("node is not null").distinct())
     known, rounds = level, 0
     while True:
@@ -42,7 +42,7 @@ def within(edges: DataFrame, starts: DataFrame, most: int, backward: bool = Fals
     made shorter; a key with several starts has the nearest.
     """
     here, there = ("target", "source") if backward else ("source", "target")
-    steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next"), F.col("meters").alias("step"))
+    steps = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("next"), F.col("meters").alias("step")))
     known = cut(starts.select("key", "node", F.lit(0).cast("long").alias("meters")).distinct())
     better = known
     while True:
@@ -65,7 +65,7 @@ def paths(edges: DataFrame, starts: DataFrame, on: list[str], goes_on: Column, e
     carry: what the other columns become with an edge. enough: a key (column key) of which so many paths
     have ended isn't searched any more, and may have a few more of them.
     """
-    steps = edges.withColumnsRenamed({"source": "at", "target": "next_at"})
+    steps = cut(edges.withColumnsRenamed({"source": "at", "target": "next_at"}))
     level, done = cut(starts), None
     while True:
         final = level.where(ends)

@@ -120,8 +120,6 @@ def s15_snap_index(d):
     return ("entry",), "select distinct id, cast(round(lat * 1000000) as bigint) as lat_e6, cast(round(lon * 1000000) as bigint) as lon_e6 from entry"
 
 
-
-
 @query
 def g04_directed_segments(d):
     """Forward and reverse edges of each way segment by its oneway tag, with haversine metres."""
@@ -146,12 +144,6 @@ def g10_active_nodes(d):
     return ("node", "edge"), "select id from node where exists (select 1 from edge where source = id or target = id)".replace("source = id or target = id", "source = node.id") + " or exists (select 1 from edge where target = node.id)"
 
 
-
-
-
-
-
-
 # --- joins ----------------------------------------------------------------------------------------
 
 
@@ -166,37 +158,12 @@ def j04_within_200m(d):
         where {geo.equirectangular('r.lat', 'r.lon', 'e.lat', 'e.lon')} <= 200) where rn = 1"""
 
 
-@query
-def j06_access_cap(d):
-    return ("access",), "select request_id, entry_id from access where meters <= 30000"
-
-
-
-
-
-
-
-
-@query
-def j14_reachable_pairs(d):
-    return ("exit_ramp", "entry"), "select x.id from exit_ramp x where exists (select 1 from entry e where e.route = x.route)"
-
-
-@query
-def j15_unverified_edges(d):
-    return ("edge", "entry"), "select e.edge_id from edge e where e.source % 7 in (0, 3) and not exists (select 1 from entry n where n.id = e.source and n.id % 3 = 0)"
-
-
 @query
 def j16_forbidden_pairs(d):
     """Routes whose lap holds no forbidden pair of consecutive edges."""
     return ("ring", "turn"), "select r.route from ring r where not exists (select 1 from turn t where t.route = r.route and t.via % 50 = 0)"
 
 
-
-
-
-
 # --- aggregates and windows -----------------------------------------------------------------------
 
 
@@ -205,10 +172,6 @@ def a01_path_sums(d):
     return ("edge",), "select route, cast(sum(secs) as bigint) as secs, cast(sum(meters) as bigint) as meters from edge group by route"
 
 
-
-
-
-
 @query
 def a06_coverage(d):
     return ("entry",), f"select route, cast(count(*) as bigint) as entries, {d['joined'](f'cast(id as {{string}})', 'id')} as ids from entry group by route"
@@ -219,8 +182,6 @@ def a07_derivation_summary(d):
     return ("ring",), f"select cast(count(*) as bigint) as total, cast({d['count_if']('meters >= 5000')} as bigint) as eligible, cast({d['count_if']('meters < 5000')} as bigint) as held from ring"
 
 
-
-
 @query
 def a10_percentiles(d):
     pick = lambda p: f"cast(percentile_disc({p}) within group (order by ms) as bigint)"
@@ -238,8 +199,6 @@ def a13_transferred(d):
     return ("trial",), "select pattern, cast(case when sum(transfer) > 0 then sum(transfer) else sum(encoded) end as bigint) as n_bytes from trial group by pattern"
 
 
-
-
 @query
 def a16_degree_imbalance(d):
     return ("edge",), "select cast(sum(abs(b)) as bigint) as imbalance from (select id, sum(v) as b from (select source as id, 1 as v from edge union all select target, -1 from edge) group by id)"
@@ -326,53 +285,23 @@ def f09_edges_hash(d):
     return ("edge",), f"select route, {d['sha'](f'concat({chr(39)}[{chr(39)}, {listed}, {chr(39)}]{chr(39)})')} as edges_sha256 from edge group by route"
 
 
-
-
-
-
-
-
-
-
 @query
 def t07_pair_order(d):
     """Pairs nearest first, ten at most, and whether more were cut."""
     return ("access", "exit_ramp"), "select request_id, exit_id, cut from (select a.request_id, x.id as exit_id, row_number() over (partition by a.request_id order by round(a.meters, 3), a.entry_id, x.id) as rn, count(*) over (partition by a.request_id) > 10 as cut from access a join exit_ramp x on x.route = a.route) where rn <= 10"
 
 
-
-
-
-
 # --- loops, search, reports -----------------------------------------------------------------------
 
 
-
-
-
-
-
-
 @query
 def r27_first_exit(d):
     return ("entry", "exit_ramp", "ring"), "select entry_id, exit_id from (select e.id as entry_id, x.id as exit_id, row_number() over (partition by e.id order by (x.pos - e.pos + r.edges) % r.edges, x.id) as rn from entry e join exit_ramp x on x.route = e.route join ring r on r.route = e.route) where rn = 1"
 
 
-
-
-
-
-
-
 # --- validators: rule, entity, message; no rows where all is well ----------------------------------
 
 
-
-
-
-
-
-
 @query
 def v10_memberships(d):
     return ("edge", "ring"), "select 'contiguous' as rule, route from ring r where exists (select 1 from edge e where e.route = r.route and e.pos >= r.edges) union all select 'short', route from ring where edges < 32"
