@@ -1480,12 +1480,13 @@ def t02_time_rank(candidate):
     return _ranked(candidate, by_time)
 
 
-@rule("candidate", sql="select id, concat(cast(floor(secs / 60.0 + 0.5) as int), ' min') as minutes, concat(printf('%.1f', (secs * 17) / 1000.0), ' km') as distance, case when yen is null then '料金額: 未算出' when yen >= 1000 then concat('料金額: ', cast(yen // 1000 as varchar), ',', lpad(cast(yen % 1000 as varchar), 3, '0'), ' 円') else concat('料金額: ', cast(yen as varchar), ' 円') end as toll from candidate where (secs * 17) % 100 <> 50")
+@rule("candidate", sql="select id, concat(cast(floor(secs / 60.0 + 0.5) as int), ' min') as minutes, concat(printf('%.1f', round((secs * 17) / 100.0::decimal(18, 1)) / 10.0::decimal(18, 1)), ' km') as distance, case when yen is null then '料金額: 未算出' when yen >= 1000 then concat('料金額: ', cast(yen // 1000 as varchar), ',', lpad(cast(yen % 1000 as varchar), 3, '0'), ' 円') else concat('料金額: ', cast(yen as varchar), ' 円') end as toll from candidate")
 def q13_cards(candidate):
-    """What a card shows: whole minutes, kilometres with one decimal, and the toll with a comma at thousands."""
-    shown = candidate.where("(secs * 17) % 100 <> 50")
+    """What a card shows: whole minutes, kilometres with one decimal (half of a tenth goes up), and the toll with a comma at thousands."""
+    tenths = F.expr("(secs * 17 + 50) div 100")
     toll = F.when(F.col("yen").isNull(), "料金額: 未算出").otherwise(F.concat(F.lit("料金額: "), F.format_number("yen", 0), F.lit(" 円")))
-    return shown.select("id", F.concat(F.expr("(secs + 30) div 60").cast("string"), F.lit(" min")).alias("minutes"), F.concat(F.format_string("%.1f", F.col("secs") * 17 / 1000), F.lit(" km")).alias("distance"), toll.alias("toll"))
+    distance = F.format_string("%d.%d km", F.expr("(secs * 17 + 50) div 1000"), tenths % 10)
+    return candidate.select("id", F.concat(F.expr("(secs + 30) div 60").cast("string"), F.lit(" min")).alias("minutes"), distance.alias("distance"), toll.alias("toll"))
 
 
 @rule("edge", sql="select route, sha256(text) as sha256, strlen(text) as bytes from (select route, concat('[\n', string_agg(concat('  \"', edge_id, '\"'), ',\n' order by edge_id), '\n]\n') as text from edge group by route)")

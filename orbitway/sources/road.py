@@ -178,6 +178,13 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "reachcap": (("request",), "select request_id, cast(case request_id % 4 when 0 then 0 when 1 then 2000 when 2 then 10000 else 30000 end as bigint) as cap from request"),
     "split": (("question", "node"), """select q.request_id, q.net, q.anchor, q.lat + case when q.request_id % 41 = 0 then 60 else 0 end as lat, q.lon, a.lat as entry_lat, a.lon as entry_lon, case when q.request_id % 31 = 0 then null else a.lat end as merge_lat, a.lon as merge_lon,
         a.lat + 0.01 as branch_lat, a.lon + 0.01 as branch_lon, a.lat + 0.02 as exit_lat, a.lon + 0.02 as exit_lon from question q join node a on a.id = q.anchor"""),
+    # Ways of a ring as nodes and as edges, some of which go both ways, in part or twice; and relations whose members are those ways.
+    "routeedge": (("wayedge",), """select net, edge_id, way, source, target from wayedge where edge_id not like 'p:%' or source % 140 = 0
+        union all select net, concat('r', edge_id), way, target, source from wayedge where edge_id like 'e:%' and (way % 4 = 0 or way % 4 = 1 and source % 2 = 0)"""),
+    "routeplace": (("net",), """select net, pos {div} 3 as way, pos % 3 as place, id as node from net union all select net, pos {div} 3 - 1, 3, id from net where pos % 3 = 0 and pos > 0
+        union all select net, (n - 1) {div} 3, (n - 1) % 3 + 1, anchor from net where pos = n - 1 and closed union all select net, 1000 + pos, 0, id from net where chord_secs is not null union all select net, 1000 + pos, 1, far_id from net where chord_secs is not null"""),
+    "routemember": (("net",), """select net as relation, row_number() over (partition by net order by case when anchor % 2 = 0 then 0 else w % 2 end, w) - 1 as member, w as way, link, case anchor % 5 when 0 then 'inner' when 1 then 'backward' else 'forward' end as direction from (
+        select net, anchor, pos {div} 3 as w, false as link from net where pos % 3 = 0 and (id % 43 <> 0) union all select net, anchor, 1000 + pos, id % 2 = 0 from net where chord_secs is not null) m"""),
 }
 
 
