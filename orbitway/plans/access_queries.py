@@ -58,6 +58,37 @@ def j15_unverified_edges(pairedge, pairseed):
     return pairedge.where("kind in ('entry', 'exit')").join(used, "edge_id", "left_anti").select("edge_id")
 
 
+# --- tariffs on pairs -----------------------------------------------------------------------------
+
+
+@rule("paidpair", "paidramp", "paidassign", sql="""one as (select edge, min(ramp) as ramp from paidramp group by edge having count(*) = 1),
+entered as (select p.*, coalesce(p.entry_ramp, o.ramp) as way_in from paidpair p left join one o on o.edge = p.entry_edge),
+left_ as (select e.*, coalesce(e.exit_ramp, o.ramp, (select case when count(*) = 1 then min(r.ramp) end from paidramp r join paidramp i on i.ramp = e.way_in and i.direction = r.direction where r.edge = e.exit_edge)) as way_out from entered e left join one o on o.edge = e.exit_edge),
+found as (select l.*, coalesce(a.assignment, b.assignment) as given, case when a.assignment is not null then a.pair else b.pair end as own, case when a.assignment is not null then a.entry_ramp else b.entry_ramp end as paid_in, case when a.assignment is not null then a.exit_ramp else b.exit_ramp end as paid_out, case when a.assignment is not null then a.meters else b.meters end as meters
+  from left_ l left join paidassign a on a.assignment = l.assignment left join paidassign b on b.pair = l.pair)
+select pair, way_in as entry_ramp, way_out as exit_ramp, case when f is null then given end as assignment, case when f is null then meters end as meters, f as fault from (select *, case when given is null then 'no_assignment' when own <> pair or way_in <> paid_in or way_out <> paid_out then 'mismatch' end as f from found)""")
+def j12_pair_tariffs(paidpair, paidramp, paidassign):
+    """The ramps of each pair and the tariff that is assigned to it.
+
+    An edge that one ramp has gives the ramp; of several that share an exit's edge, the one of the entry's
+    direction, if it is the only one. The assignment is that which the pair names or else the one that
+    names the pair; it must name the pair, and no other ramps than the pair's.
+    """
+    single = paidramp.groupBy("edge").agg(F.count("*").alias("n"), F.min("ramp").alias("one")).where("n = 1").select("edge", "one")
+    entered = paidpair.join(single.select(F.col("edge").alias("entry_edge"), F.col("one").alias("only_in")), "entry_edge", "left").withColumn("way_in", F.coalesce("entry_ramp", "only_in"))
+    ways = entered.join(paidramp.select(F.col("ramp").alias("way_in"), F.col("direction").alias("heading")), "way_in", "left")
+    alike = paidramp.groupBy(F.col("edge").alias("exit_edge"), F.col("direction").alias("heading")).agg(F.count("*").alias("n"), F.min("ramp").alias("like")).where("n = 1").select("exit_edge", "heading", "like")
+    only_out = single.select(F.col("edge").alias("exit_edge"), F.col("one").alias("only_out"))
+    both = ways.join(only_out, "exit_edge", "left").join(alike, ["exit_edge", "heading"], "left").withColumn("way_out", F.coalesce("exit_ramp", "only_out", "like"))
+    given = lambda key, name: paidassign.select(F.col(key).alias(name), F.struct("assignment", "pair", "entry_ramp", "exit_ramp", "meters").alias(f"by_{name}"))
+    known = both.join(given("assignment", "assignment"), "assignment", "left").join(given("pair", "pair"), "pair", "left").withColumn("x", F.coalesce("by_assignment", "by_pair"))
+    other = (F.col("x.pair") != F.col("pair")) | F.coalesce(F.col("way_in") != F.col("x.entry_ramp"), F.lit(False)) | F.coalesce(F.col("way_out") != F.col("x.exit_ramp"), F.lit(False))
+    fault = F.when(F.col("x").isNull(), "no_assignment").when(other, "mismatch")
+    sound = known.withColumn("fault", fault)
+    kept = lambda c: F.when(F.col("fault").isNull(), F.col(c))
+    return sound.select("pair", F.col("way_in").alias("entry_ramp"), F.col("way_out").alias("exit_ramp"), kept("x.assignment").alias("assignment"), kept("x.meters").alias("meters"), "fault")
+
+
 # --- components and what they make usable ---------------------------------------------------------
 
 

@@ -185,6 +185,13 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         union all select net, (n - 1) {div} 3, (n - 1) % 3 + 1, anchor from net where pos = n - 1 and closed union all select net, 1000 + pos, 0, id from net where chord_secs is not null union all select net, 1000 + pos, 1, far_id from net where chord_secs is not null"""),
     "routemember": (("net",), """select net as relation, row_number() over (partition by net order by case when anchor % 2 = 0 then 0 else w % 2 end, w) - 1 as member, w as way, link, case anchor % 5 when 0 then 'inner' when 1 then 'backward' else 'forward' end as direction from (
         select net, anchor, pos {div} 3 as w, false as link from net where pos % 3 = 0 and (id % 43 <> 0) union all select net, anchor, 1000 + pos, id % 2 = 0 from net where chord_secs is not null) m"""),
+    # Pairs whose ramps may be unknown, ramps on edges that several may share, and assignments of tariffs to pairs, not all of them right.
+    "paidpair": ((), """select o_orderkey as pair, o_custkey as entry_edge, o_custkey + 1000000 as exit_edge, case when o_orderkey % 5 = 0 then concat('i:', cast(o_custkey as {string})) end as entry_ramp, case when o_orderkey % 25 = 0 then 'elsewhere' end as exit_ramp,
+        case when o_orderkey % 9 = 0 then o_orderkey + 1 when o_orderkey % 3 = 0 then o_orderkey when o_orderkey % 19 = 0 then -1 end as assignment from orders"""),
+    "paidramp": ((), """select concat('i:', cast(c_custkey as {string})) as ramp, c_custkey as edge, case when c_custkey % 3 = 0 then 'outer' else 'inner' end as direction from customer union all select concat('i2:', cast(c_custkey as {string})), c_custkey, 'inner' from customer where c_custkey % 7 = 0
+        union all select concat('o:', cast(c_custkey as {string})), c_custkey + 1000000, 'inner' from customer where c_custkey % 23 <> 0 union all select concat('o2:', cast(c_custkey as {string})), c_custkey + 1000000, case when c_custkey % 11 = 0 then 'inner' else 'outer' end from customer where c_custkey % 2 = 0"""),
+    "paidassign": ((), """select o_orderkey as assignment, o_orderkey as pair, concat('i:', cast(o_custkey as {string})) as entry_ramp, case when o_custkey % 2 = 0 and o_custkey % 3 = 0 and o_custkey % 11 <> 0 then concat('o2:', cast(o_custkey as {string})) when o_orderkey % 17 = 0 then 'none' else concat('o:', cast(o_custkey as {string})) end as exit_ramp,
+        cast(100 * (35 + o_orderkey % 200) as bigint) as meters from orders where o_orderkey % 13 <> 0"""),
 }
 
 
