@@ -117,11 +117,13 @@ def a05_components(slabedge, slab):
     return components(slabedge).groupBy("net", "component").agg(F.count("*").alias("members"), F.max("inside").alias("inside"), F.bool_or("cyclic").alias("cyclic"))
 
 
-@rule("slabedge", "slabramp", "slab", sql=f"""{_PARTS}, good as (select slab, block from ringed where inside >= {LOOP_METERS}), bounds as (select slab, min(block) as low, max(block) as high from good group by slab)
-select r.ramp, case when r.kind = 'entry' and coalesce(r.block <= b.high, false) or r.kind = 'exit' and coalesce(r.block > b.low or r.block = b.low and r.place >= 3, false) then 'routable' else 'structural_no_loop' end as capability
-from slabramp r join slab s on s.id = r.ramp left join bounds b on b.slab = s.slab""")
-def r13_capability(slabedge, slabramp, slab):
-    """Whether a ramp can be used: an entry that leads to, or an exit that is reached from, a component with a cycle and at least LOOP_METERS of edges inside.
+_CAPABLE = f"""{_PARTS}, good as (select slab, block from ringed where inside >= {LOOP_METERS}), bounds as (select slab, min(block) as low, max(block) as high from good group by slab),
+capable as (select r.ramp, case when r.kind = 'entry' and coalesce(r.block <= b.high, false) or r.kind = 'exit' and coalesce(r.block > b.low or r.block = b.low and r.place >= 3, false) then 'routable' else 'structural_no_loop' end as capability
+  from slabramp r join slab s on s.id = r.ramp left join bounds b on b.slab = s.slab)"""
+
+
+def capabilities(slabedge: DataFrame, slabramp: DataFrame) -> DataFrame:
+    """ramp, capability: 'routable' where an entry leads to, or an exit is reached from, a component with a cycle and at least LOOP_METERS of edges inside.
 
     Components are found network by network; what leads to them and from them by rounds of joins over all
     networks, in which a component is one node.
@@ -139,6 +141,19 @@ def r13_capability(slabedge, slabramp, slab):
     return marked.select("ramp", F.when(able, "routable").otherwise("structural_no_loop").alias("capability"))
 
 
+@rule("slabedge", "slabramp", "slab", sql=f"{_CAPABLE} select * from capable")
+def r13_capability(slabedge, slabramp, slab):
+    """Whether each ramp of the large networks can be used."""
+    return capabilities(slabedge, slabramp)
+
+
+@rule("slabedge", "slabramp", "slab", sql=f"""{_CAPABLE} select c.ramp, r.declared, c.capability as actual from capable c join slabramp r on r.ramp = c.ramp where r.declared is distinct from c.capability""")
+def v16_capability_contract(slabedge, slabramp, slab):
+    """Ramps whose record states another capability than they have, or none."""
+    both = capabilities(slabedge, slabramp).join(slabramp.select("ramp", "declared"), "ramp")
+    return both.where(~F.col("declared").eqNullSafe(F.col("capability"))).select("ramp", "declared", F.col("capability").alias("actual"))
+
+
 # --- addresses ------------------------------------------------------------------------------------
 
 

@@ -173,7 +173,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     # Edges and ramps of the large networks; every seventh block's loop is too short to count.
     "slabedge": (("slab",), """select net, concat('e:', cast(id as {string})) as edge_id, id as source, next_id as target, case when block % 7 = 6 then 50 else meters end as meters from slab where next_id is not null
         union all select net, concat('k:', cast(id as {string})), id, back_id, 200 from slab where whole and place = 63 union all select net, concat('j:', cast(id as {string})), id, skip_id, case when block % 7 = 6 then 50 else meters end from slab where whole and place = 3"""),
-    "slabramp": (("slab",), "select net, id as ramp, id as node, block, place, whole, case when place in (3, 50) then 'entry' else 'exit' end as kind from slab where place in (1, 3, 20, 50)"),
+    "slabramp": (("slab",), "select net, id as ramp, id as node, block, place, whole, case when place in (3, 50) then 'entry' else 'exit' end as kind, case when id % 37 = 0 then null when id % 29 = 0 then 'structural_no_loop' else 'routable' end as declared from slab where place in (1, 3, 20, 50)"),
     # Distances that requests accept, 0 for any; split routes: a request, the lap of a ring from its anchor, and places that may be missing or odd.
     "reachcap": (("request",), "select request_id, cast(case request_id % 4 when 0 then 0 when 1 then 2000 when 2 then 10000 else 30000 end as bigint) as cap from request"),
     "split": (("question", "node"), """select q.request_id, q.net, q.anchor, q.lat + case when q.request_id % 41 = 0 then 60 else 0 end as lat, q.lon, a.lat as entry_lat, a.lon as entry_lon, case when q.request_id % 31 = 0 then null else a.lat end as merge_lat, a.lon as merge_lon,
