@@ -31,6 +31,8 @@ ROOM = 1.5
 CUT, CUT_BYTES = "\r", b"\xff" * 4
 #: Keys of a row of the router, on average.
 ROUTED = 1 << 16
+#: Parts that a look-up names to the scan, at most; beyond them it reads all parts.
+MOST_PARTS = 1000
 
 
 def default_vocabulary() -> str:
@@ -294,6 +296,8 @@ def _write_router(spark: SparkSession, path: str) -> None:
 def find(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, occurrence, ids (array of int) of every document whose id is in keys: one probe of the router, and one of each shard that it names.
 
+    Of the shards only the files of the parts that the router names are read, unless these are more than MOST_PARTS.
+
     An id that isn't in the files gives no row; a null id finds the documents without one; an id that
     keys repeat is found once.
     """
@@ -318,7 +322,12 @@ def find(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     one = found.where("n = 1").select("key", "part", "seq")
     several = found.where("n > 1").select(F.col("key").alias("asked"))
     spread = spark.read.parquet(f"{path}/spread").join(several, F.col("key").eqNullSafe(F.col("asked"))).select("key", "part", "seq")
-    asked = checkpointed(one.unionByName(spread)).groupBy("part", "seq").agg(F.collect_list(F.struct("key")).alias("asked"))
+    places = checkpointed(one.unionByName(spread))
+    # Files hold rows of one part: by their bounds the scan passes over those that no key names. What reaches the driver is no more than MOST_PARTS numbers.
+    parts = [r[0] for r in places.select("part").distinct().limit(MOST_PARTS + 1).collect()]
+    if len(parts) <= MOST_PARTS:
+        shards = shards.where(F.col("part").isin(parts))
+    asked = places.groupBy("part", "seq").agg(F.collect_list(F.struct("key")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
