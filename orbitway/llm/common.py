@@ -109,16 +109,21 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
 
 
+def text_digest(text_col: str) -> Column:
+    """128 bits that stand for a text wherever rows go or stay by it; a null text is as an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
 def keep_one(documents: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of documents for each component of texts; all columns come back as they were.
 
-    roots: node (a text_key) and root of the texts that links reach; any other text is a component of
+    roots: node (a text_digest) and root of the texts that links reach; any other text is a component of
     its own. The row that stays has the smallest id of its component, or a null one if all are null; of
-    several such rows it has the smallest text. Which row that is, is settled on ids and text keys: copies
+    several such rows it has the smallest text. Which row that is, is settled on ids and digests: copies
     are pre-aggregated, and no component's texts meet in one task.
     """
     key, node, first, turn = (free_name(documents, n) for n in ("_key", "_node", "_first", "_turn"))
-    texts = documents.select(text_key(text_col).alias("node"), F.col(id_col).alias("id"))
+    texts = documents.select(text_digest(text_col).alias("node"), F.col(id_col).alias("id"))
     least = texts.groupBy("node").agg(F.min("id").alias("least"))
     linked = roots.select(F.col("node").alias("linked"), "root")
     whole = checkpointed(least.join(linked, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
@@ -128,7 +133,7 @@ def keep_one(documents: DataFrame, roots: DataFrame, id_col: str, text_col: str)
     # Mostly one text of a component has its smallest id; of several, min_by keeps one a partition before its shuffle.
     several = checkpointed(chosen.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
     final = chosen.join(several, "root", "left_anti").select(F.col("node").alias(node), F.col("first").alias(first))
-    keyed = documents.withColumn(key, text_key(text_col))
+    keyed = documents.withColumn(key, text_digest(text_col))
     if not several.isEmpty():
         tied = chosen.join(several, "root").select(F.col("node").alias(node), F.col("root").alias("root"), F.col("first").alias(first))
         smallest = keyed.select(F.col(key), F.col(text_col).alias("text")).join(tied, F.col(key) == F.col(node)).groupBy("root").agg(F.min_by(F.struct(node, first), F.struct("text", key)).alias("best"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitway.llm.common import SPACE, checkpointed, free_name, table, text_key, word_count
+from orbitway.llm.common import SPACE, checkpointed, free_name, table, text_digest, word_count
 
 #: Weights that the sources get in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -15,6 +15,8 @@ SLOPES = (0.5, -0.5, 0.0)
 MOST = 3
 #: Slices of a source's stream by the first hex digits of a document's order key.
 SLICE_DIGITS = 3
+#: Decimal digits of a position as it is given; the order is that of exact positions.
+POSITION_DIGITS = 6
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def _streams(documents: DataFrame, id_col: str, text_col: str, source_col: str)
     sizes = checkpointed(
         documents.select(
             F.col(id_col).alias("doc_id"),
-            text_key(text_col).alias("text_key"),
+            text_digest(text_col).alias("text_key"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
@@ -78,14 +80,14 @@ def _position(word):
     """When the training reaches a word of a source's stream: the inverse of t + slope * (t * t - t), its share of the demand up to t."""
     x, slope = F.try_divide(word, F.round("target")), F.col("slope")
     bent = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope)
-    return F.round(F.when(slope == 0, x).otherwise(bent), 6)
+    return F.when(slope == 0, x).otherwise(bent)
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document the mix takes, and at what point of the training.
 
     Returns doc_id, source, size, source_size, target, taken, passes, position, sorted by position in
-    range partitions. Each source is a stream of its documents in the order of md5(id), repeated as
+    range partitions; the order is that of exact positions, which are rounded after it. Each source is a stream of its documents in the order of md5(id), repeated as
     often as its target asks; a document's taken words are the part of [0, round(target)) that falls on
     it, so that a source's taken words add up to its rounded target. A source's share of the batch at
     time t of the training is proportional to 1 + slope * (2t - 1); its integral is the demand up to t,
@@ -107,7 +109,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.when(taken > 0, _position(F.col("start"))).alias("position"),
     )
     order = F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_first()
-    return out.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.withColumn("position", F.round("position", POSITION_DIGITS))
 
 
 def arrange(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -129,7 +132,7 @@ def arrange(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.select(*(F.col(n).alias(x) for n, x in own.items()))
     key, copy = free_name(documents, "_own_key"), free_name(documents, "_own_copy")
     turn = Window.partitionBy(id_col, key, source_col).orderBy(key)
-    rows = documents.withColumn(key, text_key(text_col)).withColumn(copy, F.row_number().over(turn))
+    rows = documents.withColumn(key, text_digest(text_col)).withColumn(copy, F.row_number().over(turn))
     same = F.col(id_col).eqNullSafe(F.col(own["doc_id"])) & (F.col(key) == F.col(own["text_key"])) & F.col(source_col).eqNullSafe(F.col(own["source"])) & (F.col(copy) == F.col(own["copy"]))
     out = rows.join(placed, same)
     order = F.col(own["position"]), F.col(id_col).asc_nulls_first()

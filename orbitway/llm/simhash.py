@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import appended, checkpointed, keep_one, pieces, table, text_key
+from orbitway.llm.common import appended, checkpointed, keep_one, pieces, table, text_digest
 from orbitway.llm.components import connected_components
 
 SEED = 42
@@ -201,7 +201,7 @@ def keep_first(documents: DataFrame, size: int = 5, radius: int = 6, id_col: str
     repeat the smallest id, the one with the smallest text stays. Components are told apart by their
     texts, so that different texts may share an id, or have none.
     """
-    nodes = documents.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
+    nodes = documents.select(text_digest(text_col).alias("node"), F.col(text_col).alias("text"))
     found = near_duplicates(nodes, size, radius, "node", "text")
     return keep_one(documents, found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct(), id_col, text_col)
 
