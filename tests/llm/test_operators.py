@@ -300,3 +300,44 @@ def test_pipeline(spark):
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = spark.createDataFrame(out.toPandas(), out.schema)
     assert docs.count() > 0
+
+
+def subsampled_stream(luma, blue, red, width, height, h, v):
+    """A progressive stream of flat blocks, h x v luma blocks a unit and one of each chroma; only direct terms, in one scan of all three components."""
+    bits = ""
+    # One Huffman code of four bits for each size from 0 to 11.
+    symbols = list(range(12))
+    past = [0, 0, 0]
+    rows, columns = -(-height // (8 * v)), -(-width // (8 * h))
+    for y in range(rows):
+        for x in range(columns):
+            unit = [(0, luma[y * v + j][x * h + i]) for j in range(v) for i in range(h)] + [(1, blue[y][x]), (2, red[y][x])]
+            for k, level in unit:
+                change = level - past[k]
+                past[k] = level
+                size = abs(change).bit_length()
+                bits += format(size, "04b") + (format(change if change > 0 else change + (1 << size) - 1, f"0{size}b") if size else "")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    segment = lambda marker, body: bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, h << 4 | v, 0, 2, 0x11, 0, 3, 0x11, 0])
+    counts = [0, 0, 0, 12] + [0] * 12
+    return b"\xff\xd8" + segment(0xDB, bytes([0] + [8] + [1] * 63)) + segment(0xC2, frame) + segment(0xC4, bytes([0, *counts, *symbols])) + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0])) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("h, v", [(1, 1), (2, 1), (1, 2), (2, 2)])
+@pytest.mark.parametrize("width, height", [(32, 32), (29, 35), (5, 3)])
+def test_chroma_is_upsampled(h, v, width, height):
+    rng = np.random.default_rng(7 * h + v)
+    rows, columns = -(-height // (8 * v)), -(-width // (8 * h))
+    luma, blue, red = rng.integers(-128, 128, (rows * v, columns * h)).tolist(), rng.integers(-60, 60, (rows, columns)).tolist(), rng.integers(-60, 60, (rows, columns)).tolist()
+    images, coefficients = jpeg.decode([subsampled_stream(luma, blue, red, width, height, h, v)] * 2)
+    for image in images:
+        got = jpeg.tensor(image, coefficients)
+        assert got.shape == (height, width, 3)
+        for y in range(height):
+            for x in range(width):
+                # A direct term times its quantiser, 8, over 8 is the level of the whole block.
+                l, b, r = luma[y // 8][x // 8] + 128, blue[y // (8 * v)][x // (8 * h)], red[y // (8 * v)][x // (8 * h)]
+                want = [l + 1.402 * r, l - 0.344136 * b - 0.714136 * r, l + 1.772 * b]
+                assert np.abs(got[y, x] - np.clip(want, 0, 255)).max() <= 1
