@@ -848,7 +848,7 @@ def j11_shared_exit(ramp):
 _FLAT_SQL = "sqrt(pow(radians(s.lon - n.lon) * cos(radians((s.lat + n.lat) * 0.5)) * 6371000, 2) + pow(radians(s.lat - n.lat) * 6371000, 2))"
 
 
-def _streets(node: DataFrame, street: DataFrame, limit: float, cell: float) -> DataFrame:
+def streets_near(node: DataFrame, street: DataFrame, limit: float, cell: float) -> DataFrame:
     """Each node's streets within the limit, by cells of so many degrees; a node meets as many cells around it as the limit may reach."""
     reach = F.ceil(F.lit(limit / 111195.0 / cell)).cast("int")
     wide = F.ceil(F.lit(limit / 111195.0 / cell) / F.cos(F.radians(F.abs("lat") + 0.01))).cast("int")
@@ -864,7 +864,7 @@ def _streets(node: DataFrame, street: DataFrame, limit: float, cell: float) -> D
 @rule("node", "street", sql=f"select id, street, meters from (select n.id, s.id as street, round({_FLAT_SQL}, 3) as meters, row_number() over (partition by n.id order by round({_FLAT_SQL}, 3), s.id) as turn from node n join street s on abs(s.lat - n.lat) < 0.003 and abs(s.lon - n.lon) < 0.003 where {_FLAT_SQL} <= 150) where turn = 1")
 def j05_nearest_street(node, street):
     """The nearest street within 150 m; ties (to the millimetre) to the smaller id."""
-    near = _streets(node, street, 150.0, 0.0005).withColumn("meters", F.round("away", 3))
+    near = streets_near(node, street, 150.0, 0.0005).withColumn("meters", F.round("away", 3))
     return near.groupBy("id").agg(F.min(F.struct("meters", "street")).alias("best")).select("id", "best.street", "best.meters")
 
 
@@ -872,565 +872,7 @@ def j05_nearest_street(node, street):
 def g07_surface_evidence(node, street, waynode):
     """What shows whether a ramp's end is at street level: a node that a street shares; none, though a street lies within 100 m; or nothing, where no street is mapped so near."""
     shared = waynode.where("way % 4 = 0").select(F.col("node").alias("id")).distinct().withColumn("shared", F.lit(True))
-    mapped = _streets(node, street, 100.0, 0.0005).select("id").distinct().withColumn("mapped", F.lit(True))
-    both = node.join(shared, "id", "left").join(mapped, "id", "left")
-    return both.select("id", F.when(F.col("shared"), "shared_node").when(F.col("mapped"), "no_shared_node").otherwise("unavailable").alias("evidence"))
-
-
-@rule("node", "street", sql="""select n.id, greatest(cast(round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(s.lat - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - n.lon) / 2), 2))))) as bigint), 1) > 5000 as too_far from node n join (select id - id % 5 as id, lat, lon from street where id % 5 = 1) s on s.id = n.id""")
-def j20_far_bindings(node, street):
-    """Whether a bound node lies more than 5 km from its inventory point."""
-    from orbitway.functions import geo
-
-    points = street.where("id % 5 = 1").select((F.col("id") - F.col("id") % 5).alias("id"), F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"))
-    return node.join(points, "id").select("id", (F.expr(geo.haversine("lat", "lon", "point_lat", "point_lon")) > 5000).alias("too_far"))
-
-
-@rule("waynode", sql="select way, min(pos) as first, max(pos) as last, count(*) as nodes, count(distinct node) as places from waynode group by way")
-def g02_way_nodes(waynode):
-    """Places that a way's nodes have in the index: first, last, all, and different ones."""
-    return waynode.groupBy("way").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("nodes"), F.count_distinct("node").alias("places"))
-
-
-@rule("edge", sql="select edge_id, row_number() over (order by edge_id) as turn from edge")
-def g11_stable_order(edge):
-    """Edges in the binary order of their ids, by range partitions: places are offsets of partitions and places in them."""
-    ranged = edge.select("edge_id").withColumn("part", F.substring("edge_id", 1, 3))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("edge_id"))
-    return ranged.withColumn("inside", inside).join(before, "part").select("edge_id", (F.col("before") + F.col("inside")).alias("turn"))
-
-
-@rule("candidate", sql="select request_id, id, row_number() over (partition by request_id order by secs desc, access_secs + return_secs, id) as turn from candidate where pair_kind = 'topologyOnly'")
-def t05_topology_rank(candidate):
-    """Topology-only candidates: longer first, then less surface time, then id."""
-    return _ranked(candidate.where("pair_kind = 'topologyOnly'"), by_time)
-
-
-@rule("candidate", sql="""select request_id, tier, id from (select *, dense_rank() over (partition by request_id order by tier_meters, access_secs, tier) as dr from candidate where secs between 1200 and 3000) where dr = 1""")
-def t08_first_tier(candidate):
-    """Tiers of entries by distance, access time and id; the nearest that has a candidate in the window is the answer."""
-    productive = candidate.where("secs between 1200 and 3000")
-    first = productive.groupBy("request_id").agg(F.min(F.struct("tier_meters", "access_secs", "tier")).alias("first"))
-    return productive.join(first, "request_id").where(F.struct("tier_meters", "access_secs", "tier") == F.col("first")).select("request_id", "tier", "id")
-
-
-@rule("candidate", sql="""select request_id, id, case when turn > 1 then 'ONE_SECTION_TOLL' when time_only then 'BEST_SHUTOKO_TIME,ONE_SECTION_TOLL' else 'BEST_TIME_PER_YEN,ONE_SECTION_TOLL' end as reasons from (
-  select *, row_number() over (partition by request_id order by secs desc, access_secs + return_secs, id) as turn, bool_or(yen is null) over (partition by request_id) as time_only from candidate)""")
-def t12_reasons(candidate):
-    """The first of a request says what it is best at; here in the order of time."""
-    ranked = _ranked(candidate, by_time)
-    modes = candidate.groupBy("request_id").agg(F.bool_or(F.col("yen").isNull()).alias("time_only"))
-    best = F.when(F.col("time_only"), "BEST_SHUTOKO_TIME").otherwise("BEST_TIME_PER_YEN")
-    reasons = F.concat_ws(",", F.array_compact(F.array(F.when(F.col("turn") == 1, best), F.lit("ONE_SECTION_TOLL"))))
-    return ranked.join(modes, "request_id").select("request_id", "id", reasons.alias("reasons"))
-
-
-@rule("candidate", sql="select id, pair_kind, case when pair_kind = 'legacyRing' then yen end as amount, case when pair_kind = 'radialReturn' then loop_validation end as loop_validation from candidate")
-def u01_union_variants(candidate):
-    """The three kinds of candidates in one table; columns that a kind lacks are null."""
-    ring = candidate.where("pair_kind = 'legacyRing'").select("id", "pair_kind", F.col("yen").alias("amount"))
-    radial = candidate.where("pair_kind = 'radialReturn'").select("id", "pair_kind", "loop_validation")
-    plain = candidate.where("pair_kind = 'topologyOnly'").select("id", "pair_kind")
-    return ring.unionByName(radial, allowMissingColumns=True).unionByName(plain, allowMissingColumns=True)
-
-
-@rule("candidate", sql="select id, case when rank_ok then concat('最安順位 ', cast(turn as varchar), ' 位') end as label from (select id, row_number() over (partition by request_id order by secs desc, access_secs + return_secs, id) as turn, not bool_or(yen is null) over (partition by request_id) as rank_ok from candidate)")
-def w12_rank_label(candidate):
-    """A place's label; none where a price of the request's set is unknown."""
-    modes = candidate.groupBy("request_id").agg(F.bool_and(F.col("yen").isNotNull()).alias("priced"))
-    return _ranked(candidate, by_time).join(modes, "request_id").select("id", F.when(F.col("priced"), F.concat(F.lit("最安順位 "), F.col("turn").cast("string"), F.lit(" 位"))).alias("label"))
-
-
-@rule("candidate", sql="""select id, case when base <= 1500 then base + 300 else base + cast(ceil(base / 5.0) as bigint) end as plan, cast(floor(secs / 60.0 + 0.5) as bigint) as minutes, cast(ceil(secs / 60.0) as bigint) as minutes_up,
-  base >= 1200 and (case when base <= 1500 then base + 300 else base + cast(ceil(base / 5.0) as bigint) end) <= 3600 as fits from (select id, secs, secs + access_secs + return_secs as base from candidate)""")
-def f05_window(candidate):
-    """Plan with its buffer, shown minutes, and whether a window of 20 to 60 minutes takes it: the least counts the base, the most the plan."""
-    base = F.col("secs") + F.col("access_secs") + F.col("return_secs")
-    plan = base + F.greatest(F.lit(300), F.expr("(secs + access_secs + return_secs + 4) div 5"))
-    return candidate.select("id", plan.alias("plan"), F.expr("(secs + 30) div 60").alias("minutes"), F.expr("(secs + 59) div 60").alias("minutes_up"), ((base >= 20 * 60) & (plan <= 60 * 60)).alias("fits"))
-
-
-@rule("candidate", sql="""select id, max(b) as base from (select id, plan, unnest(range(greatest(0, plan * 5 // 6 - 305), plan - 299)) as b from (select id, secs + 300 as plan from candidate where secs >= 0)) where b + greatest(300, (b + 4) // 5) <= plan group by id""")
-def f19_base_of_plan(candidate):
-    """The base of which a plan is made: the largest whose plan doesn't pass it."""
-    plan = F.col("secs") + 300
-    # A fifth rounded up on top: base + ceil(base / 5) <= plan, that is 6 * base <= 5 * plan (rounded down) where the buffer passes 300.
-    return candidate.select("id", F.when(plan <= 1800, plan - 300).otherwise(F.expr("((secs + 300) * 5) div 6")).alias("base"))
-
-
-# --- prices and tariffs ---------------------------------------------------------------------------
-
-
-@rule("price", sql="select distinct pair_id from (select pair_id, from_at, lag(to_at) over (partition by pair_id order by from_at, price_id) as before, row_number() over (partition by pair_id order by from_at, price_id) as n, price_id % 97 = 0 as broken from price) where n > 1 and (before is null or before > from_at or broken)")
-def w03_price_overlap(price):
-    """Pairs with prices whose intervals overlap: one that begins before the last has ended, or after one without an end. Every 97th is made to."""
-    line = Window.partitionBy("pair_id").orderBy("from_at", "price_id")
-    end, begin = F.lag("to_at").over(line), F.col("from_at") - F.expr("interval 1 second") * F.when(F.col("price_id") % 97 == 0, 1).otherwise(0)
-    return price.withColumns({"end": end, "begin": begin, "n": F.row_number().over(line)}).where("n > 1 and (end is null or end > begin)").select("pair_id").distinct()
-
-
-@rule("price", "request", sql="""select r.request_id, max(case when p.from_at <= r.asked and (p.to_at is null or r.asked < p.to_at) then p.yen end) as yen,
-  case when count(*) filter (where p.from_at <= r.asked and (p.to_at is null or r.asked < p.to_at)) > 0 then 'priced' when count(*) filter (where p.from_at <= r.asked) > 0 then 'expired' else 'unpriced' end as status
-from (select request_id, timestamp '1995-01-01 00:00:00' + to_days(cast(request_id % 1500 as int)) as asked from request) r left join price p on p.pair_id = r.request_id and p.price_id % 3 <> 0 group by r.request_id""")
-def j07_price_at(price, request):
-    """The price whose half-open interval holds the instant; one without an end goes on. Expired if some price had begun, else unpriced."""
-    asked = request.select("request_id", F.expr("timestamp '1995-01-01 00:00:00' + make_dt_interval(cast(request_id % 1500 as int))").alias("at"))
-    both = asked.join(price.where("price_id % 3 <> 0"), F.col("pair_id") == F.col("request_id"), "left")
-    begun = F.col("from_at") <= F.col("at")
-    hit = begun & (F.col("to_at").isNull() | (F.col("at") < F.col("to_at")))
-    status = F.when(F.bool_or(hit), "priced").when(F.bool_or(begun), "expired").otherwise("unpriced")
-    return both.groupBy("request_id").agg(F.max(F.when(hit, F.col("yen"))).alias("yen"), status.alias("status"))
-
-
-@rule("assignment", "request", sql="""select r.request_id, case when by_id is not null then case when a.assignment_id is null then 'unknown' when a.pair_id <> r.pair_id then 'mismatch' else 'found' end when coalesce(m.n, 0) = 0 then 'unpriced' when m.n > 1 then 'ambiguous' else 'found' end as state,
-  case when by_id is not null then case when a.pair_id = r.pair_id then a.assignment_id end when m.n = 1 then m.one end as assignment_id
-from (select request_id, concat('p:', cast(request_id as varchar)) as pair_id, case when request_id % 3 = 0 then request_id * 4 end as by_id from request) r
-left join assignment a on a.assignment_id = r.by_id left join (select pair_id, count(*) as n, min(assignment_id) as one from assignment where assignment_id % 5 = 0 group by pair_id) m on m.pair_id = r.pair_id""")
-def j08_assignment(assignment, request):
-    """By id, which must be known and of the pair; without one, the only match of the pair: none is unpriced, more are ambiguous."""
-    asked = request.select("request_id", F.concat(F.lit("p:"), F.col("request_id").cast("string")).alias("pair"), F.when(F.col("request_id") % 3 == 0, F.col("request_id") * 4).alias("by_id"))
-    known = assignment.select(F.col("assignment_id").alias("named"), F.col("pair_id").alias("named_pair"))
-    only = assignment.where("assignment_id % 5 = 0").groupBy(F.col("pair_id").alias("pair")).agg(F.count("*").alias("n"), F.min("assignment_id").alias("one"))
-    both = asked.join(known, F.col("by_id") == F.col("named"), "left").join(only, "pair", "left")
-    right = F.col("named_pair") == F.col("pair")
-    named = F.when(F.col("named").isNull(), "unknown").when(right, "found").otherwise("mismatch")
-    alone = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").otherwise("unpriced")
-    return both.select("request_id", F.when(F.col("by_id").isNotNull(), named).otherwise(alone).alias("state"), F.when(F.col("by_id").isNotNull(), F.when(right, F.col("named"))).when(F.col("n") == 1, F.col("one")).alias("assignment_id"))
-
-
-@rule("assignment", sql="""select pair_id, case when n <> 1 then 'TARIFF_ASSIGNMENT_MISSING_OR_AMBIGUOUS' when priced = 0 then 'TARIFF_PRICED_EVIDENCE_UNRESOLVED' end as gate, case when n = 1 then least_billed end as billed
-from (select pair_id, count(distinct entry || exit) as n, count(*) filter (where status = 'priced') as priced, min(billed) as least_billed from assignment group by pair_id)""")
-def q17_tariff_gate(assignment):
-    """A pair passes with exactly one assignment that has a priced period; prices of one entry and exit are one assignment."""
-    whole = assignment.groupBy("pair_id", "entry", "exit").agg(F.bool_or(F.col("status") == "priced").alias("priced"), F.min("billed").alias("billed"))
-    pairs = whole.groupBy("pair_id").agg(F.count("*").alias("n"), F.bool_or("priced").alias("priced"), F.min("billed").alias("billed"))
-    gate = F.when(F.col("n") != 1, "TARIFF_ASSIGNMENT_MISSING_OR_AMBIGUOUS").when(~F.col("priced"), "TARIFF_PRICED_EVIDENCE_UNRESOLVED")
-    return pairs.select("pair_id", gate.alias("gate"), F.when(F.col("n") == 1, F.col("billed")).alias("billed"))
-
-
-@rule("assignment", "rule", sql="select distinct a.pair_id, r.rule_id from (select distinct pair_id from assignment) a, rule r where not exists (select 1 from assignment b where b.pair_id = a.pair_id and b.rule_id = r.rule_id)")
-def u03_missing_rules(assignment, rule_):
-    """Rules that no price of a pair uses."""
-    expected = assignment.select("pair_id").distinct().withColumn("rule_id", F.explode(F.array(*(F.lit(r["rule_id"]) for r in rule_.select("rule_id").collect()))))
-    return expected.join(assignment, ["pair_id", "rule_id"], "left_anti").select("pair_id", "rule_id")
-
-
-@rule("assignment", "candidate", sql="""select c.id, case when a.pair_id is not null then 'catalogue' when o.pair_id is not null then 'override' when p.yen is not null then 'legacy_price' when c.id % 4 = 0 then 'od_tariff' else 'unpriced' end as source,
-  coalesce(a.billed, o.billed, p.yen, case when c.id % 4 = 0 then 300 end)::bigint as amount
-from candidate c left join (select pair_id, min(billed) as billed from assignment where assignment_id % 10 = 0 and status = 'priced' group by pair_id) a on a.pair_id = concat('p:', cast(c.request_id as varchar))
-left join (select pair_id, max(billed) as billed from assignment where assignment_id % 10 = 5 group by pair_id) o on o.pair_id = concat('p:', cast(c.request_id as varchar)) left join (select id, yen from candidate where id % 2 = 0) p on p.id = c.id""")
-def q07_tariff_precedence(assignment, candidate):
-    """The catalogue's amount counts before an override, that before the pair's own price, and that before the entry and exit's."""
-    pair = F.concat(F.lit("p:"), F.col("request_id").cast("string"))
-    catalogue = assignment.where("assignment_id % 10 = 0 and status = 'priced'").groupBy(F.col("pair_id").alias("pair")).agg(F.min("billed").alias("first"))
-    override = assignment.where("assignment_id % 10 = 5").groupBy(F.col("pair_id").alias("pair")).agg(F.max("billed").alias("second"))
-    all_ = candidate.withColumn("pair", pair).join(catalogue, "pair", "left").join(override, "pair", "left")
-    own, od = F.when(F.col("id") % 2 == 0, F.col("yen")), F.when(F.col("id") % 4 == 0, F.lit(300).cast("long"))
-    steps = [("catalogue", F.col("first")), ("override", F.col("second")), ("legacy_price", own), ("od_tariff", od)]
-    source = F.coalesce(*(F.when(c.isNotNull(), n) for n, c in steps), F.lit("unpriced"))
-    return all_.select("id", source.alias("source"), F.coalesce(*(c for _, c in steps)).alias("amount"))
-
-
-@rule("assignment", "rule", sql="""select a.edition, r.rule_id, case when len(a.edition) - len(replace(a.edition, '-', '')) < 1 or try_cast(split_part(a.edition, '-', 2) as int) not between 1 and 12 or try_cast(split_part(a.edition, '-', 2) as int) is null then false
-  else make_date(cast(split_part(a.edition, '-', 1) as int), cast(split_part(a.edition, '-', 2) as int), 1) < coalesce(r.to_at, timestamp '9999-12-31') and make_date(cast(split_part(a.edition, '-', 1) as int), cast(split_part(a.edition, '-', 2) as int), 1) + interval 1 month > r.from_at end as overlaps
-from (select distinct concat(cast(2020 + assignment_id % 9 as varchar), case when assignment_id % 7 = 0 then '' else concat('-', lpad(cast(assignment_id % 14 as varchar), 2, '0')) end) as edition from assignment) a, rule r""")
-def f16_edition_overlap(assignment, rule_):
-    """Whether a document of a month overlaps a rule's interval; a text that isn't a month never does."""
-    month = F.when(F.col("assignment_id") % 7 == 0, "").otherwise(F.concat(F.lit("-"), F.lpad((F.col("assignment_id") % 14).cast("string"), 2, "0")))
-    editions = assignment.select(F.concat((F.col("assignment_id") % 9 + 2020).cast("string"), month).alias("edition")).distinct()
-    start = F.when(F.col("edition").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.try_to_date(F.concat("edition", F.lit("-01")), "yyyy-MM-dd"))
-    both = editions.withColumn("start", start).join(F.broadcast(rule_), F.lit(True))
-    ends = F.coalesce("to_at", F.lit("9999-12-31").cast("timestamp"))
-    overlap = (F.col("start").cast("timestamp") < ends) & (F.add_months("start", 1).cast("timestamp") > F.col("from_at"))
-    return both.select("edition", "rule_id", F.coalesce(overlap, F.lit(False)).alias("overlaps"))
-
-
-@rule("assignment", "candidate", sql="""select c.id, c.pair, a.amount from (select id, concat('p:', cast(request_id as varchar)) as pair from candidate) c join (select pair_id, max(billed) filter (where status = 'priced') as amount from (
-  select unnest([pair_id, concat('p:', cast(assignment_id % 150 + 1 as varchar))]) as pair_id, billed, status from assignment where assignment_id % 3 = 0) group by pair_id) a on a.pair_id = c.pair""")
-def j13_override_pairs(assignment, candidate):
-    """Tariffs that name several pairs, at each of them; of several for a pair, the highest priced."""
-    named = assignment.where("assignment_id % 3 = 0").withColumn("pair_ids", F.array("pair_id", F.concat(F.lit("p:"), (F.col("assignment_id") % 150 + 1).cast("string"))))
-    each = named.select(F.explode("pair_ids").alias("pair"), "billed", "status").groupBy("pair").agg(F.max(F.when(F.col("status") == "priced", F.col("billed"))).alias("amount"))
-    return candidate.select("id", F.concat(F.lit("p:"), F.col("request_id").cast("string")).alias("pair")).join(each, "pair").select("id", "pair", "amount")
-
-
-# --- device checks and benchmark ------------------------------------------------------------------
-
-
-@rule("device", sql=f"""select plan, case when n <> 4 or kinds <> 4 or extra then 'MANIFEST_INVALID' when missing then 'VERIFICATION_MISSING' when failed then 'VERIFICATION_FAILED' when early then 'VERIFICATION_NOT_YET_VALID' when late then 'VERIFICATION_EXPIRED' else 'OPEN' end as gate from (
-  select plan, count(*) as n, count(distinct os || client) as kinds, bool_or(extra and false) as extra, bool_or(result = 'missing') as missing, bool_or(result = 'failed') as failed, bool_or(result = 'passed' and timestamp '{NOW}' < verified_at) as early,
-    bool_or(result = 'expired' or result = 'passed' and timestamp '{NOW}' >= expires_at) as late from device group by plan)""")
-def q10_device_gate(device):
-    """What keeps a plan's gate shut, the first of: an incomplete matrix, a missing, failed, not yet valid or expired check."""
-    at = F.lit(NOW).cast("timestamp")
-    passed = F.col("result") == "passed"
-    found = device.groupBy("plan").agg(
-        F.count("*").alias("n"), F.count_distinct("os", "client").alias("kinds"), F.bool_or(F.col("result") == "missing").alias("missing"), F.bool_or(F.col("result") == "failed").alias("failed"),
-        F.bool_or(passed & (at < F.col("verified_at"))).alias("early"), F.bool_or((F.col("result") == "expired") | passed & (at >= F.col("expires_at"))).alias("late"),
-    )
-    gate = F.when((F.col("n") != 4) | (F.col("kinds") != 4), "MANIFEST_INVALID")
-    for flag, name in (("missing", "MISSING"), ("failed", "FAILED"), ("early", "NOT_YET_VALID"), ("late", "EXPIRED")):
-        gate = gate.when(F.col(flag), f"VERIFICATION_{name}")
-    return found.select("plan", gate.otherwise("OPEN").alias("gate"))
-
-
-@rule("device", sql="select p.plan, m.os, m.client from (select distinct plan from device) p, (values ('ios', 'app'), ('ios', 'web'), ('android', 'app'), ('android', 'web')) as m(os, client) where not exists (select 1 from device d where d.plan = p.plan and d.os = m.os and d.client = m.client)")
-def u06_matrix(device):
-    """Cells of the matrix of systems and clients that a plan lacks."""
-    cells = F.array(*(F.struct(F.lit(o).alias("os"), F.lit(c).alias("client")) for o in ("ios", "android") for c in ("app", "web")))
-    expected = device.select("plan").distinct().select("plan", F.explode(cells).alias("cell")).select("plan", "cell.*")
-    return expected.join(device, ["plan", "os", "client"], "left_anti").select("plan", "os", "client")
-
-
-@rule("ramp", "edge", sql="select id, side from (select id, 'manifest' as side from ramp where id % 7 = 0 and id not in (select source from edge where source % 14 = 0 or source % 3 = 0) union all select source, 'actual' from edge where (source % 14 = 0 or source % 3 = 0) and source % 7 <> 0)")
-def u02_set_equality(ramp, edge):
-    """Ids that only a manifest or only the table itself has."""
-    listed, actual = ramp.where("id % 7 = 0").select("id"), edge.where("source % 14 = 0 or source % 3 = 0").select(F.col("source").alias("id"))
-    return listed.exceptAll(actual).withColumn("side", F.lit("manifest")).unionByName(actual.exceptAll(listed).withColumn("side", F.lit("actual")))
-
-
-def _nearest_rank(c: Column, share: float) -> Column:
-    """The value at place ceil(share * n) of the sorted values; null without any."""
-    values = F.array_sort(F.collect_list(c))
-    return F.try_element_at(values, F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(share)).cast("int")))
-
-
-def _bench(trial: DataFrame, *keys: str) -> DataFrame:
-    done = F.when(F.col("timeout") == 0, F.col("ms"))
-    cold = F.max(F.when(F.col("cache") == "cold", F.greatest(F.lit(0).cast("long"), F.when(F.col("transfer") > 0, F.col("transfer")).otherwise(F.col("encoded")))))
-    grouped = trial.groupBy(*keys) if keys else trial.groupBy()
-    return grouped.agg(F.count("*").alias("trials"), F.count(done).alias("answered"), _nearest_rank(done, 0.5).alias("p50"), _nearest_rank(done, 0.95).alias("p95"), F.max(done).alias("most"), F.round(F.avg("timeout"), 6).alias("timeout_rate"), cold.alias("cold_bytes"))
-
-
-_BENCH_SQL = "count(*) as trials, count(*) filter (where timeout = 0) as answered, percentile_disc(0.5) within group (order by case when timeout = 0 then ms end) as p50, percentile_disc(0.95) within group (order by case when timeout = 0 then ms end) as p95, max(ms) filter (where timeout = 0) as most, round(avg(timeout), 6) as timeout_rate, max(greatest(0, case when transfer > 0 then transfer else encoded end)) filter (where cache = 'cold')::bigint as cold_bytes"
-
-
-@rule("trial", sql=f"select pattern, cache, {_BENCH_SQL} from trial group by pattern, cache")
-def a11_group_stats(trial):
-    """Statistics of a group of trials; timeouts count as trials without a time."""
-    return _bench(trial, "pattern", "cache")
-
-
-@rule("trial", sql=f"""select 'searchP95' as key, cast({SEARCH_P95} as bigint) as target, p95 as actual, case when p95 is null then 'unknown' when p95 <= {SEARCH_P95} then 'pass' else 'fail' end as verdict from (select {_BENCH_SQL} from trial)
-union all select 'firstLoadP95', 8000, p95, case when p95 is null then 'unknown' when p95 <= 8000 then 'pass' else 'fail' end from (select {_BENCH_SQL} from trial where cache = 'cold')
-union all select 'transfer', {TRANSFER_MOST}, cold_bytes, case when cold_bytes is null then 'unknown' when cold_bytes <= {TRANSFER_MOST} then 'pass' else 'fail' end from (select {_BENCH_SQL} from trial) union all select 'memory', 128, null, 'unknown'""")
-def a14_verdicts(trial):
-    """Four targets: passed, failed, or unknown where nothing was measured."""
-    rows = _bench(trial).crossJoin(_bench(trial.where("cache = 'cold'")).select(F.col("p95").alias("cold_p95")))  # a row each
-    targets = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(t).cast("long").alias("target"), a.cast("long").alias("actual")) for k, t, a in (
-        ("searchP95", SEARCH_P95, F.col("p95")), ("firstLoadP95", 8000, F.col("cold_p95")), ("transfer", TRANSFER_MOST, F.col("cold_bytes")), ("memory", 128, F.lit(None))
-    )))
-    one = rows.select(F.explode(targets).alias("x")).select("x.*")
-    return one.withColumn("verdict", F.when(F.col("actual").isNull(), "unknown").when(F.col("actual") <= F.col("target"), "pass").otherwise("fail"))
-
-
-@rule("trial", sql="select event_id, case when timeout = 0 then ms + greatest(0, encoded - transfer) end as first_load from trial")
-def f20_first_load(trial):
-    """A trial's time and the page's own part of it, which is never negative; null without a time."""
-    return trial.select("event_id", F.when(F.col("timeout") == 0, F.col("ms") + F.greatest(F.lit(0).cast("long"), F.col("encoded") - F.col("transfer"))).alias("first_load"))
-
-
-@rule("request", sql="select request_id, string_agg(cast(i as varchar), ',' order by i) as picked from (select distinct r.request_id, try_cast(trim(x) as bigint) as i from (select request_id, unnest(string_split(concat(cast(request_id % 40 as varchar), ', 7,1.5,+3,', cast(request_id % 6 as varchar), 'x, ', cast(request_id % 29 as varchar)), ',')) as x from request) r where regexp_full_match(trim(x), '[0-9]+')) where i < 30 group by request_id")
-def q22_patterns(request):
-    """Patterns by a list of places: only decimal numbers count, those out of range don't, and each comes once, in order."""
-    number = F.col("request_id")
-    spec = F.concat((number % 40).cast("string"), F.lit(", 7,1.5,+3,"), (number % 6).cast("string"), F.lit("x, "), (number % 29).cast("string"))
-    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
-    places = F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: x.cast("long")), lambda x: x < 30)))
-    return request.select("request_id", F.array_join(places.cast("array<string>"), ",").alias("picked")).where("picked <> ''")
-
-
-# --- texts, ids and requests ----------------------------------------------------------------------
-
-
-_URLS = ["https://a.example/x", "http://a.b.example:80/", "ftp://a.example", "https://nodots", "https://-a.example", "https://a..b", "https://a.example:99999", "https://a b.example", "https://a.example:", "", "https://ａ.example", "https://.a.b"]
-
-
-@rule("request", sql=f"""select request_id, url, url <> '' and not contains(url, ' ') and regexp_full_match(url, 'https?://[^/]*(/.*)?') and regexp_full_match(regexp_extract(url, '^https?://([^/:]*)', 1), '([A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?)(\\.[A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?)+')
-  and (not regexp_matches(url, '^https?://[^/:]*:') or coalesce(try_cast(regexp_extract(url, '^https?://[^/:]*:([^/]*)', 1) as int) between 0 and 65535, false)) as valid
-from (select request_id, list_extract({_URLS!r}, cast(request_id % {len(_URLS)} as int) + 1) as url from request)""")
-def f15_validate_url(request):
-    """An address: its scheme, a host of two labels or more of letters, digits and inner hyphens, and a port if it names one."""
-    url = F.array(*map(F.lit, _URLS))[(F.col("request_id") % len(_URLS)).cast("int")]
-    rows = request.select("request_id", url.alias("url")).withColumn("place", F.regexp_extract("url", "^https?://([^/]*)", 1))
-    host, port = F.split("place", ":", 2)[0], F.try_element_at(F.split("place", ":", 2), F.lit(2))
-    labels = F.split(host, r"\.")
-    good = F.forall(labels, lambda x: x.rlike("^[A-Za-z0-9-]{1,63}$") & ~x.startswith("-") & ~x.endswith("-")) & (F.size(labels) >= 2)
-    fine = port.isNull() | F.coalesce(F.try_to_number(F.when(port.rlike("^[0-9]{1,5}$"), port), F.lit("99999")) <= 65535, F.lit(False))
-    shape = F.col("url").rlike("^https?://") & ~F.contains("url", F.lit(" ")) & (F.octet_length("url") <= 2048)
-    return rows.select("request_id", "url", (shape & good & fine).alias("valid"))
-
-
-_TIMES = ["2026-10-01T00:00:00Z", "2026-02-30T00:00:00Z", "2026-10-01T00:00:00+09:00", "", "2026-10-01T00:00:00.25Z", "2026-10-01"]
-
-
-@rule("request", sql=f"""select request_id, case when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]+)?Z') then try_cast(replace(left(t, len(t) - 1), 'T', ' ') as timestamp) end as at
-from (select request_id, list_extract({_TIMES!r}, cast(request_id % {len(_TIMES)} as int) + 1) as t from request)""")
-def f14_timestamps(request):
-    """Instants of texts in UTC that end in Z and have 40 characters at most; null where a text is none."""
-    text = F.array(*map(F.lit, _TIMES))[(F.col("request_id") % len(_TIMES)).cast("int")]
-    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$") & (F.octet_length(text) <= 40)
-    return request.select("request_id", F.when(shape, F.try_to_timestamp(text)).alias("at"))
-
-
-@rule("ramp", sql="select id, case when kind = 'general_entry' then regexp_replace(trim(label), '入口$', '') else regexp_replace(trim(label), '出口$', '') end = name as matches from (select *, concat(case when id % 3 = 0 then ' ' else '' end, name, case id % 4 when 0 then '入口' when 1 then '出口' else '' end) as label from ramp)")
-def f17_endpoint_label(ramp):
-    """Whether a ramp's name is a table's label, without its suffix for entries or exits."""
-    label = F.concat(F.when(F.col("id") % 3 == 0, " ").otherwise(""), "name", F.when(F.col("id") % 4 == 0, "入口").when(F.col("id") % 4 == 1, "出口").otherwise(""))
-    cut = lambda end: F.when(F.trim(label).endswith(end), F.substr(F.trim(label), F.lit(1), F.length(F.trim(label)) - len(end))).otherwise(F.trim(label))
-    return ramp.select("id", (F.when(F.col("kind") == "general_entry", cut("入口")).otherwise(cut("出口")) == F.col("name")).alias("matches"))
-
-
-@rule("edge", sql="select edge_id, try_cast(regexp_extract(t, '^e:w([0-9]+)', 1) as bigint) as way_id, try_cast(regexp_extract(n, '^n:([0-9]+)$', 1) as bigint) as node_id from (select edge_id, case source % 3 when 0 then concat('e:w', cast(source as varchar), ':0:f') when 1 then edge_id else concat('x', edge_id) end as t, case source % 2 when 0 then concat('n:', cast(target as varchar)) else concat('m:', cast(target as varchar)) end as n from edge)")
-def f18_parse_ids(edge):
-    """The way of an edge id and the node of a node id; null where an id has another form."""
-    source = F.col("source").cast("string")
-    text = F.when(F.col("source") % 3 == 0, F.concat(F.lit("e:w"), source, F.lit(":0:f"))).when(F.col("source") % 3 == 1, F.col("edge_id")).otherwise(F.concat(F.lit("x"), "edge_id"))
-    node = F.concat(F.when(F.col("source") % 2 == 0, "n:").otherwise("m:"), F.col("target").cast("string"))
-    number = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit("")).try_cast("long")
-    return edge.select("edge_id", number(text, r"^e:w(\d+)").alias("way_id"), number(node, r"^n:(\d+)$").alias("node_id"))
-
-
-@rule("edge", sql="select route, string_agg(concat(cast(strlen(p) as varchar), ':', p), '' order by i) as candidate_id from (select route, cast(-1 as bigint) as i, concat('pair:', route) as p from edge where pos = 0 union all select route, pos, edge_id from edge) group by route")
-def f11_candidate_id(edge):
-    """A candidate's id: the pair's and the edges' ids in order, each after its length in bytes."""
-    whole = edge.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "edge_id"))), lambda x: x["edge_id"]).alias("ids"))
-    parts = F.concat(F.array(F.concat(F.lit("pair:"), "route")), F.col("ids"))
-    return whole.select("route", F.array_join(F.transform(parts, lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)), "").alias("candidate_id"))
-
-
-@rule("request", sql="""select rule, request_id from (select request_id, request_id % 11 = 0 as no_origin, request_id % 13 = 0 as both_origins, case when request_id % 17 = 0 then 91.0 else lat end as lat, case when request_id % 19 = 0 then 0 else min_minutes end as least, max_minutes + case when request_id % 23 = 0 then 200 else 0 end as most, request_id % 29 = 0 as other_release from request) r,
-  (values ('release'), ('origin'), ('coordinates'), ('window')) as v(rule) where case rule when 'release' then other_release when 'origin' then no_origin <> both_origins or no_origin and both_origins when 'coordinates' then not no_origin and not (lat between -90 and 90) else least < 1 or least > most or most > 240 end""")
-def v02_request(request):
-    """What is wrong with a request: its release, not exactly one origin, coordinates out of range, or a window that isn't 1 <= least <= most <= 240."""
-    r = F.col("request_id")
-    rows = request.select(
-        "request_id", (r % 11 == 0).alias("none"), (r % 13 == 0).alias("two"), F.when(r % 17 == 0, 91.0).otherwise(F.col("lat")).alias("lat"),
-        F.when(r % 19 == 0, 0).otherwise(F.col("min_minutes")).alias("least"), (F.col("max_minutes") + F.when(r % 23 == 0, 200).otherwise(0)).alias("most"), (r % 29 == 0).alias("other"),
-    )
-    broken = {"release": F.col("other"), "origin": F.col("none") | F.col("two"), "coordinates": ~F.col("none") & ~F.col("lat").between(-90, 90), "window": ~((F.col("least") >= 1) & (F.col("least") <= F.col("most")) & (F.col("most") <= 240))}
-    return rows.select(F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in broken.items())))).alias("rule"), "request_id")
-
-
-# --- paths ----------------------------------------------------------------------------------------
-
-
-@rule("edge", sql="""select route, string_agg(name, ',' order by first) as names from (select route, name, min(pos) as first from (select route, pos, concat('road ', cast(source % 4 as varchar)) as name from edge where source % 9 <> 0) group by route, name) group by route""")
-def a04_road_names(edge):
-    """Names along a lap, each where it first comes; edges without one don't count."""
-    name = F.when(F.col("source") % 9 != 0, F.concat(F.lit("road "), (F.col("source") % 4).cast("string")))
-    along = F.transform(F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("pos", name.alias("name"))))), lambda x: x["name"])
-    return edge.groupBy("route").agg(along.alias("all")).where(F.size("all") > 0).select("route", F.array_join(F.array_distinct("all"), ",").alias("names"))
-
-
-@rule("edge", sql="""select a.route, a.part as one, b.part as other, sum(least(a.m, b.m))::bigint as shared, (max(a.total) + max(b.total) - sum(least(a.m, b.m)))::bigint as both, sum(least(a.m, b.m)) * 5 >= (max(a.total) + max(b.total) - sum(least(a.m, b.m))) * 4 as alike from (
-  select route, part, edge_id, meters as m, sum(meters) over (partition by route, part) as total from (select route, edge_id, meters, unnest(case when source % 10 = 0 then [0] when source % 10 = 1 then [1] when source % 5 = 2 then [0, 2] else [0, 1, 2] end) as part from edge)) a
-join (select route, part, edge_id, meters as m, sum(meters) over (partition by route, part) as total from (select route, edge_id, meters, unnest(case when source % 10 = 0 then [0] when source % 10 = 1 then [1] when source % 5 = 2 then [0, 2] else [0, 1, 2] end) as part from edge)) b
-on b.route = a.route and b.edge_id = a.edge_id and b.part > a.part group by a.route, a.part, b.part""")
-def a15_shared_metres(edge):
-    """Metres that two variants of a lap share and that either has, and whether that is four fifths: intersections and unions of sets of edges."""
-    s = F.col("source")
-    part = F.when(s % 10 == 0, F.array(F.lit(0))).when(s % 10 == 1, F.array(F.lit(1))).when(s % 5 == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    laps = edge.select("route", F.explode(part).alias("part"), F.struct("edge_id", "meters").alias("e")).groupBy("route", "part").agg(F.collect_set("e").alias("edges"))
-    other = laps.select("route", F.col("part").alias("other"), F.col("edges").alias("more"))
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, e: t + e["meters"])
-    pairs = laps.join(other, "route").where("part < other").select("route", F.col("part").alias("one"), "other", total(F.array_intersect("edges", "more")).alias("shared"), total(F.array_union("edges", "more")).alias("both")).where("shared > 0")
-    return pairs.withColumn("alike", F.col("shared") * 5 >= F.col("both") * 4)
-
-
-@rule("edge", sql="""select route, coalesce(min(start) filter (where hit), -1) as first from (
-  select route, pos as start, kind = 1 and lead(kind, 1) over w = 0 and lead(kind, 2) over w = 1 as hit from (select route, pos, source % 2 as kind from edge) window w as (partition by route order by pos)) group by route""")
-def w11_subsequence(edge):
-    """Where a short sequence (odd, even, odd) first stands in a lap at consecutive places; -1 where it doesn't."""
-    lap = edge.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("source") % 2).alias("kind")))), lambda x: x["kind"]).alias("kinds"))
-    needle = F.array(F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long"))
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(F.size("kinds") - 2, F.lit(1))), lambda i: F.slice("kinds", i, 3) == needle)
-    return lap.select("route", F.coalesce(F.try_element_at(spots, F.lit(1)) - 1, F.lit(-1)).cast("long").alias("first"))
-
-
-@rule("edge", sql="select route, bool_and(ok) and max(stop) = max(n) as tiles from (select route, start, stop, n, start = coalesce(lag(stop) over (partition by route order by leg), 0) and stop > start and stop <= n as ok from (select route, leg, case when leg = 1 and anchor % 6 = 0 then start + 1 else start end as start, stop, n from (select route, pos // 20 as leg, min(pos) as start, max(pos) + 1 as stop, min(min(source)) over (partition by route) as anchor, sum(count(*)) over (partition by route) as n from edge group by route, pos // 20))) group by route")
-def w08_legs_tile(edge):
-    """Whether the legs of a lap follow each other from its first edge to its last, without a gap or an overlap; every sixth has a gap."""
-    leg = edge.withColumn("leg", F.expr("pos div 20")).groupBy("route", "leg").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.min("source").alias("least"), F.count("*").alias("n"))
-    whole = leg.groupBy("route").agg(F.sum("n").alias("edges"), F.min("least").alias("anchor"))
-    legs = leg.join(whole, "route").withColumn("start", F.when((F.col("leg") == 1) & (F.col("anchor") % 6 == 0), F.col("start") + 1).otherwise(F.col("start")))
-    before = F.coalesce(F.lag("stop").over(Window.partitionBy("route").orderBy("leg")), F.lit(0).cast("long"))
-    good = (F.col("start") == before) & (F.col("stop") > F.col("start")) & (F.col("stop") <= F.col("edges"))
-    return legs.withColumn("good", good).groupBy("route").agg((F.bool_and("good") & (F.max("stop") == F.max("edges"))).alias("tiles"))
-
-
-@rule("member", sql="select relation, kind, bool_and(coalesce(pos = before + 1, true)) as in_order from (select relation, kind, pos, lag(pos) over (partition by relation, kind order by pos) as before from member) group by relation, kind")
-def w10_consecutive(member):
-    """Whether the places of a relation's ways (and of its nodes) follow each other one by one."""
-    return member.groupBy("relation", "kind").agg((F.max("pos") - F.min("pos") + 1 == F.count("*")).alias("in_order"))
-
-
-@rule("edge", sql="select route, label, string_agg(edge_id, ',' order by pos) as edges from (select *, case when source % 3 = 0 then 'outer' else 'inner' end as label from edge) group by route, label")
-def u05_merge_memberships(edge):
-    """Memberships of one route and direction as one, their edges in order."""
-    label = F.when(F.col("source") % 3 == 0, "outer").otherwise("inner")
-    parts = edge.groupBy("route", label.alias("label"), F.expr("pos div 10").alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "edge_id"))).alias("edges"))
-    merged = parts.groupBy("route", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "edges"))), lambda x: x["edges"])).alias("edges"))
-    return merged.select("route", "label", F.array_join(F.transform("edges", lambda x: x["edge_id"]), ",").alias("edges"))
-
-
-@rule("edge", "node", sql="""select edge_id, round(dx / d, 6) as east, round(dy / d, 6) as north from (select edge_id, dx, dy, sqrt(dx * dx + dy * dy) as d from (
-  select e.edge_id, b.lon * 111320 * cos(radians(b.lat)) - a.lon * 111320 * cos(radians(a.lat)) as dx, (b.lat - a.lat) * 111320 as dy from edge e join node a on a.id = e.source join node b on b.id = e.target)) where d > 0""")
-def f21_heading(edge, node):
-    """Unit vector of an edge on a plane of 111,320 m a degree; edges without a length have none."""
-    flat = node.select("id", (F.col("lon") * 111320 * F.cos(F.radians("lat"))).alias("x"), (F.col("lat") * 111320).alias("y"))
-    a, b = (flat.select(F.col("id").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in ("source", "target"))
-    both = edge.join(a, "source").join(b, "target").select("edge_id", (F.col("x_target") - F.col("x_source")).alias("dx"), (F.col("y_target") - F.col("y_source")).alias("dy"))
-    length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return both.where(length > 0).select("edge_id", F.round(F.col("dx") / length, 6).alias("east"), F.round(F.col("dy") / length, 6).alias("north"))
-
-
-@rule("request", sql="select request_id, cast(floor(lat / (200 / 111195.0)) as bigint) as cell_row, cast(floor(lon / (200 / 91195.0)) as bigint) as cell_column from request")
-def f06_grid_cell(request):
-    """Cell of a grid of about 200 m."""
-    return request.select("request_id", F.floor(F.col("lat") / F.lit(200 / 111195.0)).cast("long").alias("cell_row"), F.floor(F.col("lon") / F.lit(200 / 91195.0)).cast("long").alias("cell_column"))
-
-
-@rule("edge", sql="""select a.edge_id, count(o.edge_id) as onward, string_agg(o.edge_id, ',' order by o.edge_id) as ids from edge a left join edge o on o.source = a.target group by a.edge_id""")
-def j02_adjacency(edge):
-    """The edges that go on from each edge, by id."""
-    out = edge.groupBy(F.col("source").alias("target")).agg(F.array_sort(F.collect_list("edge_id")).alias("ids"))
-    joined = edge.select("edge_id", "target").join(out, "target", "left")
-    return joined.select("edge_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("onward"), F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("ids"))
-
-
-# --- turn restrictions ----------------------------------------------------------------------------
-
-
-_OUTCOME_SQL = """case when value is null then case when conditional then 'skipped_conditional' else 'skipped_missing_elements' end when value not in ('no_left_turn', 'no_right_turn', 'no_u_turn', 'no_straight_on', 'only_left_turn', 'only_right_turn', 'only_straight_on', 'only_u_turn') then 'skipped_unrecognized'
-  when from_way is null or to_way is null then 'skipped_missing_elements' when via_node is null and via_way is null then 'skipped_no_via' when via_node is not null then case when not exists (select 1 from netway f where f.net = r.net and f.way = r.from_way and f.to_node = r.via_node)
-    or not exists (select 1 from netway t where t.net = r.net and t.way = r.to_way and t.from_node = r.via_node) then 'skipped_missing_elements' when value like 'no%' then 'no_turn_via_node' else 'only_turn_via_node' end
-  when not exists (select 1 from netway f where f.net = r.net and f.way = r.from_way) or not exists (select 1 from netway t where t.net = r.net and t.way = r.to_way) then 'skipped_missing_elements' when value like 'only%' then 'skipped_only_via_way' else 'via_way' end"""
-
-
-def _outcomes(restriction: DataFrame, netway: DataFrame) -> DataFrame:
-    """restriction with its outcome: the first thing that keeps it from being applied, or how it is."""
-    ways = netway.groupBy(F.col("net"), F.col("way")).agg(F.collect_set("to_node").alias("ends"), F.collect_set("from_node").alias("starts"))
-    into = ways.select("net", F.col("way").alias("from_way"), F.col("ends").alias("into"))
-    out = ways.select("net", F.col("way").alias("to_way"), F.col("starts").alias("out"))
-    both = restriction.join(into, ["net", "from_way"], "left").join(out, ["net", "to_way"], "left")
-    kinds = [f"{a}_{b}" for a in ("no", "only") for b in ("left_turn", "right_turn", "u_turn", "straight_on")]
-    value, absent = F.col("value"), F.col("into").isNull() | F.col("out").isNull()
-    apart = F.coalesce(absent | ~F.array_contains("into", F.col("via_node")) | ~F.array_contains("out", F.col("via_node")), F.lit(True))
-    no = value.startswith("no_")
-    outcome = (
-        F.when(value.isNull(), F.when(F.col("conditional"), "skipped_conditional").otherwise("skipped_missing_elements")).when(~value.isin(kinds), "skipped_unrecognized")
-        .when(F.col("from_way").isNull() | F.col("to_way").isNull(), "skipped_missing_elements").when(F.col("via_node").isNull() & F.col("via_way").isNull(), "skipped_no_via")
-        .when(F.col("via_node").isNotNull(), F.when(apart, "skipped_missing_elements").when(no, "no_turn_via_node").otherwise("only_turn_via_node"))
-        .when(absent, "skipped_missing_elements").when(no, "via_way").otherwise("skipped_only_via_way")
-    )
-    return both.withColumn("outcome", outcome)
-
-
-@rule("restriction", "netway", sql=f"select outcome, count(*) as relations, (select count(*) from restriction) as total from (select {_OUTCOME_SQL} as outcome from restriction r) group by outcome")
-def g15_restriction_accounting(restriction, netway):
-    """How many relations came to each outcome; the outcomes add up to all relations."""
-    counts = _outcomes(restriction, netway).groupBy("outcome").agg(F.count("*").alias("relations"))
-    return counts.withColumn("total", F.sum("relations").over(Window.partitionBy()))
-
-
-@rule("restriction", "netway", sql=f"""select distinct f.edge_id as in_edge, t.edge_id as out_edge from (select *, {_OUTCOME_SQL} as outcome from restriction r) r join netway f on f.net = r.net and f.way = r.from_way and f.to_node = r.via_node join netway t on t.net = r.net and t.way = r.to_way and t.from_node = r.via_node where outcome = 'no_turn_via_node'""")
-def g12_no_turns(restriction, netway):
-    """Pairs of edges over a node that a no-turn forbids: each edge of the way in with each of the way out."""
-    found = _outcomes(restriction, netway).where("outcome = 'no_turn_via_node'").select("net", "from_way", "to_way", "via_node")
-    into = netway.select("net", F.col("way").alias("from_way"), F.col("to_node").alias("via_node"), F.col("edge_id").alias("in_edge"))
-    out = netway.select("net", F.col("way").alias("to_way"), F.col("from_node").alias("via_node"), F.col("edge_id").alias("out_edge"))
-    return found.join(into, ["net", "from_way", "via_node"]).join(out, ["net", "to_way", "via_node"]).select("in_edge", "out_edge").distinct()
-
-
-@rule("restriction", "netway", sql=f"""select distinct f.edge_id as in_edge, o.edge_id as out_edge from (select *, {_OUTCOME_SQL} as outcome from restriction r) r join netway f on f.net = r.net and f.way = r.from_way and f.to_node = r.via_node join netway o on o.net = r.net and o.from_node = r.via_node where outcome = 'only_turn_via_node' and o.way <> r.to_way""")
-def g13_only_turns(restriction, netway):
-    """Pairs of edges that an only-turn forbids: the way in with all edges that leave the node but those of the way out; each once."""
-    found = _outcomes(restriction, netway).where("outcome = 'only_turn_via_node'").select("net", "from_way", "to_way", "via_node")
-    into = netway.select("net", F.col("way").alias("from_way"), F.col("to_node").alias("via_node"), F.col("edge_id").alias("in_edge"))
-    leaving = netway.select("net", F.col("from_node").alias("via_node"), F.col("way").alias("out_way"), F.col("edge_id").alias("out_edge"))
-    turns = found.join(into, ["net", "from_way", "via_node"]).join(leaving, ["net", "via_node"])
-    return turns.where("out_way <> to_way").select("in_edge", "out_edge").distinct()
-
-
-@rule("edge", "node", sql="""with flat as (select e.edge_id, e.route, (a.y + b.y) / 2 as y, (a.x + b.x) / 2 as x, (b.x - a.x) / l as dx, (b.y - a.y) / l as dy from (select e.*, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as l from edge e join p a on a.id = e.source join p b on b.id = e.target) e join p a on a.id = e.source join p b on b.id = e.target where l > 0)
-select f.edge_id, g.edge_id as other, case when f.dx * g.dx + f.dy * g.dy < 0 then 'opposite' else 'same' end as heading from flat f join flat g on g.edge_id <> f.edge_id and g.route <> f.route and abs(f.x - g.x) <= 400 and abs(f.y - g.y) <= 400
-where (f.dx * g.dx + f.dy * g.dy <= -0.95 and sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)) <= 60) or (f.dx * g.dx + f.dy * g.dy >= 0.99 and sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)) <= 300)""".replace("with flat as", "with p as (select id, lat * 111320 as y, lon * 111320 * cos(radians(lat)) as x from node), flat as"))
-def j18_parallel_edges(edge, node):
-    """Edges of other routes beside an edge: the opposite way (cosine -0.95 or less) within 60 m of its middle, or the same way (0.99 or more) within 300 m.
-
-    Middles lie in cells of 300 m; each meets those of the nine cells around it.
-    """
-    flat = node.select("id", (F.col("lon") * 111320 * F.cos(F.radians("lat"))).alias("x"), (F.col("lat") * 111320).alias("y"))
-    a, b = (flat.select(F.col("id").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in ("source", "target"))
-    dx, dy = F.col("x_target") - F.col("x_source"), F.col("y_target") - F.col("y_source")
-    length = F.sqrt(dx * dx + dy * dy)
-    middles = edge.join(a, "source").join(b, "target").where(length > 0).select("edge_id", "route", ((F.col("x_source") + F.col("x_target")) / 2).alias("x"), ((F.col("y_source") + F.col("y_target")) / 2).alias("y"), (dx / length).alias("dx"), (dy / length).alias("dy"))
-    celled = middles.withColumns({"row": F.floor(F.col("y") / 300), "column": F.floor(F.col("x") / 300)})
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    around = celled.withColumn("step", F.explode(near)).withColumns({"row": F.col("row") + F.col("step.i"), "column": F.col("column") + F.col("step.j")})
-    other = celled.select("row", "column", *(F.col(c).alias(f"other_{c}") for c in ("edge_id", "route", "x", "y", "dx", "dy")))
-    cosine = F.col("dx") * F.col("other_dx") + F.col("dy") * F.col("other_dy")
-    away = F.sqrt(F.pow(F.col("x") - F.col("other_x"), 2) + F.pow(F.col("y") - F.col("other_y"), 2))
-    met = around.join(other, ["row", "column"]).where((F.col("edge_id") != F.col("other_edge_id")) & (F.col("route") != F.col("other_route")))
-    beside = met.where((cosine <= -0.95) & (away <= 60) | (cosine >= 0.99) & (away <= 300))
-    return beside.select("edge_id", F.col("other_edge_id").alias("other"), F.when(cosine < 0, "opposite").otherwise("same").alias("heading"))
-
-
-# --- bindings, streets, components ----------------------------------------------------------------
-
-
-@rule("binding", sql="""select b.ramp, case when count(o.ramp) = 1 then min(o.ramp) * 10 end as edge, case when count(o.ramp) = 0 then 'missing' when count(o.ramp) = 1 then 'bound' else 'ambiguous' end as state
-from binding b left join (select * from binding where ramp % 6 <> 0) o on o.way = b.way and o.kind = b.kind and o.from_node = b.from_node and o.to_node = b.to_node group by b.ramp""")
-def j09_bind_ramps(binding):
-    """A ramp's edge: the one with its way, kind and both nodes; none, or several, is an error. Edges are here those of most ramps."""
-    keys = ["way", "kind", "from_node", "to_node"]
-    edges = binding.where("ramp % 6 <> 0").groupBy(*keys).agg(F.count("*").alias("n"), (F.min("ramp") * 10).alias("edge"))
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "bound").otherwise("ambiguous")
-    return binding.join(edges, keys, "left").select("ramp", F.when(F.col("n") == 1, F.col("edge")).alias("edge"), state.alias("state"))
-
-
-@rule("ramp", sql="""select e.id, case when count(x.id) = 1 then min(x.id) when count(x.id) filter (where x.direction = e.direction) = 1 then min(x.id) filter (where x.direction = e.direction) end as exit_ramp
-from (select id, direction, id // 4 as pad from ramp where kind = 'general_entry') e left join (select id, direction, id // 4 as pad from ramp where kind <> 'general_entry') x on x.pad = e.pad group by e.id, e.direction""")
-def j11_shared_exit(ramp):
-    """The exit of a place if there is one; of several, the only one in the entry's direction; else unresolved."""
-    entries = ramp.where("kind = 'general_entry'").select("id", "direction", F.expr("id div 4").alias("pad"))
-    exits = ramp.where("kind <> 'general_entry'").select(F.expr("id div 4").alias("pad"), F.col("id").alias("exit"), F.col("direction").alias("way"))
-    met = entries.join(exits, "pad", "left").withColumn("same", F.when(F.col("way") == F.col("direction"), F.col("exit")))
-    found = met.groupBy("id").agg(F.count("exit").alias("n"), F.min("exit").alias("one"), F.count("same").alias("m"), F.min("same").alias("own"))
-    return found.select("id", F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("own")).alias("exit_ramp"))
-
-
-_FLAT_SQL = "sqrt(pow(radians(s.lon - n.lon) * cos(radians((s.lat + n.lat) * 0.5)) * 6371000, 2) + pow(radians(s.lat - n.lat) * 6371000, 2))"
-
-
-def _streets(node: DataFrame, street: DataFrame, limit: float, cell: float) -> DataFrame:
-    """Each node's streets within the limit, by cells of so many degrees; a node meets as many cells around it as the limit may reach."""
-    reach = F.ceil(F.lit(limit / 111195.0 / cell)).cast("int")
-    wide = F.ceil(F.lit(limit / 111195.0 / cell) / F.cos(F.radians(F.abs("lat") + 0.01))).cast("int")
-    at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
-    held = street.select(F.col("id").alias("street"), F.col("lat").alias("street_lat"), F.col("lon").alias("street_lon"), at("lat").alias("row"), at("lon").alias("column"))
-    around = node.select("id", "lat", "lon", F.explode(F.sequence(at("lat") - reach, at("lat") + reach)).alias("row")).withColumn("column", F.explode(F.sequence(at("lon") - wide, at("lon") + wide)))
-    met = around.join(held, ["row", "column"])
-    from orbitway.functions import geo
-
-    return met.withColumn("away", F.expr(geo.equirectangular("lat", "lon", "street_lat", "street_lon"))).where(F.col("away") <= limit)
-
-
-@rule("node", "street", sql=f"select id, street, meters from (select n.id, s.id as street, round({_FLAT_SQL}, 3) as meters, row_number() over (partition by n.id order by round({_FLAT_SQL}, 3), s.id) as turn from node n join street s on abs(s.lat - n.lat) < 0.003 and abs(s.lon - n.lon) < 0.003 where {_FLAT_SQL} <= 150) where turn = 1")
-def j05_nearest_street(node, street):
-    """The nearest street within 150 m; ties (to the millimetre) to the smaller id."""
-    near = _streets(node, street, 150.0, 0.0005).withColumn("meters", F.round("away", 3))
-    return near.groupBy("id").agg(F.min(F.struct("meters", "street")).alias("best")).select("id", "best.street", "best.meters")
-
-
-@rule("node", "street", "waynode", sql=f"select n.id, case when exists (select 1 from waynode w where w.node = n.id and w.way % 4 = 0) then 'shared_node' when exists (select 1 from street s where abs(s.lat - n.lat) < 0.003 and abs(s.lon - n.lon) < 0.003 and {_FLAT_SQL} <= 100) then 'no_shared_node' else 'unavailable' end as evidence from node n")
-def g07_surface_evidence(node, street, waynode):
-    """What shows whether a ramp's end is at street level: a node that a street shares; none, though a street lies within 100 m; or nothing, where no street is mapped so near."""
-    shared = waynode.where("way % 4 = 0").select(F.col("node").alias("id")).distinct().withColumn("shared", F.lit(True))
-    mapped = _streets(node, street, 100.0, 0.0005).select("id").distinct().withColumn("mapped", F.lit(True))
+    mapped = streets_near(node, street, 100.0, 0.0005).select("id").distinct().withColumn("mapped", F.lit(True))
     both = node.join(shared, "id", "left").join(mapped, "id", "left")
     return both.select("id", F.when(F.col("shared"), "shared_node").when(F.col("mapped"), "no_shared_node").otherwise("unavailable").alias("evidence"))
 
