@@ -83,6 +83,11 @@ def g08_ramp_kind(segment, endpoint):
     is at street level: as a shared street node shows or, where no street is mapped, the node's tag. Where
     the two differ the street decides; where neither says anything the link counts as expressway.
     """
+    return ramp_kinds(segment, endpoint).select("edge_id", "kind", "note")
+
+
+def ramp_kinds(segment: DataFrame, endpoint: DataFrame) -> DataFrame:
+    """edge_id, side (what the links around say), kind, note, unmapped (no street shows anything at its end) of every link; endpoint: node, evidence, tag."""
     sound = segment.where("target is not null")
     into = sound.select(F.col("target").alias("source"), F.lit(True).alias("led")).distinct()
     out = sound.select(F.col("source").alias("target"), F.lit(True).alias("leads")).distinct()
@@ -94,7 +99,7 @@ def g08_ramp_kind(segment, endpoint):
     tagged = F.when(F.col("tag") == "traffic_signals", True).when(F.col("tag") == "motorway_junction", False)
     ramp = F.col("side").isin("entry", "exit")
     note = F.when(street & ~tagged, "street against junction").when(~street & tagged, "no street against signals").when(street.isNull() & tagged.isNull(), "undecidable")
-    return known.select("edge_id", F.when(ramp & ~F.coalesce(street, tagged, F.lit(False)), "shutoko").otherwise(F.col("side")).alias("kind"), F.when(ramp, note).alias("note"))
+    return known.select("edge_id", "side", F.when(ramp & ~F.coalesce(street, tagged, F.lit(False)), "shutoko").otherwise(F.col("side")).alias("kind"), F.when(ramp, note).alias("note"), (ramp & street.isNull()).alias("unmapped"))
 
 
 # --- restrictions over ways -----------------------------------------------------------------------

@@ -192,6 +192,22 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         union all select concat('o:', cast(c_custkey as {string})), c_custkey + 1000000, 'inner' from customer where c_custkey % 23 <> 0 union all select concat('o2:', cast(c_custkey as {string})), c_custkey + 1000000, case when c_custkey % 11 = 0 then 'inner' else 'outer' end from customer where c_custkey % 2 = 0"""),
     "paidassign": ((), """select o_orderkey as assignment, o_orderkey as pair, concat('i:', cast(o_custkey as {string})) as entry_ramp, case when o_custkey % 2 = 0 and o_custkey % 3 = 0 and o_custkey % 11 <> 0 then concat('o2:', cast(o_custkey as {string})) when o_orderkey % 17 = 0 then 'none' else concat('o:', cast(o_custkey as {string})) end as exit_ramp,
         cast(100 * (35 + o_orderkey % 200) as bigint) as meters from orders where o_orderkey % 13 <> 0"""),
+    # Sites of a network as map elements: a mainline to the next site, a ramp on and one off, streets that touch them, run by or aren't mapped, links on their own, and restrictions.
+    "sitenode": ((), """select 100 * p_partkey + j as node, cast(35.5 as double) + cast((p_partkey * 6151) % 10000 as double) / cast(25000 as double) + cast(dy as double) / cast(10000 as double) as lat,
+        cast(139.5 as double) + cast((p_partkey * 7919) % 10000 as double) / cast(20000 as double) as lon, case when j = 2 and p_partkey % 5 = 0 or j = 4 and p_partkey % 3 = 0 then 'traffic_signals' when j = 2 and p_partkey % 5 = 1 or j = 4 and p_partkey % 4 = 1 then 'motorway_junction' when j = 2 and p_partkey % 5 = 2 then 'crossing' end as tag
+        from part, (values (0, 0), (1, 10), (2, 20), (3, -10), (4, -20), (6, 100), (7, 110), (8, 24), (9, 26), (10, -24), (11, -300)) as k(j, dy) where not (p_partkey % 37 = 5 and j = 1)"""),
+    "siteway": ((), """select 10 * p_partkey + v as way, case v when 0 then 'motorway' when 4 then case p_partkey % 4 when 0 then 'residential' when 1 then 'primary' when 2 then 'service' else 'footway' end when 5 then case p_partkey % 5 when 0 then 'road' else 'tertiary' end when 7 then null else 'motorway_link' end as highway,
+        case when v = 4 and p_partkey % 8 = 2 then 'alley' when v = 4 and p_partkey % 16 = 6 then 'driveway' end as service, case when v = 0 then case p_partkey % 6 when 0 then null when 1 then '-1' else 'yes' end when v = 1 and p_partkey % 8 = 0 then 'no' when v = 2 and p_partkey % 13 = 0 then 'reverse' when v in (1, 2) then 'yes' end as oneway,
+        case when v = 0 then case p_partkey % 11 when 0 then 'Other' when 1 then '首都高速道路' when 2 then 'Metropolitan Expressway Co.' end end as operator, case when v = 0 and p_partkey % 11 = 3 then 'SHUTO Metropolitan Expressway' when v = 0 and p_partkey % 11 = 0 then 'JP:E' end as network,
+        case when v = 0 and p_partkey % 11 = 0 then 'E20; 12' when v = 0 and p_partkey % 11 > 3 then 'E1; c2' end as ref, case when p_partkey % 3 = 0 then concat('Line ', cast(p_partkey % 7 as {string})) end as name, case when p_partkey % 2 = 0 then concat('線', cast(p_partkey % 7 as {string})) end as name_ja
+        from part, (values (0), (1), (2), (3), (4), (5), (6), (7)) as k(v) where not (v = 3 and p_partkey % 5 <> 0 or v = 4 and p_partkey % 3 = 2 or v = 5 and p_partkey % 7 > 3 or v = 6 and p_partkey % 10 <> 0 or v = 7 and p_partkey % 12 <> 0)"""),
+    "siteplace": (("siteway",), """select way, pos, (way - v) * 10 + case when v = 4 and pos = 1 and way {div} 10 % 3 = 0 then 2 when v = 5 and pos = 1 and way {div} 10 % 7 < 2 then 4 else j end as node from siteway join (values (0, 0, 0), (0, 1, 100), (1, 0, 2), (1, 1, 1), (1, 2, 0), (2, 0, 0), (2, 1, 3), (2, 2, 4),
+        (3, 0, 6), (3, 1, 7), (4, 0, 8), (4, 1, 9), (5, 0, 10), (5, 1, 11), (6, 0, 0), (7, 0, 8), (7, 1, 9)) as k(v, pos, j) on way % 10 = v"""),
+    "siteturn": ((), """select p_partkey as relation, case p_partkey % 10 when 0 then 'no_left_turn' when 1 then 'only_left_turn' when 2 then null when 3 then 'no_entry' when 4 then 'only_right_turn' when 8 then 'only_straight_on' else 'no_u_turn' end as value, p_partkey % 20 = 2 as conditional,
+        case when p_partkey % 17 <> 3 then 10 * (p_partkey - 1) end as from_way, case when p_partkey % 2 = 0 and p_partkey % 19 <> 4 then 100 * p_partkey end as via_node, case when p_partkey % 2 = 1 and p_partkey % 23 <> 7 then 10 * p_partkey end as via_first,
+        case when p_partkey % 2 = 1 and p_partkey % 23 <> 7 then 10 * (p_partkey + case when p_partkey % 3 = 0 then 1 else 0 end) end as via_last, case when p_partkey % 29 = 0 then 10 * p_partkey + 3 when p_partkey % 2 = 0 then 10 * p_partkey + case when p_partkey % 5 = 0 then 2 else 0 end
+            else 10 * (p_partkey + case when p_partkey % 3 = 0 then 2 else 1 end) + 2 end as to_way from part
+        union all select 10000000 + p_partkey, 'only_straight_on', false, 10 * (p_partkey - 1), 100 * p_partkey, null, null, 10 * p_partkey + 2 from part where p_partkey % 8 = 0"""),
 }
 
 
