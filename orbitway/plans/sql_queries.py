@@ -300,10 +300,3 @@ def r27_first_exit(d):
 
 
 # --- validators: rule, entity, message; no rows where all is well ----------------------------------
-
-
-@query
-def v10_memberships(d):
-    return ("edge", "ring"), "select 'contiguous' as rule, route from ring r where exists (select 1 from edge e where e.route = r.route and e.pos >= r.edges) union all select 'short', route from ring where edges < 32"
-
-

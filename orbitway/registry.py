@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orbitway.functions.dialect import DUCK, SPARK
 from orbitway.operators.diversity import alike_sets, diverse
 from orbitway.operators.nearest import nearest
-from orbitway.plans import access_queries, build_queries, carriageway_queries, documents_queries, ground_queries, membership_queries, network_queries, pair_queries, rules, topology_queries
+from orbitway.plans import access_queries, build_queries, carriageway_queries, documents_queries, ground_queries, member_files, membership_queries, network_queries, pair_queries, rules, topology_queries
 from orbitway.plans.sql_queries import QUERIES as SHARED
 from orbitway.sources.networks import BASE, over, road
 from orbitway.sources.road import with_tables
@@ -46,8 +46,8 @@ def t06_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _spark(make) for name, make in SHARED.items()}
-QUERIES |= {"j03_knn_access": j03_knn_access, "t06_diversity": t06_diversity} | rules.QUERIES | network_queries.QUERIES | documents_queries.QUERIES | build_queries.QUERIES | carriageway_queries.QUERIES | ground_queries.QUERIES | pair_queries.QUERIES | access_queries.QUERIES | membership_queries.QUERIES | topology_queries.QUERIES
+QUERIES |= {"j03_knn_access": j03_knn_access, "t06_diversity": t06_diversity} | rules.QUERIES | network_queries.QUERIES | documents_queries.QUERIES | build_queries.QUERIES | carriageway_queries.QUERIES | ground_queries.QUERIES | pair_queries.QUERIES | access_queries.QUERIES | membership_queries.QUERIES | topology_queries.QUERIES | member_files.QUERIES
 ORACLE: dict[str, str] = {name: with_tables(*make(DUCK), DUCK) for name, make in SHARED.items()}
 ORACLE["j03_knn_access"] = with_tables(("access",), "select request_id, entry_id, cast(rank as int) as rank from access", DUCK)
 ORACLE["t06_diversity"] = with_tables(("access",), "select request_id, string_agg(cast(entry_id as varchar), ',' order by rank) as chosen from (select *, row_number() over (partition by request_id, route order by rank) as rn from access) where rn = 1 group by request_id", DUCK)
-ORACLE |= rules.ORACLE | network_queries.ORACLE | documents_queries.ORACLE | build_queries.ORACLE | carriageway_queries.ORACLE | ground_queries.ORACLE | pair_queries.ORACLE | access_queries.ORACLE | membership_queries.ORACLE | topology_queries.ORACLE
+ORACLE |= rules.ORACLE | network_queries.ORACLE | documents_queries.ORACLE | build_queries.ORACLE | carriageway_queries.ORACLE | ground_queries.ORACLE | pair_queries.ORACLE | access_queries.ORACLE | membership_queries.ORACLE | topology_queries.ORACLE | member_files.ORACLE

@@ -16,7 +16,7 @@ PROFILE = "etc_normal_car"
 
 
 #: The folder's tables that road tables are made of.
-BASE = ("part", "customer", "orders", "events")
+BASE = ("part", "customer", "orders", "events", "lineitem", "supplier")
 
 
 def over(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:

@@ -208,6 +208,30 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         case when p_partkey % 2 = 1 and p_partkey % 23 <> 7 then 10 * (p_partkey + case when p_partkey % 3 = 0 then 1 else 0 end) end as via_last, case when p_partkey % 29 = 0 then 10 * p_partkey + 3 when p_partkey % 2 = 0 then 10 * p_partkey + case when p_partkey % 5 = 0 then 2 else 0 end
             else 10 * (p_partkey + case when p_partkey % 3 = 0 then 2 else 1 end) + 2 end as to_way from part
         union all select 10000000 + p_partkey, 'only_straight_on', false, 10 * (p_partkey - 1), 100 * p_partkey, null, null, 10 * p_partkey + 2 from part where p_partkey % 8 = 0"""),
+    # Relations of the map, their ways, the edges of these, ids that somebody asks for.
+    "maprelation": ((), """select o_orderkey as relation, case when o_orderkey % 19 = 4 then 'way' when o_orderkey % 23 = 5 then 'node' else 'relation' end as element, case o_orderkey % 7 when 0 then 'multipolygon' when 1 then null else 'route' end as type,
+        case o_orderkey % 6 when 0 then 'C1' when 1 then '2' when 2 then 'B' when 3 then '' end as ref, case o_orderkey % 5 when 0 then 'road' when 1 then '2' when 2 then '' when 3 then 'C1' end as route from orders"""),
+    "mapway": ((), """select p_partkey as way, case p_partkey % 5 when 0 then 'motorway' when 4 then case when p_partkey % 2 = 0 then 'primary' end else 'motorway_link' end as highway, case p_partkey % 7 when 0 then 'C1' when 1 then ' c1; b' when 2 then '2,B' when 3 then ' ' when 4 then 'E1' end as ref,
+        case p_partkey % 11 when 0 then 'B' when 1 then ';, ' when 2 then 'C1' end as nat_ref, case p_partkey % 6 when 0 then concat('Loop ', cast(p_partkey % 3 as {string})) when 1 then '芝公園入口' when 2 then 'EXIT_ramp' end as name, case when p_partkey % 8 = 0 then 'Entry A' end as name_en, case when p_partkey % 13 = 0 then '霞が関出口' end as destination from part"""),
+    "mapwayedge": ((), """select p_partkey as way, case when p_partkey % 4 = 1 then 'entry' else 'shutoko' end as kind from part union all select p_partkey, 'exit' from part where p_partkey % 3 = 0"""),
+    "mapmember": ((), "select distinct l_orderkey as relation, l_partkey as way from lineitem"),
+    "mapasked": ((), "select c_custkey as request, cast(3 * c_custkey - 5 as bigint) as asked from customer"),
+    # Memberships of routes, and the pairs whose plans use them.
+    "planmember": ((), """select concat('route:', cast(s_suppkey as {string}), ':inner') as membership, cast(s_suppkey as {string}) as route_id, 'inner' as direction from supplier where s_suppkey % 17 <> 3"""),
+    "planrelation": ((), """select concat('route:', cast(s_suppkey as {string}), ':inner') as membership, case when i = 0 then cast(3 * s_suppkey as {string}) when i = 1 then cast(3 * s_suppkey + 1 as {string}) when i = 2 then concat('x', cast(s_suppkey as {string})) when i = 3 and s_suppkey % 2 = 0 then cast(3 * s_suppkey as {string}) end as relation
+        from supplier, (values (0), (1), (2), (3)) as k(i)"""),
+    "plancandidate": ((), "select concat('route:', cast(l_suppkey as {string}), ':inner') as membership, l_orderkey {div} 2 as pair, l_suppkey % 3 = 0 or l_linenumber % 4 <> 0 as resolved from lineitem where l_suppkey % 11 <> 5"),
+    # Files of memberships: a ring is a membership, 16 of its edges a segment; most are sound, the others have a fault each.
+    "filering": (("net",), """select split_part(net, ':', 1) as file, cast(row_number() over (partition by split_part(net, ':', 1) order by anchor) as bigint) as turn, net, anchor % 23 as fault, lag(net) over (partition by split_part(net, ':', 1) order by anchor) as before from net where pos = 0"""),
+    "filemember": (("filering",), """select file, turn, case fault when 3 then concat('route:', net, ':outer') when 6 then concat('route:', coalesce(before, net), ':inner') else concat('route:', case when fault = 1 then '' else net end, ':', case when fault = 2 then '' else 'inner' end) end as membership,
+        case fault when 1 then '' when 6 then coalesce(before, net) else net end as route_id, case when fault = 2 then '' else 'inner' end as direction, case when fault = 4 then 'osm-relation-role/v0' else 'osm-relation-role/v1' end as version from filering"""),
+    "filesegment": (("filering", "net"), """select file, turn, seg, case when fault = 7 and seg = 1 then '' when fault = 8 and seg = 1 then concat(net, '/0') else concat(net, '/', cast(seg as {string})) end as segment, case when seg % 3 = 2 then 'boundRamp' else 'relationMainline' end as kind,
+        case when seg % 3 = 2 and fault <> 21 or fault = 12 then null else net end as relation, case when fault = 9 then 'ABC' when fault = 11 and turn > 1 then repeat('e', 64) else repeat('d', 64) end as snapshot, case when seg % 3 = 2 or fault = 15 then concat('b:', net) end as evidence, fault = 16 as odd_hash,
+        case when seg % 3 = 2 and fault <> 22 then null when fault = 13 then '4,4' else concat(cast(4 * seg as {string}), ',', cast(4 * seg + case when seg % 2 = 0 then 1 else 3 end as {string})) end as indexes, case when seg % 3 = 2 and fault <> 22 then null when fault = 14 then seg % 2 <> 0 else seg % 2 = 0 end as in_order
+        from (select distinct f.*, n.pos {div} 16 as seg from filering f join net n on n.net = f.net) s where fault <> 5"""),
+    "fileedge": (("filering", "net"), """select file, turn, pos {div} 16 as seg, pos % 16 as place, case when fault = 17 and pos = 3 then concat('m:', cast(anchor as {string})) when fault = 18 and pos = 2 then 'm:none' else concat('m:', cast(id as {string})) end as edge_id,
+        case when fault = 18 and pos = 2 then 'm:none' else concat('m:', cast(case when fault = 17 and pos = 3 then anchor when fault = 10 and pos = 1 then 0 - id else id end as {string})) end as hashed_id from (select f.file, f.turn, f.fault, n.* from filering f join net n on n.net = f.net) m where not (fault = 19 and pos = 4)"""),
+    "filenetedge": (("filering", "net"), """select concat('m:', cast(id as {string})) as edge_id, id as source, coalesce(next_id, n.anchor) as target, case when fault = 20 and pos = 1 then case when pos {div} 16 % 3 = 2 then 'shutoko' else 'exit' end when pos {div} 16 % 3 = 2 then case when id % 2 = 0 then 'entry' else 'exit' end else 'shutoko' end as kind from filering f join net n on n.net = f.net"""),
 }
 
 
