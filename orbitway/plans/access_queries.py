@@ -29,7 +29,7 @@ ENTRIES = 3
 def accepted(request: DataFrame, entry: DataFrame, reachcap: DataFrame) -> DataFrame:
     """request_id, entry_id of the nearest entries within the request's distance; a distance of 0 accepts any."""
     found = nearest(request, entry, ENTRIES).select("request_id", "entry_id", "meters")
-    return found.join(reachcap, "request_id").where("cap = 0 or meters <= cap").select("request_id", "entry_id")
+    return found.join(reachcap.hint("merge"), "request_id").where("cap = 0 or meters <= cap").select("request_id", "entry_id")
 
 
 _NEAR = "select a.request_id, a.entry_id from access a join reachcap c on c.request_id = a.request_id where c.cap = 0 or a.meters <= c.cap"
