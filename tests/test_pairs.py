@@ -115,3 +115,10 @@ def test_bars_reach_over_the_ends():
     assert pairs.direct_path(net, "0", "2") == ["a", "c"] and pairs.direct_path(net, "0", "2", before="in") == ["b", "c"]
     assert pairs.direct_path(net, "0", "2", after="out") is None and pairs.direct_path(net, "0", "0") == [] and pairs.direct_path(net, "0", "0", "in", "out") is None
     assert list(itertools.islice(net.out["0"], 2))[0].id == "a"
+
+
+def test_of_equally_quick_paths_that_of_fewer_edges_wins():
+    """Three edges and two lead to a node in 15 seconds; the way of two, which is found later, goes on."""
+    hops = [("a", 0, 1, 5), ("b", 1, 2, 5), ("c", 2, 3, 5), ("d", 0, 4, 14), ("e", 4, 3, 1), ("f", 3, 5, 10)]
+    net = Network({x: Edge(x, f"n:{a}", f"n:{b}", MAINLINE, s, 1000) for x, a, b, s in hops})
+    assert pairs.direct_path(net, "n:0", "n:5") == ["d", "e", "f"]
