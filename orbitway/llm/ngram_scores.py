@@ -18,6 +18,8 @@ from orbitway.llm.common import input_partitions, pieces, shared_folder, table
 
 #: Words of a block of documents, count-table partitions for each input partition, and the backoff factor.
 BLOCK_WORDS, SPLIT, ALPHA = 1 << 20, 4, 0.4
+#: Words of all documents to a part of the count tables, on average: a task's arrays stay as large as a block's, however few partitions the input has.
+PART_WORDS = 1 << 20
 
 
 class _Ids(dict):
@@ -145,13 +147,13 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
     documents of their own; null ids come back as they are; long texts are whole. An empty table gives
     no rows.
     """
-    parts = SPLIT * max(1, input_partitions(documents))
     spark = documents.sparkSession
     path = f"{shared_folder(spark)}/ngram-blocks-{uuid.uuid4().hex}"
     _blocks(documents, id_col, text_col).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.parquet(path)
-    totals = _counted(blocks, order, parts).groupBy("part").applyInPandas(_totals, _ANSWERS)
     whole = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    parts = max(SPLIT * max(1, input_partitions(documents)), -(-whole // PART_WORDS))
+    totals = _counted(blocks, order, parts).groupBy("part").applyInPandas(_totals, _ANSWERS)
     out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType())])
 
     def score(key, block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
