@@ -151,3 +151,15 @@ def test_in_slices(spark, monkeypatch):
     asked = [("r", json.dumps(REQUEST | {"requestId": str(i), "minMinutes": 1 + 59 * (i % 2)})) for i in range(20)] + [("other", json.dumps(REQUEST))]
     out = search_ramps(spark.createDataFrame([("r", json.dumps(rings(2)))], "release_id string, graph string"), spark.createDataFrame(asked, "release_id string, request string"))
     assert {r["request_id"]: r["status"] for r in out.collect()} == {str(i): "no_candidates" if i % 2 else "ok" for i in range(20)}
+
+
+def test_a_network_is_let_go():
+    """A worker that is done with a network keeps nothing of it."""
+    import weakref
+
+    prepared = Junctions(rings(2, pairs=()))
+    for name in prepared.ramps:
+        prepared._exits_of(name, None)
+    gone = weakref.ref(prepared)
+    del prepared
+    assert gone() is None
