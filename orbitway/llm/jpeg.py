@@ -128,45 +128,53 @@ def _scan_header(parts: list[tuple[int, int]], low: int, high: int, before: int,
 def encode(images: list[tuple[np.ndarray, int, int, bytes]]) -> list[bytes]:
     """Progressive streams of images whose coefficients are given: (coefficients, columns, rows, comment).
 
-    Coefficients: (columns * rows, 3, 64) in zigzag order, all of at least 2 and at most 2047; three
-    components without subsampling, quantisation 1. Scans: direct terms without their last bit, and that
-    bit; for each component places 1 to 5 and 6 to 63 without their last bit, and that bit of all.
+    Coefficients: (columns * rows, 6, 64) in zigzag order, all of at least 2 and at most 2047; of each unit
+    of 16 x 16 pixels four blocks of luma, row by row, and one of each chroma, which thus has half the
+    luma's width and height; quantisation 1. Scans: direct terms without their last bit, and that bit; for
+    each component places 1 to 5 and 6 to 63 without their last bit, and that bit of all.
     """
     counts = np.array([len(c) for c, *_ in images])
     all_ = np.concatenate([c for c, *_ in images]).astype(np.int64)
-    first_block = np.cumsum(counts) - counts
-    inner = np.arange(len(all_)) - np.repeat(first_block, counts)
-    opens = np.flatnonzero(inner % RESTART == 0)  # first block of each interval
-    intervals = -(-counts // RESTART)
+    # A scan of one component goes along its rows of blocks.
+    along = lambda c, columns, rows: c[:, :4].reshape(rows, columns, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+    components = [np.concatenate([along(*i[:3]) for i in images]).astype(np.int64), all_[:, 4], all_[:, 5]]
+
+    def opening(counts: np.ndarray) -> np.ndarray:
+        """The first block of each restart interval."""
+        return np.flatnonzero((np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) % RESTART == 0)
+
+    opens = [opening(4 * counts), opening(counts), opening(counts)]
+    intervals = [-(-4 * counts // RESTART), -(-counts // RESTART), -(-counts // RESTART)]
     scans: list[tuple[bytes, list[bytes]]] = []
-    # Direct terms, coarse: differences from the block before in the interval.
-    coarse = all_[:, :, 0] >> 1
-    change = np.diff(coarse, axis=0, prepend=0)
-    change[opens] = coarse[opens]
+    # Direct terms, coarse, unit by unit: differences from the component's block before in the interval.
+    coarse, units = all_[:, :, 0] >> 1, opens[1]
+    luma = coarse[:, :4].reshape(-1)
+    change = np.concatenate([np.diff(luma, prepend=0).reshape(-1, 4), np.diff(coarse[:, 4:], axis=0, prepend=0)], axis=1)
+    change[units, 0], change[units, 4:] = coarse[units, 0], coarse[units, 4:]
     size = _bit_length(np.abs(change))
     code, length = DC_TABLE.codes()
     value = np.where(change < 0, change + (1 << size) - 1, change)
     codes, lengths = code[size] << size | value, length[size] + size
-    scans.append((_scan_header([(k, 0x00) for k in (1, 2, 3)], 0, 0, 0, 1), _marked(*_pack(codes.reshape(-1), lengths.reshape(-1), 3 * opens), intervals)))
+    scans.append((_scan_header([(k, 0x00) for k in (1, 2, 3)], 0, 0, 0, 1), _marked(*_pack(codes.reshape(-1), lengths.reshape(-1), 6 * units), intervals[1])))
     bits = (all_[:, :, 0] & 1).reshape(-1)
-    scans.append((_scan_header([(k, 0x00) for k in (1, 2, 3)], 0, 0, 1, 0), _marked(*_pack(bits, np.ones_like(bits), 3 * opens), intervals)))
+    scans.append((_scan_header([(k, 0x00) for k in (1, 2, 3)], 0, 0, 1, 0), _marked(*_pack(bits, np.ones_like(bits), 6 * units), intervals[1])))
     code, length = AC_TABLE.codes()
     for low, high in ((1, 5), (6, 63)):
         for k in range(3):
-            value = all_[:, k, low : high + 1] >> 1
+            value = components[k][:, low : high + 1] >> 1
             size = _bit_length(value)
-            scans.append((_scan_header([(k + 1, 0x00)], low, high, 0, 1), _marked(*_pack((code[size] << size | value).reshape(-1), (length[size] + size).reshape(-1), opens * (high - low + 1)), intervals)))
+            scans.append((_scan_header([(k + 1, 0x00)], low, high, 0, 1), _marked(*_pack((code[size] << size | value).reshape(-1), (length[size] + size).reshape(-1), opens[k] * (high - low + 1)), intervals[k])))
     for k in range(3):
         # No term is new, so that a block is an end-of-block code (one bit, 0) and a bit for each of its 63 terms.
-        bits = all_[:, k].copy() & 1
+        bits = components[k] & 1
         bits[:, 0] = 0
-        scans.append((_scan_header([(k + 1, 0x01)], 1, 63, 1, 0), _marked(*_pack(bits.reshape(-1), np.ones(bits.size, np.int64), 64 * opens), intervals)))
+        scans.append((_scan_header([(k + 1, 0x01)], 1, 63, 1, 0), _marked(*_pack(bits.reshape(-1), np.ones(bits.size, np.int64), 64 * opens[k]), intervals[k])))
     tables = b"".join(bytes([kind, *t.counts, *t.symbols]) for kind, t in ((0x00, DC_TABLE), (0x10, AC_TABLE), (0x11, FINE_TABLE)))
     head = _segment(0xDB, bytes([0]) + b"\x01" * 64)
     tail = _segment(0xC4, tables) + _segment(0xDD, struct.pack(">H", RESTART))
     out = []
     for i, (_, columns, rows, comment) in enumerate(images):
-        frame = struct.pack(">BHHB", 8, 8 * rows, 8 * columns, 3) + b"".join(bytes([k, 0x11, 0]) for k in (1, 2, 3))
+        frame = struct.pack(">BHHB", 8, 16 * rows, 16 * columns, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
         out.append(b"\xff\xd8" + _segment(0xFE, comment) + head + _segment(0xC2, frame) + tail + b"".join(h + data[i] for h, data in scans) + b"\xff\xd9")
     return out
 
@@ -472,13 +480,17 @@ def samples(coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
     return out
 
 
-def tensor(image: Image, coefficients: np.ndarray) -> np.ndarray:
-    """Full-resolution RGB, (height, width, 3): chroma is repeated to the size of luma; one component gives grey."""
+def tensor(image: Image, coefficients: np.ndarray, ready: np.ndarray | None = None) -> np.ndarray:
+    """Full-resolution RGB, (height, width, 3): chroma is repeated to the size of luma; one component gives grey.
+
+    ready: samples of all coefficients, if they are known.
+    """
     most_h, most_v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
     planes = []
     for c in image.components.values():
         rows = -(-image.height // (8 * most_v)) * c.v
-        own = samples(coefficients[c.first : c.first + rows * c.width], image.quantisers[c.quantiser])
+        at = slice(c.first, c.first + rows * c.width)
+        own = samples(coefficients[at], image.quantisers[c.quantiser]) if ready is None else ready[at]
         plane = own.reshape(rows, c.width, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * c.width)
         planes.append(np.repeat(np.repeat(plane, most_v // c.v, axis=0), most_h // c.h, axis=1)[: image.height, : image.width])
     if len(planes) == 1:

@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from orbitway.llm import jpeg
 from orbitway.llm.common import appended, free_name, table
 
-#: Payloads are filled with spaces to a multiple of three blocks, one for each component.
+#: Payloads are filled with spaces to a multiple of this; an image's unit, four blocks of luma and one of each chroma, holds two of them.
 UNIT = 192
 #: A coefficient is a byte and this, so that none is zero or new in a refining scan.
 SHIFT = 2
 #: Payload bytes that a worker handles at once, and rows of an image at most.
-BATCH, MOST_ROWS = 2 << 20, 8191
+BATCH, MOST_ROWS = 2 << 20, 4095
 
 
 def padded(text: bytes | None) -> bytes:
@@ -30,32 +30,29 @@ def padded(text: bytes | None) -> bytes:
 
 
 def store(payloads: list[bytes]) -> list[bytes]:
-    """A progressive JPEG of each payload; its quantised coefficients are the payload's bytes, in turn for the three components."""
+    """A progressive JPEG of each payload; its quantised coefficients are the payload's bytes, 384 for each unit of four blocks of luma and one of each chroma."""
     images = []
     for p in payloads:
-        units = len(p) // UNIT
+        units = -(-len(p) // (2 * UNIT))
         columns = -(-units // MOST_ROWS)
         rows = -(-units // columns)
-        full = np.frombuffer(p + b" " * ((columns * rows - units) * UNIT), np.uint8).reshape(-1, 3, 64)
+        full = np.frombuffer(p + b" " * (columns * rows * 2 * UNIT - len(p)), np.uint8).reshape(-1, 6, 64)
         images.append((full.astype(np.int32) + SHIFT, columns, rows, struct.pack(">Q", len(p))))
     return jpeg.encode(images)
 
 
 def load(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
-    """Payloads and RGB tensors of stored media: every scan is read, and the tensors are made from the coefficients."""
+    """Payloads and RGB tensors of stored media: every scan is read, the tensors are made from the coefficients, and chroma goes up to the size of luma."""
     images, coefficients = jpeg.decode(media)
     payloads, tensors = [], []
     all_samples = jpeg.samples(coefficients, np.ones(64, np.int64)) if all((q == 1).all() for i in images for q in i.quantisers.values()) else None
     for image in images:
         y, b, r = image.components.values()
-        n = y.width * (image.height // 8)
-        blocks = np.stack([coefficients[c.first : c.first + n] for c in (y, b, r)], axis=1)
+        n = b.width * (image.height // 16)
+        luma = coefficients[y.first : y.first + 4 * n].reshape(-1, 2, b.width, 2, 64).transpose(0, 2, 1, 3, 4).reshape(n, 4, 64)
+        blocks = np.concatenate([luma, coefficients[b.first : b.first + n, None], coefficients[r.first : r.first + n, None]], axis=1)
         payloads.append((blocks - SHIFT).astype(np.uint8).tobytes()[: struct.unpack(">Q", image.comment)[0]])
-        if all_samples is None:
-            tensors.append(jpeg.tensor(image, coefficients))
-        else:
-            planes = np.stack([all_samples[c.first : c.first + n] for c in (y, b, r)], axis=-1).reshape(n // y.width, y.width, 8, 8, 3)
-            tensors.append(jpeg.to_rgb(planes.transpose(0, 2, 1, 3, 4).reshape(image.height, image.width, 3)))
+        tensors.append(jpeg.tensor(image, coefficients, all_samples))
     return payloads, tensors
 
 
@@ -111,25 +108,26 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Digests of each text's stored form and of what is read back from it.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 payload bytes),
-    media_bytes, media_sha256, feature (see feature()). Media and tensors stay in the worker that made
-    them, a few megabytes at a time. Equal texts give equal values, whatever batch they are in. Null
-    counts as empty; null ids and repeated rows come back as they are; other columns aren't read. An
-    empty table gives no rows.
+    media_bytes, media_sha256, feature (see feature()). Texts are stored in a column of media by
+    encode(), and everything but n_bytes comes from that column: what is read back is made in a step of
+    its own that has nothing else of a text. Tensors stay in the worker that made them, a few megabytes
+    at a time. Equal texts give equal values, whatever batch they are in. Null counts as empty; null ids
+    and repeated rows come back as they are; other columns aren't read. An empty table gives no rows.
     """
-    def run(texts: list[bytes | None]) -> tuple:
-        media = store([padded(t) for t in texts])
+    def run(media: list[bytes]) -> tuple:
         payloads, tensors = load(media)
-        sha = lambda rows: [hashlib.sha256(x).hexdigest() for x in rows]
-        return (
-            [len(t or b"") for t in texts], [len(x) for x in payloads], sha(payloads), [zlib.crc32(x[-16:]) for x in payloads],
-            [len(m) for m in media], sha(media), [feature(t) for t in tensors],
-        )
+        sha = [hashlib.sha256(x).hexdigest() for x in payloads]
+        return [len(x) for x in payloads], sha, [zlib.crc32(x[-16:]) for x in payloads], [feature(t) for t in tensors]
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    stored = encode(rows, "text", "media").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
+    )
     shape = T.StructType()
-    for name in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"):
-        shape.add(name, "string" if name in ("payload_sha256", "media_sha256", "feature") else "long")
-    return appended(rows, "text", run, shape, size=BATCH)
+    for name in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"):
+        shape.add(name, "string" if name in ("payload_sha256", "feature") else "long")
+    read = appended(stored, "media", run, shape, size=BATCH)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
