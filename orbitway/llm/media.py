@@ -108,26 +108,28 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Digests of each text's stored form and of what is read back from it.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 payload bytes),
-    media_bytes, media_sha256, feature (see feature()). Texts are stored in a column of media by
-    encode(), and everything but n_bytes comes from that column: what is read back is made in a step of
-    its own that has nothing else of a text. Tensors stay in the worker that made them, a few megabytes
+    media_bytes, media_sha256, feature (see feature()). Texts are stored in a column of media, as by
+    encode() but a few megabytes at a time, and everything but n_bytes comes from that column: what is
+    read back is made in a step of its own that has nothing else of a text. Tensors stay in the worker that made them, a few megabytes
     at a time. Equal texts give equal values, whatever batch they are in. Null counts as empty; null ids
     and repeated rows come back as they are; other columns aren't read. An empty table gives no rows.
     """
-    def run(media: list[bytes]) -> tuple:
+    def write(texts: list[bytes]) -> tuple:
+        return (store([padded(t) for t in texts]),)
+
+    def read(media: list[bytes]) -> tuple:
         payloads, tensors = load(media)
         sha = [hashlib.sha256(x).hexdigest() for x in payloads]
         return [len(x) for x in payloads], sha, [zlib.crc32(x[-16:]) for x in payloads], [feature(t) for t in tensors]
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    stored = encode(rows, "text", "media").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
-    )
+    sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    stored = appended(sized, "text", write, T.StructType().add("media", "binary"), size=BATCH)
+    media = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     shape = T.StructType()
     for name in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"):
         shape.add(name, "string" if name in ("payload_sha256", "feature") else "long")
-    read = appended(stored, "media", run, shape, size=BATCH)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return appended(media, "media", read, shape, size=BATCH).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:

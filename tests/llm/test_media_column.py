@@ -45,7 +45,7 @@ def test_digests_read_the_stored_column(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x" * 1000)], "doc_id long, text string")
     found = media.digests(docs)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" in plan and "MapInArrow" in plan and "media" in plan
+    assert plan.count("MapInArrow") == 2 and "media" in plan
     stored = {r["doc_id"]: bytes(r["media"]) for r in media.encode(docs).collect()}
     for r in found.collect():
         assert r["media_sha256"] == hashlib.sha256(stored[r["doc_id"]]).hexdigest() and r["media_bytes"] == len(stored[r["doc_id"]])
