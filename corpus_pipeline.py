@@ -2,7 +2,8 @@
 
 1. toxicity: documents that score at the threshold or above go; the model learns from the labelled
    documents outside the held-out fold.
-2. near_duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more; of each group one document stays.
+2. near_duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, found by SimHash tiles and, where fingerprints
+   differ in more bits, by MinHash bands; of each group one document stays.
 3. repeats: passages of PASSAGE_WORDS whole words or more go from the texts if all of their bytes lie in
    strings of PASSAGE_BYTES bytes that also start in another document.
 4. mixing: documents come as often as their source's target takes them, in the order of the training.
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitway.llm import mixing, pieces, repeats, shingle_sets, toxicity
-from orbitway.llm.common import remove_folder, shared_folder, table
+from orbitway.llm.common import remove_folder, scratch, shared_folder, table
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -62,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             remove_folder(spark, f"{folder}/{before}")

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact similarity of shingle sets: MinHash bands propose, the sets themselves decide."""
+"""Near-duplicates by exact similarity of shingle sets: SimHash tiles and MinHash bands propose, the sets themselves decide."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import appended, checkpointed, keep_one, text_digest
+from orbitway.llm.common import appended, checkpointed, keep_one, release, text_digest
 from orbitway.llm.components import connected_components
-from orbitway.llm.simhash import SEED, shingle_hashes
+from orbitway.llm.simhash import SEED, fingerprint_of, shingle_hashes
+from orbitway.llm.simhash import links as tile_links
 
 #: Sets are similar from Jaccard 4/5. A pair that similar has no band of ROWS MinHashes in common, of BANDS, with chance (1 - 0.8**4)**32 = 5e-8.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 4
+#: Texts whose SimHashes differ in so many bits at most, or are linked by such, are compared. Of pairs just above LEAST most differ in more: the bands find them.
+RADIUS = 3
 #: Bytes of text of a side of a comparison.
 SLICE = 8 << 20
 #: Shingles that are hashed at once.
@@ -73,13 +76,15 @@ def similar_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 def links(documents: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """u, v: digests of similar texts; they connect just those that all pairs of similar texts connect.
 
-    Texts that share the key of a band meet, and their sets of `size`-word shingles are compared whole.
-    Bands in which the same texts meet count once. Where more than SLICE bytes of text meet, they are
+    The texts of each component of SimHashes (the tiles of simhash.links: exclusive-or and bit count)
+    meet, and so do texts that share the key of a band of MinHashes; their sets of `size`-word shingles
+    are compared whole. Components and bands in which the same texts meet count once. Where more than SLICE bytes of text meet, they are
     cut into slices by a hash, and each two slices meet.
     """
 
     def sign(texts: list[bytes | None]) -> tuple:
-        return ([buckets(shingle_hashes(t, size)) for t in texts],)
+        hashes = [shingle_hashes(t, size) for t in texts]
+        return [buckets(h) for h in hashes], [fingerprint_of(h) for h in hashes]
 
     def compare(key, group: pd.DataFrame) -> pd.DataFrame:
         node = group["node"].to_numpy()
@@ -87,11 +92,16 @@ def links(documents: DataFrame, size: int, text_col: str = "text") -> DataFrame:
         return pd.DataFrame({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})
 
     texts = documents.select(text_digest(text_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
-    signed = appended(texts, "text", sign, T.StructType().add("buckets", T.ArrayType(T.LongType()))).select("node", F.explode("buckets").alias("bucket"))
-    met = checkpointed(signed.distinct().repartition("bucket"))
+    signed = checkpointed(appended(texts, "text", sign, T.StructType().add("buckets", T.ArrayType(T.LongType())).add("fp", T.LongType())).dropDuplicates(["node"]))
+    prints = checkpointed(signed.select("fp").distinct())
+    roots = connected_components(tile_links(prints, RADIUS))
+    # A component has more than one text if several have a fingerprint, too.
+    alike = signed.select("node", "fp").join(roots, signed["fp"] == roots["node"], "left").select(signed["node"], F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    met = checkpointed(signed.select("node", F.explode("buckets").alias("bucket")).unionByName(alike).repartition("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("other")).where("n > 1")
     different = shared.groupBy("n", "mix", "other").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = checkpointed(met.join(different, "bucket").select("bucket", "node"))
+    release(signed, met)
     wanted = checkpointed(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     sized = members.join(wanted.select("node", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "node")
     cuts = sized.groupBy("bucket").agg(F.ceil(F.sum("bytes") / F.lit(SLICE)).cast("int").alias("slices"))

@@ -43,7 +43,10 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int) -> int:
     """Bit i is 1 if it is set in over half of the text's shingle hashes; signed 64 bits."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
