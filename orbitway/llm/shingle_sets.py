@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbitway.llm.common import appended, checkpointed, keep_one, release, text_digest
+from orbitway.llm.common import appended, checkpointed, keep_one, release, scratch, text_digest
 from orbitway.llm.components import connected_components
 from orbitway.llm.simhash import SEED, fingerprint_of, shingle_hashes
 from orbitway.llm.simhash import links as tile_links
@@ -119,4 +119,7 @@ def keep_first(documents: DataFrame, size: int = 5, id_col: str = "doc_id", text
     Texts without words are similar to each other. All columns come back as they were; the row that
     stays is that of keep_one.
     """
-    return keep_one(documents, connected_components(links(documents, size, text_col)), id_col, text_col)
+    with scratch() as made:
+        found = checkpointed(links(documents, size, text_col))
+        made.pop()
+    return keep_one(documents, connected_components(found), id_col, text_col)

@@ -30,3 +30,15 @@ def test_scratch_leaves_no_checkpoint(spark, tmp_path):
         assert files() > before
     assert files() <= before
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_only_what_is_read_later_stays(spark):
+    """Texts, bands and segments are gone when a stage's result is still to be read."""
+    docs = spark.createDataFrame(list(enumerate(_texts(8) + ["a b c"])), "doc_id long, text string")
+    common.shared_folder(spark)
+    with common.scratch() as made:
+        kept = shingle_sets.keep_first(docs)
+        cut = repeats.without_repeats(docs, 200)
+        left = [set(df.columns) for df in made if os.path.exists(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:"))]
+        assert not any(c & {"text", "bucket", "buckets", "segment", "windows", "within"} for c in left)
+        assert kept.count() == 2 and cut.count() == 9
