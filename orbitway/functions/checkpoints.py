@@ -20,4 +20,7 @@ def cut(df: DataFrame) -> DataFrame:
             if not named and not re.match(r"local(\[|$)", context.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orbitway-"))
-    return df.checkpoint()
+    # An eager checkpoint computes its last stage twice, to count and to write; this one looks at a first row instead of counting.
+    written = df.checkpoint(eager=False)
+    written.take(1)
+    return written.toDF(*written.columns)  # columns of its own: tables that were cut from one another may be joined and put under each other

@@ -6,33 +6,39 @@ and each round's table are checkpointed, and only whether a table is empty reach
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitway.functions.checkpoints import cut
 
-#: Rounds after which what is known is written as one table again.
+#: Rounds whose levels are written as one table.
 MERGE = 8
 
 
-def reach(edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFrame:
-    """node: the starts (column node) and all nodes that they reach; backward: all that reach one of them.
+def reach(edges: DataFrame, starts: DataFrame, backward: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """by, node: the starts (columns by and node) and all nodes that they reach; backward: all that reach one of them.
 
-    One search from all starts at once, level by level, instead of one for each node that asks.
+    One search from all starts at once, level by level, instead of one for each node that asks. edges and
+    starts also have the columns `by`, which a search doesn't leave. A round goes on with the edges alone
+    whose end isn't known yet, so that it costs what is left of them and not the whole graph.
     """
     here, there = ("target", "source") if backward else ("source", "target")
-    steps = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("next")))
-    level = cut(starts.select("node").where("node is not null").distinct())
-    known, rounds = level, 0
+    ends = [*by, "next"]
+    level = cut(starts.select(*by, "node").where("node is not null").distinct())
+    known, recent, open_ = None, [level], edges.select(*by, F.col(here).alias("node"), F.col(there).alias("next")).where("node is not null and next is not null")
     while True:
-        found = steps.join(level, "node", "left_semi").select(F.col("next").alias("node")).distinct()
-        level = cut(found.join(known, "node", "left_anti"))
-        if level.isEmpty():
-            return known
-        rounds += 1
-        known = known.unionByName(level)
-        if rounds % MERGE == 0:
-            known = cut(known)
+        open_ = cut(open_.join(level.withColumnRenamed("node", "next"), ends, "left_anti"))
+        # The edges from this level all end in the next one, so that its ends take them out too.
+        level = cut(open_.join(level, [*by, "node"], "left_semi").select(*by, F.col("next").alias("node")).distinct())
+        if not level.take(1):
+            return reduce(DataFrame.unionByName, recent if known is None else [known, *recent])
+        recent.append(level)
+        if len(recent) > MERGE:
+            merged = cut(reduce(DataFrame.unionByName, recent))
+            known, recent = merged if known is None else known.unionByName(merged), []
 
 
 def within(edges: DataFrame, starts: DataFrame, most: int, backward: bool = False) -> DataFrame:

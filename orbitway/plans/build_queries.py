@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitway.functions.checkpoints import cut
 from orbitway.functions.dialect import DUCK
 from orbitway.operators.frontier import paths, reach, within
 from orbitway.sources.networks import road
@@ -56,12 +57,12 @@ def link_reach(segment: DataFrame) -> DataFrame:
     sound = segment.where("target is not null")
     links, main = sound.where("kind = 'link'"), sound.where("kind = 'mainline'")
     # Both searches share their rounds: a node comes once for the search back and once for the one forth.
-    place = lambda way, c: F.struct(F.lit(way).alias("way"), F.col(c).alias("node"))
-    steps = links.select(place("ahead", "target").alias("source"), place("ahead", "source").alias("target")).unionByName(links.select(place("behind", "source").alias("source"), place("behind", "target").alias("target")))
-    ends = main.select(F.explode(F.array("source", "target")).alias("end"))
-    found = reach(steps, ends.select(F.explode(F.array(place("ahead", "end"), place("behind", "end"))).alias("node"))).select("node.*")
-    ahead = found.where("way = 'ahead'").select(F.col("node").alias("target"), F.lit(True).alias("ahead"))
-    behind = found.where("way = 'behind'").select(F.col("node").alias("source"), F.lit(True).alias("behind"))
+    both_ways = F.explode(F.array(F.struct(F.lit(True).alias("back"), F.col("target").alias("source"), F.col("source").alias("target")), F.struct(F.lit(False).alias("back"), "source", "target")))
+    ends = main.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    starts = ends.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), "node")
+    found = cut(reach(links.select(both_ways.alias("step")).select("step.*"), starts, by=["back"]))
+    ahead = found.where("back").select(F.col("node").alias("target"), F.lit(True).alias("ahead"))
+    behind = found.where("not back").select(F.col("node").alias("source"), F.lit(True).alias("behind"))
     both = links.join(ahead, "target", "left").join(behind, "source", "left")
     return both.select("edge_id", "source", "target", F.coalesce("ahead", F.lit(False)).alias("ahead"), F.coalesce("behind", F.lit(False)).alias("behind"))
 
@@ -69,7 +70,7 @@ def link_reach(segment: DataFrame) -> DataFrame:
 @rule("segment", sql=f"{_REACH} select edge_id, ahead, behind from reached")
 def g06_link_reach(segment):
     """Which links lead to the mainline, and to which it leads: one search back from all of its nodes and one forth."""
-    return link_reach(segment).select("edge_id", "ahead", "behind")
+    return link_reach(cut(segment)).select("edge_id", "ahead", "behind")
 
 
 @rule("segment", "endpoint", sql=f"""{_REACH}, asked as (select r.*, case when not exists (select 1 from segment s where s.target = r.source) and ahead then 'entry' when not exists (select 1 from segment s where s.source = r.target and s.target is not null) and behind then 'exit' when ahead or behind then 'shutoko' else 'dropped' end as side from reached r)
@@ -83,7 +84,7 @@ def g08_ramp_kind(segment, endpoint):
     is at street level: as a shared street node shows or, where no street is mapped, the node's tag. Where
     the two differ the street decides; where neither says anything the link counts as expressway.
     """
-    return ramp_kinds(segment, endpoint).select("edge_id", "kind", "note")
+    return ramp_kinds(cut(segment), endpoint).select("edge_id", "kind", "note")
 
 
 def ramp_kinds(segment: DataFrame, endpoint: DataFrame) -> DataFrame:
