@@ -100,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         rows = [(group["net"].iloc[0], int(n), int(c), y) for n, (c, y) in net.components().items()]
         return pd.DataFrame(rows, columns=["net", "node", "component", "cyclic"])
 
-    found = edges.groupBy("net").applyInPandas(run, "net string, node long, component long, cyclic boolean")
+    found = cut(edges.groupBy("net").applyInPandas(run, "net string, node long, component long, cyclic boolean"))
     ends = edges.join(found.select("net", F.col("node").alias("source"), "component"), ["net", "source"]).join(found.select("net", F.col("node").alias("target"), F.col("component").alias("other")), ["net", "target"])
     inside = ends.where("component = other").groupBy("net", "component").agg(F.sum("meters").alias("inside"))
     counts = found.groupBy("net", "component", "cyclic").agg(F.count("*").alias("members"))
@@ -114,7 +114,7 @@ _PARTS = """ringed as (select net, slab, block, min(id) as component, count(*) a
 @rule("slabedge", "slab", sql=f"{_PARTS} select net, component, members, inside::bigint as inside, true as cyclic from ringed union all select net, id, 1, 0, false from slab where not whole or place < 3")
 def a05_components(slabedge, slab):
     """Strongly connected components of the large networks: nodes, metres of the edges inside, and whether there is a cycle."""
-    return components(slabedge).groupBy("net", "component").agg(F.count("*").alias("members"), F.max("inside").alias("inside"), F.bool_or("cyclic").alias("cyclic"))
+    return components(cut(slabedge)).groupBy("net", "component").agg(F.count("*").alias("members"), F.max("inside").alias("inside"), F.bool_or("cyclic").alias("cyclic"))
 
 
 _CAPABLE = f"""{_PARTS}, good as (select slab, block from ringed where inside >= {LOOP_METERS}), bounds as (select slab, min(block) as low, max(block) as high from good group by slab),
@@ -128,15 +128,15 @@ def capabilities(slabedge: DataFrame, slabramp: DataFrame) -> DataFrame:
     Components are found network by network; what leads to them and from them by rounds of joins over all
     networks, in which a component is one node.
     """
+    slabedge = cut(slabedge)
     parts = cut(components(slabedge))
-    place = lambda c: F.struct("net", F.col(c).alias("part"))
     named = parts.select("net", "node", "component")
     edges = slabedge.join(named.select("net", F.col("node").alias("source"), F.col("component").alias("a")), ["net", "source"]).join(named.select("net", F.col("node").alias("target"), F.col("component").alias("b")), ["net", "target"]).where("a <> b")
-    steps = edges.select(place("a").alias("source"), place("b").alias("target")).distinct()
-    good = parts.where(F.col("cyclic") & (F.col("inside") >= LOOP_METERS)).select(place("component").alias("node")).distinct()
-    leads, led = reach(steps, good, backward=True), reach(steps, good)
-    known = slabramp.join(named, ["net", "node"]).withColumn("part", place("component"))
-    marked = known.join(leads.select(F.col("node").alias("part"), F.lit(True).alias("leads")), "part", "left").join(led.select(F.col("node").alias("part"), F.lit(True).alias("led")), "part", "left")
+    steps = cut(edges.select("net", F.col("a").alias("source"), F.col("b").alias("target")).distinct())
+    good = parts.where(F.col("cyclic") & (F.col("inside") >= LOOP_METERS)).select("net", F.col("component").alias("node")).distinct()
+    leads, led = reach(steps, good, backward=True, by=["net"]), reach(steps, good, by=["net"])
+    known = slabramp.join(named, ["net", "node"])
+    marked = known.join(leads.select("net", F.col("node").alias("component"), F.lit(True).alias("leads")), ["net", "component"], "left").join(led.select("net", F.col("node").alias("component"), F.lit(True).alias("led")), ["net", "component"], "left")
     able = F.coalesce(F.when(F.col("kind") == "entry", F.col("leads")).otherwise(F.col("led")), F.lit(False))
     return marked.select("ramp", F.when(able, "routable").otherwise("structural_no_loop").alias("capability"))
 
