@@ -74,6 +74,8 @@ def j12_pair_tariffs(paidpair, paidramp, paidassign):
     direction, if it is the only one. The assignment is that which the pair names or else the one that
     names the pair; it must name the pair, and no other ramps than the pair's.
     """
+    # Dealt before the sums: a small file that is read by one task would else have all edges in that task's memory.
+    paidramp = paidramp.repartition("edge")
     single = paidramp.groupBy("edge").agg(F.count("*").alias("n"), F.min("ramp").alias("one")).where("n = 1").select("edge", "one")
     entered = paidpair.join(single.select(F.col("edge").alias("entry_edge"), F.col("one").alias("only_in")), "entry_edge", "left").withColumn("way_in", F.coalesce("entry_ramp", "only_in"))
     ways = entered.join(paidramp.select(F.col("ramp").alias("way_in"), F.col("direction").alias("heading")), "way_in", "left")
@@ -81,7 +83,10 @@ def j12_pair_tariffs(paidpair, paidramp, paidassign):
     only_out = single.select(F.col("edge").alias("exit_edge"), F.col("one").alias("only_out"))
     both = ways.join(only_out, "exit_edge", "left").join(alike, ["exit_edge", "heading"], "left").withColumn("way_out", F.coalesce("exit_ramp", "only_out", "like"))
     given = lambda key, name: paidassign.select(F.col(key).alias(name), F.struct("assignment", "pair", "entry_ramp", "exit_ramp", "meters").alias(f"by_{name}"))
-    known = both.join(given("assignment", "assignment"), "assignment", "left").join(given("pair", "pair"), "pair", "left").withColumn("x", F.coalesce("by_assignment", "by_pair"))
+    # Pairs that name no assignment have a key each that none has: nulls would all go to one task.
+    named = both.withColumn("named", F.coalesce(F.col("assignment").cast("string"), F.concat(F.lit("pair "), F.col("pair").cast("string"))))
+    by_name = given("assignment", "assignment").withColumn("named", F.col("assignment").cast("string")).drop("assignment")
+    known = named.join(by_name, "named", "left").join(given("pair", "pair"), "pair", "left").withColumn("x", F.coalesce("by_assignment", "by_pair"))
     other = (F.col("x.pair") != F.col("pair")) | F.coalesce(F.col("way_in") != F.col("x.entry_ramp"), F.lit(False)) | F.coalesce(F.col("way_out") != F.col("x.exit_ramp"), F.lit(False))
     fault = F.when(F.col("x").isNull(), "no_assignment").when(other, "mismatch")
     sound = known.withColumn("fault", fault)
