@@ -89,10 +89,10 @@ def street_evidence(ends: DataFrame, ways: DataFrame, places: DataFrame, nodes:
     surface, motor = of(vehicle()), of(F.col("highway").isin("motorway", "motorway_link"))
     streets = nodes.join(surface.join(motor, "node", "left_anti"), "node", "left_semi").select(F.col("node").alias("id"), "lat", "lon")
     asked = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("id"), "lat", "lon", "tag")
-    near = streets_near(asked, streets, STREET_METERS, CELL).select("id").distinct().withColumn("near", F.lit(True))
+    near = streets_near(asked, streets, STREET_METERS, CELL).select("lat", "lon").distinct().withColumn("near", F.lit(True))
     shared = surface.select(F.col("node").alias("id"), F.lit(True).alias("shared"))
     evidence = F.when(F.col("shared"), "shared_node").when(F.col("near"), "no_shared_node").otherwise("unavailable")
-    return asked.join(shared, "id", "left").join(near, "id", "left").select(F.col("id").alias("node"), evidence.alias("evidence"), "tag")
+    return asked.join(shared, "id", "left").join(near.hint("merge"), ["lat", "lon"], "left").select(F.col("id").alias("node"), evidence.alias("evidence"), "tag")
 
 
 # --- restrictions ---------------------------------------------------------------------------------
