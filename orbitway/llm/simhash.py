@@ -22,6 +22,8 @@ BITS = 64
 PARTS = 4
 #: Rows that a tile compares at once, and rows of each side of a tile task, on average.
 BLOCK, SIDE = 1024, 4096
+#: Bits of a part's value at most, and rows of a cell that are compared with those of other cells in one go.
+VALUE, SMALL = 24, 64
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -70,11 +72,11 @@ def _counts(fp: np.ndarray) -> np.ndarray:
 def _visits(fp: np.ndarray, radius: int) -> pd.DataFrame:
     """The tiles that each fingerprint goes to: its own (home), and lower ones that counts within the radius reach.
 
-    A tile is a box of population counts, radius + 1 wide in each part. Two fingerprints that differ in
-    at most radius bits have counts that differ by at most radius in total, so that they are in one
-    tile or in adjacent ones, and the one of the higher tile visits the lower.
+    A tile is a box of population counts, 2 * (radius + 1) wide in each part. Two fingerprints that
+    differ in at most radius bits have counts that differ by at most radius in total, so that they are in
+    one tile or in adjacent ones, and the one of the higher tile visits the lower.
     """
-    wide = radius + 1
+    wide = 2 * (radius + 1)
     origin = BITS // PARTS // 2 - wide // 2  # the middle counts share a box
     counts = _counts(fp) - origin + wide * BITS
     box, at = counts // wide, counts % wide
@@ -94,6 +96,19 @@ def _visits(fp: np.ndarray, radius: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _cells(visits: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """cell, fp, home of each visit, for each of radius + 1 parts of the bits: a cell is a tile and the part's value.
+
+    Of radius + 1 parts, radius bits leave one as it is, so that two fingerprints that close share a cell of each tile that they share.
+    """
+    parts = radius + 1
+    width = min(VALUE, BITS // parts)
+    tile, fp = visits["tile"].to_numpy(np.int64), visits["fp"].to_numpy(np.int64)
+    values = [(fp.view(np.uint64) >> np.uint64(BITS // parts * p) & np.uint64((1 << width) - 1)).astype(np.int64) for p in range(parts)]
+    cells = np.concatenate([(tile * parts + p) << width | v for p, v in enumerate(values)])
+    return pd.DataFrame({"cell": cells, "fp": np.tile(fp, parts), "home": np.tile(visits["home"].to_numpy(bool), parts)})
+
+
 class Forest:
     """Union-find over row numbers; the smaller root wins."""
 
@@ -145,38 +160,86 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     return rows[child], rows[forest.up[child]]
 
 
+def cell_links(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of one cell (ordered by cell) of which one is at home; they connect just those that all such links connect.
+
+    Rows of small cells are compared with the next one, the one after it and so on, of all cells at once; a larger cell is a tile of its own.
+    """
+    firsts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[firsts, len(cell)])
+    forest = Forest(len(cell))
+    rest = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for step in range(1, SMALL):
+        rest = rest[rest < len(cell) - step]
+        rest = rest[cell[rest] == cell[rest + step]]
+        if not len(rest):
+            break
+        near = rest[(np.bitwise_count(fp[rest] ^ fp[rest + step]) <= radius) & (home[rest] | home[rest + step])]
+        if len(near):
+            forest.link(near, near + step)
+    child = np.flatnonzero(forest.up != np.arange(len(cell)))
+    found = [(fp[child], fp[forest.up[child]])]
+    for a, n in zip(firsts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own, here = fp[a : a + n], home[a : a + n]
+        if here.any():
+            found.append(tile_links(own[here], None, radius))
+            if not here.all():
+                found.append(tile_links(own[here], own[~here], radius))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """u, v: edges between distinct fingerprints (column fp, no repeats) that connect just those which links of at most radius bits connect.
 
-    Each tile is compared whole: its home rows with each other, and with its visitors. Both sides are cut
-    into slices of about SIDE rows by a hash, and each two slices meet in a task of their own, so that no
-    task has more than two slices, however dense the tile. The number of tiles has a fixed bound, so that
-    their sizes may be broadcast.
+    A tile's home rows are compared with each other and with its visitors, if they share a cell: the value of one of radius + 1 parts of
+    the bits, which close ones must share. A row has a fixed number of cells, however many rows there are. Where a cell has more than SIDE
+    rows of a kind, both kinds are cut into slices of about SIDE rows by a hash, and each two slices meet in a task of their own, so that
+    no task has more than two slices, however dense the cell.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            yield pa.RecordBatch.from_pandas(_visits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius), preserve_index=False)
-
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+            yield pa.RecordBatch.from_pandas(_cells(_visits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius), radius), preserve_index=False)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = cell_links(rows[0], rows[1].view(np.uint64), rows[2], radius)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        for b in batches:
+            held = [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held)]
+            # The last cell may go on in the next batch.
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole:
+                yield done([x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield done(held)
+
+    def compare_slices(key, group: pd.DataFrame) -> pd.DataFrame:
         fp, home, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool), group["side"].to_numpy(np.int64)
         _, a, visiting, b = (int(x) for x in key)
         left, right = fp[home & (side == a)], fp[~home] if visiting else None if a == b else fp[home & (side == b)]
         u, v = tile_links(left, right, radius) if len(left) and (right is None or len(right)) else (fp[:0], fp[:0])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    visits = prints.select("fp").mapInArrow(spread, "tile long, fp long, home boolean")
+    cells = prints.select("fp").mapInArrow(spread, "cell long, fp long, home boolean")
     slices = lambda which: F.ceil(F.count(F.when(which, 1)) / F.lit(SIDE)).cast("int")
-    sizes = visits.groupBy("tile").agg(slices(F.col("home")).alias("homes"), slices(~F.col("home")).alias("visitors")).where("homes > 0")
-    # A tile without home rows has no comparison to make; the inner join drops its visitors.
-    cut = visits.join(F.broadcast(sizes), "tile").withColumn("side", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visitors"))).cast("int"))
+    dense = checkpointed(cells.groupBy("cell").agg(slices(F.col("home")).alias("homes"), slices(~F.col("home")).alias("visitors")).where("homes > 1 or visitors > 1"))
+    sparse = cells if dense.isEmpty() else cells.join(dense.select("cell"), "cell", "left_anti")
+    found = sparse.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+    if sparse is cells:
+        return found
+    # A cell without home rows has no comparison to make.
+    cut = cells.join(dense.where("homes > 0"), "cell").withColumn("side", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visitors"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = lambda a, visiting, b: F.struct(a.alias("a"), F.lit(visiting).alias("visiting"), b.alias("b"))
     home_pairs = F.transform(upto("homes"), lambda x: one(F.least(x, F.col("side")), 0, F.greatest(x, F.col("side"))))
     home_visits = F.when(F.col("visitors") > 0, F.transform(upto("visitors"), lambda x: one(F.col("side"), 1, x))).otherwise(F.array())
     meets = F.when(F.col("home"), F.concat(home_pairs, home_visits)).otherwise(F.transform(upto("homes"), lambda x: one(x, 1, F.col("side"))))
-    dealt = cut.select("tile", "fp", "home", "side", F.explode(meets).alias("meet")).select("tile", "meet.*", "fp", "home", "side")
-    return dealt.groupBy("tile", "a", "visiting", "b").applyInPandas(compare, "u long, v long")
+    dealt = cut.select("cell", "fp", "home", "side", F.explode(meets).alias("meet")).select("cell", "meet.*", "fp", "home", "side")
+    return found.unionByName(dealt.groupBy("cell", "a", "visiting", "b").applyInPandas(compare_slices, "u long, v long"))
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
