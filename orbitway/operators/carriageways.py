@@ -52,6 +52,43 @@ def grow(edges: Iterable[Edge], labels: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def leading(edges: Iterable[Edge], labels: dict[str, str], exits: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """labels without those that lead to none of their direction's exits (direction, node) over edges of that label; directions without an exit keep theirs."""
+    ways_in = defaultdict(list)
+    for e in edges:
+        if e.id in labels:
+            ways_in[labels[e.id], e.target].append((labels[e.id], e.source))
+    led = set(exits)
+    bound, open_ = {side for side, _ in led}, list(led)
+    while open_:
+        for place in ways_in[open_.pop()]:
+            if place not in led:
+                led.add(place)
+                open_.append(place)
+    return {e.id: labels[e.id] for e in edges if e.id in labels and ((labels[e.id], e.target) in led or labels[e.id] not in bound)}
+
+
+def spread(labels: dict[str, str], pairs: Iterable[tuple[str, str, int, bool]]) -> dict[str, str]:
+    """labels and those that pairs (edge, other, metres, whether other heads the opposite way) give, round by round, to edges without one.
+
+    An edge takes the label of the nearest of the edges that got theirs in the round before; of equally near ones the opposite
+    one comes first, then the smaller id. The opposite one gives the other label.
+    """
+    near = defaultdict(list)
+    for edge, other, away, flip in pairs:
+        near[other].append((edge, (away, not flip, other)))
+    known, latest = dict(labels), dict(labels)
+    while latest:
+        best: dict[str, tuple[int, bool, str]] = {}
+        for other in latest:
+            for edge, said in near[other]:
+                if edge not in known and (edge not in best or said < best[edge]):
+                    best[edge] = said
+        latest = {x: known[other] if straight else "outer" if known[other] == "inner" else "inner" for x, (_, straight, other) in best.items()}
+        known |= latest
+    return known
+
+
 def imbalance(edges: Iterable[Edge], labels: dict[str, str]) -> int:
     """Sum, over sides and nodes, of how far edges out and edges in differ in number."""
     at: Counter = Counter()
