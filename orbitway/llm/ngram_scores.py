@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from orbitway.llm.common import input_partitions, pieces, shared_folder, table
 BLOCK_WORDS, SPLIT, ALPHA = 1 << 20, 4, 0.4
 #: Words of all documents to a part of the count tables, on average: a task's arrays stay as large as a block's, however few partitions the input has.
 PART_WORDS = 1 << 20
+#: Words of a block that are scored at once, in whole documents.
+SCORED_WORDS = 1 << 17
 
 
 class _Ids(dict):
@@ -31,27 +33,37 @@ class _Ids(dict):
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers with their bytes in planes, so that small ones leave planes of zeros, which compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers as planes of their bytes, as many as the largest one needs, after a byte that tells how many."""
+    size = values.dtype.itemsize
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, :width].T.tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def _unpacked(data: pa.Buffer | bytes, size: int = 8) -> np.ndarray:
+    """What _packed got, as integers of `size` bytes."""
+    found = np.frombuffer(data, np.uint8)
+    width = int(found[0])
+    out = np.zeros(((len(found) - 1) // width, size), np.uint8)
+    out[:, :width] = found[1:].reshape(width, -1).T
+    return out.view(f"<u{size}").reshape(-1)
 
 
-def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n = 1 to order: hash of the n-gram that ends at each word, and whether it lies in one document."""
-    out = [(words, np.ones(len(words), bool))]
-    for n in range(2, order + 1):
-        before, whole = out[-1]
+    h, good = words, np.ones(len(words), bool)
+    yield h, good
+    for _ in range(2, order + 1):
+        before, whole = h, good
         h, good = np.zeros_like(words), np.zeros(len(words), bool)
         if len(words) > 1:
-            x = before[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h[1:] = x ^ (x >> np.uint64(32))
+            x = before[:-1] * np.uint64(0x9E3779B97F4A7C15)
+            x += words[1:]
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            h[1:] = x
             good[1:] = whole[:-1] & (doc[1:] == doc[:-1])
-        out.append((h, good))
-    return out
+        yield h, good
 
 
 _ANSWERS = "block long, part long, gram int, totals binary"
@@ -65,16 +77,16 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
-    def block(number: int, names: list, sizes: list[int], ids: _Ids, words: list[int]) -> pa.RecordBatch:
+    def block(number: int, names: list, sizes: list[int], ids: _Ids, words: array) -> pa.RecordBatch:
         hashes = np.fromiter((xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-        values = (number, names, sizes, _packed(np.array(words, np.uint32)), hashes.tobytes())
+        values = (number, names, sizes, _packed(np.frombuffer(words, np.uint32)), hashes.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at, seq = TaskContext.get().partitionId(), 0
-        names, sizes, ids, words = [], [], _Ids(), []
+        names, sizes, ids, words = [], [], _Ids(), array("I")
         for b in pieces(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = (text or b"").lower().split()
@@ -83,51 +95,64 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words.extend(map(ids.__getitem__, found))
                 if len(words) >= BLOCK_WORDS:
                     yield block(at << 32 | seq, names, sizes, ids, words)
-                    names, sizes, ids, words, seq = [], [], _Ids(), [], seq + 1
+                    names, sizes, ids, words, seq = [], [], _Ids(), array("I"), seq + 1
         if names:
             yield block(at << 32 | seq, names, sizes, ids, words)
 
     return rows.mapInArrow(run, schema)
 
 
-def _sequences(sizes, sequence: bytes, hashes: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words of each document of a block, the document of each word, and the block's n-grams."""
-    sizes = np.asarray(sizes, np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    return sizes, doc, _grams(np.frombuffer(hashes, np.uint64)[_unpacked(sequence).astype(np.int64)], doc, order)
+def _sequences(block: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each document of a block, the document of each word, and the hash of each word."""
+    sizes = block["sizes"][row].values.to_numpy()
+    hashes = np.frombuffer(block["hashes"][row].as_buffer(), np.uint64)
+    return sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), hashes[_unpacked(block["sequence"][row].as_buffer(), 4)]
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+_COUNTS = "block long, part long, gram int, steps binary, counts binary"
 
 
 def _counted(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     """A block's distinct n-grams of each part of the count tables, with their counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, sizes, sequence, hashes in zip(b["block"], b["sizes"], b["sequence"], b["hashes"], strict=True):
-                for n, (h, good) in enumerate(_sequences(sizes, sequence, hashes, order)[2], 1):
+            for row in range(b.num_rows):
+                number = b["block"][row].as_py()
+                _, doc, words = _sequences(b, row)
+                for n, (h, good) in enumerate(_grams(words, doc, order), 1):
                     distinct, count = np.unique(h[good], return_counts=True)
-                    del h, good
                     part = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                     cuts = np.searchsorted(part, np.arange(parts + 1))
+                    del part
                     own = [(number, p, n, _packed(np.diff(distinct[x:y], prepend=np.uint64(0))), _packed(count[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                    del distinct, count
                     if own:
-                        yield pd.DataFrame(own, columns=["block", "part", "gram", "steps", "counts"])
+                        yield _rows(_COUNTS, own)
 
-    return blocks.select("block", "sizes", "sequence", "hashes").mapInPandas(run, "block long, part long, gram int, steps binary, counts binary")
+    return blocks.select("block", "sizes", "sequence", "hashes").mapInArrow(run, _COUNTS)
 
 
-def _totals(key, group: pd.DataFrame) -> pd.DataFrame:
+def _totals(key: tuple, group: pa.Table) -> pa.Table:
     """A part of the count tables: sums the blocks' counts, and answers each block in the order of its own n-grams."""
-    out = []
-    for n, own in group.groupby("gram", sort=True):
-        hashes = [np.cumsum(_unpacked(a), dtype=np.uint64) for a in own["steps"]]
+    out, part, gram, blocks = [], key[0].as_py(), group["gram"].to_numpy(), group["block"].to_numpy()
+    for n in np.unique(gram).tolist():
+        own = np.flatnonzero(gram == n).tolist()
+        hashes = [np.cumsum(_unpacked(group["steps"][i].as_buffer()), dtype=np.uint64) for i in own]
         distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, np.concatenate([_unpacked(b).astype(np.int64) for b in own["counts"]]))
+        np.add.at(total, place, np.concatenate([_unpacked(group["counts"][i].as_buffer()).astype(np.int64) for i in own]))
         at = 0
-        for number, h in zip(own["block"], hashes, strict=True):
-            out.append((number, key[0], n, _packed(total[place[at : at + len(h)]])))
+        for i, h in zip(own, hashes, strict=True):
+            out.append((int(blocks[i]), part, n, _packed(total[place[at : at + len(h)]])))
             at += len(h)
-    return pd.DataFrame(out, columns=["block", "part", "gram", "totals"])
+    return pa.Table.from_batches([_rows(_ANSWERS, out)])
 
 
 def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,34 +178,44 @@ def stupid_backoff(documents: DataFrame, order: int = 2, id_col: str = "doc_id",
     blocks = spark.read.parquet(path)
     whole = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     parts = max(SPLIT * max(1, input_partitions(documents)), -(-whole // PART_WORDS))
-    totals = _counted(blocks, order, parts).groupBy("part").applyInPandas(_totals, _ANSWERS)
+    totals = _counted(blocks, order, parts).groupBy("part").applyInArrow(_totals, _ANSWERS)
     out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType())])
 
-    def score(key, block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        own = block.iloc[0]
-        names = list(own["doc_ids"])
-        sizes, doc, grams = _sequences(own["sizes"], own["sequence"], own["hashes"], order)
+    def logs(words: np.ndarray, sizes: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The sum of each of some documents of a block. tables: its distinct n-grams, in order, and their counts in all documents."""
+        doc = np.repeat(np.arange(len(sizes)), sizes)
         others = whole - sizes[doc]  # words of other documents
         value = np.where(others > 0, ALPHA / np.maximum(others, 1), 1.0)  # of a word that nothing else has
         value = value * ALPHA ** (order - 1)
         context = None
-        for n, (h, good) in enumerate(grams, 1):
-            answers = answer[answer["gram"] == n].sort_values("part")
-            total = np.concatenate([_unpacked(a) for a in answers["totals"]] or [np.zeros(0, "<u8")]).astype(np.int64)
+        for n, ((h, good), (distinct, total)) in enumerate(zip(_grams(words, doc, order), tables, strict=True), 1):
             count = np.zeros(len(h), np.int64)
-            _, place = np.unique(h[good], return_inverse=True)
+            own, place = np.unique(h[good], return_inverse=True)
             _, pair, mine = np.unique(place * len(sizes) + doc[good], return_inverse=True, return_counts=True)
-            count[good] = total[place] - mine[pair]
-            if n == 1:
-                below, seen = others, count > 0
-            else:
-                below, seen = np.concatenate([[0], context[:-1]]), count > 0
+            count[good] = total[np.searchsorted(distinct, own)].astype(np.int64)[place] - mine[pair]
+            below, seen = others if n == 1 else np.concatenate([[0], context[:-1]]), count > 0
             value[seen] = count[seen] / below[seen] * ALPHA ** (order - n)
             context = count
-        logs = np.log10(value)
-        return pd.DataFrame({"doc_id": pd.Series(names, dtype=object), "n_words": sizes, "log10_score": np.bincount(doc, logs, len(sizes)) if len(doc) else np.zeros(len(sizes))})
-
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, out)
+        return np.bincount(doc, np.log10(value), len(sizes))
+
+    def score(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
+        sizes, doc, words = _sequences(block, 0)
+        gram, part, tables = answer["gram"].to_numpy(), answer["part"].to_numpy(), []
+        for n, (h, good) in enumerate(_grams(words, doc, order), 1):
+            rows = np.flatnonzero(gram == n)
+            rows = rows[np.argsort(part[rows])].tolist()
+            tables.append((np.unique(h[good]), np.concatenate([_unpacked(answer["totals"][i].as_buffer()) for i in rows] or [np.zeros(0, "<u8")])))
+        del doc, h, good
+        sums, ends, at = np.zeros(len(sizes)), np.cumsum(sizes), 0
+        while at < len(sizes):
+            begin = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, begin + SCORED_WORDS, side="right")))
+            if begin < ends[to - 1]:
+                sums[at:to] = logs(words[begin : ends[to - 1]], sizes[at:to], tables)
+            at = to
+        return pa.table({"doc_id": block["doc_ids"][0].values, "n_words": sizes, "log10_score": sums})
+
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, out)
     scored = scored.withColumn("doc_id", F.col("doc_id").cast(documents.schema[id_col].dataType))
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
